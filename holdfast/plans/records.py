@@ -95,13 +95,13 @@ def src_predictions(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "join_user_predictions",
-    f"""WITH {V.PREDICTIONS}, {V.USERS} SELECT u.id AS user_id, u.email AS user_email, p.id, p.prediction FROM users u
+    f"""WITH {V.PREDICTIONS}, {V.USERS} SELECT u.id AS user_id, u.email AS user_email, coalesce(p.id, -1) AS id, p.prediction FROM users u
     LEFT JOIN (SELECT * FROM predictions WHERE risk_level = 'High Risk') p ON p.user_id = u.id""",
 )
 def join_user_predictions(spark: SparkSession, base: str) -> DataFrame:
     high = views.predictions(spark, base).filter(F.col("risk_level") == "High Risk")
     joined = history.join_user_predictions(views.users(spark, base), high)
-    return joined.select("user_id", "user_email", "id", "prediction")
+    return joined.select("user_id", "user_email", F.coalesce("id", F.lit(-1)).alias("id"), "prediction")
 
 
 def _deleted(spark: SparkSession, base: str) -> DataFrame:
