@@ -11,7 +11,7 @@ class Industry:
     name: str
     description: str
     target: str
-    target_map: dict[str, int] | None
+    target_map: dict[str, int] | None = field(hash=False)
     drop_cols: tuple[str, ...]
     dimensions: tuple[str, ...]
     histogram: str
@@ -19,7 +19,7 @@ class Industry:
     segment_features: tuple[str, ...]
     monthly_revenue: float
     lifetime_months: int
-    defaults: dict[str, object] = field(default_factory=dict)
+    defaults: dict[str, object] = field(default_factory=dict, hash=False, compare=False)
 
 
 # Column names, label maps and record defaults of the three input tables.

@@ -22,7 +22,7 @@ def parse_number(text: Column) -> Column:
 
 
 def nan_to_null(number: Column) -> Column:
-    return F.nullif(number, F.lit(float("nan")))
+    return F.when(~F.isnan(number), number)
 
 
 def parse_months(text: Column) -> Column:

@@ -77,8 +77,13 @@ def map_target(df: DataFrame, target: str, mapping: Mapping[object, int] | None)
 
 
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
-    number = ref(target).cast("double") if not isinstance(df.schema[target].dataType, T.StringType) else parse_number(ref(target))
-    return df.withColumn(target, nan_to_null(number).cast("int")).na.drop(subset=[target])
+    """Rows with a usable target, as int."""
+    kind = df.schema[target].dataType
+    if isinstance(kind, T.StringType):
+        df = df.withColumn(target, parse_number(ref(target)))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        df = df.withColumn(target, nan_to_null(ref(target)))
+    return df.na.drop(subset=[target]).withColumn(target, ref(target).cast("int"))
 
 
 def drop_any_null(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

@@ -85,27 +85,32 @@ class Preparation:
     mean: dict[str, float] = field(default_factory=dict)
     std: dict[str, float] = field(default_factory=dict)
 
-    def raw_columns(self, df: DataFrame) -> dict[str, Column]:
-        """Imputed and encoded features before scaling.  A column the table lacks is taken as missing."""
+    def imputed(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """Source columns with missing values filled.  A column the table lacks is taken as missing."""
         present = set(df.columns)
         strings = set(text_columns(df))
-        out: dict[str, Column] = {}
+        out: list[Column] = [ref(k) for k in keep]
         for c in self.numeric:
             if c not in present:
                 value = F.lit(None).cast("double")
+            elif c in strings:
+                value = parse_number(ref(c))
             else:
-                value = parse_number(ref(c)) if c in strings else nan_to_null(as_double(df, c))
-            out[c] = F.coalesce(value, F.lit(float(self.numeric_fill[c])))
+                value = as_double(df, c)
+            out.append(F.coalesce(nan_to_null(value), F.lit(float(self.numeric_fill[c]))).alias(f"__n_{c}"))
         for c in self.text:
             value = ref(c).cast("string") if c in present else F.lit(None).cast("string")
-            out.update(onehot_columns(F.coalesce(value, F.lit(self.text_fill[c])), c, self.levels[c]))
-        return {f: out[f] for f in self.features}
+            out.append(F.coalesce(value, F.lit(self.text_fill[c])).alias(f"__t_{c}"))
+        return df.select(*out)
 
     def transform(self, df: DataFrame, keep: Sequence[str] = (), scale: bool = True) -> DataFrame:
-        cols = self.raw_columns(df)
+        """Two projections: filling first, so that every level of a text column reads the filled value."""
+        cols: dict[str, Column] = {c: ref(f"__n_{c}") for c in self.numeric}
+        for c in self.text:
+            cols.update(onehot_columns(ref(f"__t_{c}"), c, self.levels[c]))
         if scale and self.mean:
-            cols = {f: standardize(c, self.mean[f], self.std[f]) for f, c in cols.items()}
-        return df.select(*[ref(k) for k in keep], *[c.alias(f) for f, c in cols.items()])
+            cols = {f: standardize(cols[f], self.mean[f], self.std[f]) for f in self.features}
+        return self.imputed(df, keep).select(*[ref(k) for k in keep], *[cols[f].alias(f) for f in self.features])
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))

@@ -204,7 +204,14 @@ def prepared(
     source = clean if fit_on == "all" else clean.filter(~F.col("is_test"))
     prep = fit_preparation(source.drop("is_test"), target=target, drop=[*drop, key])
     rows = prep.transform(clean.withColumn("label", ref(target).cast("double")), keep=[key, "label", "is_test"])
-    return prep, rows
+    return prep, spread(rows, key)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Iterative fits use as many tasks as there are partitions: widen a table that has fewer than the cluster
+    has cores.  Hashing the key places rows the same way on every recomputation."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, ref(key)) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def train_industry(

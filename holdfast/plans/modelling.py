@@ -14,6 +14,7 @@ from ..functions.rules import rule_score
 from ..operators import balance, metrics, models
 from ..session import scratch_path
 from ..sources import store, views
+from ..sources.writers import write_features
 from . import oracle_views as V
 from .registry import query
 
@@ -22,10 +23,13 @@ COLUMNS = (KEY, "tenure", "MonthlyCharges", "TotalCharges", "Contract", "Interne
 
 
 def planted(spark: SparkSession, base: str) -> DataFrame:
-    """Accounts with the target `Left` (Yes/No)."""
+    """Accounts with the target `Left` (Yes/No), written once to the shared folder: fitting reads it several times."""
     df = views.accounts(spark, base)
     leaves = (rule_score(df.columns).cast("double") > 0.5) != (uniform(F.col(KEY), "noise") < 0.1)
-    return df.select(*COLUMNS, F.when(leaves, "Yes").otherwise("No").alias("Left"))
+    table = df.select(*COLUMNS, F.when(leaves, "Yes").otherwise("No").alias("Left"))
+    path = scratch_path(spark, "planted")
+    write_features(table, path)
+    return spark.read.parquet(path)
 
 
 JOB = {"target": "Left", "target_map": {"Yes": 1, "No": 0}, "drop": [KEY], "key": KEY}
@@ -35,9 +39,9 @@ def small_boost():
     return models.clf_boost(8, 4, 0.2)
 
 
-def trained(spark: SparkSession, base: str, **options) -> models.Trained:
+def trained(raw: DataFrame, **options) -> models.Trained:
     options = {"estimator": models.clf_logreg(50), "balance": "weights", **options}
-    return models.train_industry(planted(spark, base), "telecom", **JOB, **options)
+    return models.train_industry(raw, "telecom", **JOB, **options)
 
 
 def _holdout(spark: SparkSession, base: str, name: str, balance_by: str = "weights") -> DataFrame:
@@ -128,29 +132,32 @@ def compare_families(spark: SparkSession, base: str) -> DataFrame:
 
 @query("score_table")
 def score_table(spark: SparkSession, base: str) -> DataFrame:
-    t = trained(spark, base)
-    return models.score_table(t.model, t.prep, planted(spark, base), [KEY])
+    raw = planted(spark, base)
+    t = trained(raw)
+    return models.score_table(t.model, t.prep, raw, [KEY])
 
 
 @query("mdl_save_load")
 def mdl_save_load(spark: SparkSession, base: str) -> DataFrame:
-    t = trained(spark, base)
+    raw = planted(spark, base)
+    t = trained(raw)
     root = scratch_path(spark, "models")
     store.save_model(spark, root, "telecom", "Telecom", t.model, t.prep, {"maxIter": 50})
     model, prep, _ = store.load_model(spark, root, "telecom")
-    return models.score_table(model, prep, planted(spark, base), [KEY])
+    return models.score_table(model, prep, raw, [KEY])
 
 
 @query("model_registry")
 def model_registry(spark: SparkSession, base: str) -> DataFrame:
-    t = trained(spark, base)
+    raw = planted(spark, base)
+    t = trained(raw)
     root = scratch_path(spark, "models")
     store.save_model(spark, root, "telecom", "Telecom", t.model, t.prep, {"maxIter": 50})
     return store.model_registry(spark, root, list(INDUSTRIES)).withColumn("features", F.array_join("features", ";"))
 
 
 def _importance(spark: SparkSession, base: str) -> DataFrame:
-    t = trained(spark, base, estimator=small_boost(), balance="none")
+    t = trained(planted(spark, base), estimator=small_boost(), balance="none")
     return models.feature_importance(t.model, t.prep.features, spark)
 
 
@@ -166,6 +173,7 @@ def topk_importance(spark: SparkSession, base: str) -> DataFrame:
 
 @query("union_metrics")
 def union_metrics(spark: SparkSession, base: str) -> DataFrame:
-    return models.union_metrics({"telecom": trained(spark, base), "unweighted": trained(spark, base, balance="none")})
+    raw = planted(spark, base)
+    return models.union_metrics({"telecom": trained(raw), "unweighted": trained(raw, balance="none")})
 
 
