@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import ref
 from ..operators.clean import normalise_nan, require_columns
 
 CORRUPT = "_corrupt_record"
@@ -34,8 +35,11 @@ def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
 def read_bulk_upload(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantined lines with their text and file) of a landing folder."""
     raw = read_csv(spark, path, schema, keep_corrupt=True).withColumn("source_file", F.col("_metadata.file_path"))
-    good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "source_file")
-    bad = raw.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), "source_file")
+    fields = [c for c in raw.columns if c not in (CORRUPT, "source_file")]
+    # The parser only checks columns a query asks for: ask for all, so that a line is judged alike by every query.
+    judged = raw.filter(F.length(F.concat_ws("", *[ref(c).cast("string") for c in fields])) >= 0)
+    good = judged.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "source_file")
+    bad = judged.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), "source_file")
     return good, bad
 
 
