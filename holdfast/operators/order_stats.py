@@ -34,6 +34,7 @@ class _Target:
     base: int = 0
     inside: int = 0
     answer: object = None
+    stuck: bool = False
 
 
 def _values(df: DataFrame, column: str) -> Column:
@@ -41,6 +42,10 @@ def _values(df: DataFrame, column: str) -> Column:
     return nan_to_null(c) if df.schema[column].dataType.typeName() in ("double", "float") else c
 
 
+def _is_integer(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
 def _match(by: Sequence[str], group: Group) -> Column:
     test = F.lit(True)
     for name, value in zip(by, group):
@@ -68,11 +73,20 @@ def _bracket_round(df: DataFrame, by: Sequence[str], open_targets: list[_Target]
             within = within & (v > F.lit(t.lo))
         if t.hi is not None:
             within = within & (v < F.lit(t.hi))
+        # percentile_approx works in doubles: large integers are measured from a known bracket end.
+        anchor = t.lo if t.lo is not None else t.hi
+        if anchor is not None and _is_integer(df, t.column):
+            v = v - F.lit(anchor)
         p = (t.rank - t.base + 0.5) / size
         eps = 2.0 / ACCURACY
         probs = F.array(F.lit(max(0.0, p - eps)), F.lit(min(1.0, p + eps)))
         asks.append(F.percentile_approx(F.when(within, v), probs, ACCURACY).alias(f"q{i}"))
-    brackets = df.agg(*asks).first()
+    found = df.agg(*asks).first()
+    brackets = {}
+    for i, t in enumerate(open_targets):
+        anchor = t.lo if t.lo is not None else t.hi
+        shift = anchor if anchor is not None and _is_integer(df, t.column) else 0
+        brackets[f"q{i}"] = [q + shift for q in found[f"q{i}"]]
 
     counts = []
     for i, t in enumerate(open_targets):
@@ -129,10 +143,13 @@ def select_ranks(df: DataFrame, wanted: dict[tuple[Group, str], Sequence[int]],
         n = counts.get(group, {}).get(column, 0)
         targets += [_Target(group, column, r, inside=n) for r in sorted(set(ranks)) if 0 <= r < n]
     while True:
-        open_targets = [t for t in targets if t.answer is None and t.inside > small]
+        open_targets = [t for t in targets if t.answer is None and t.inside > small and not t.stuck]
         if not open_targets:
             break
+        before = [t.inside for t in open_targets]
         _bracket_round(df, by, open_targets)
+        for t, size in zip(open_targets, before):
+            t.stuck = t.answer is None and t.inside >= size
     rest = [t for t in targets if t.answer is None]
     if rest:
         _finish(df, by, rest, small)
