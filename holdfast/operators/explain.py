@@ -212,7 +212,7 @@ def _tree_attributor(trees: Sequence[Mapping], features: Sequence[str], keep: Se
         paths = leaf_paths()
         names = np.array(features, dtype=object)
         for pdf in batches:
-            x = pdf[features].to_numpy(dtype=float)
+            x = pdf[[f"__f{i}" for i in range(len(features))]].to_numpy(dtype=float)
             phi = np.zeros_like(x)
             for value, seen in paths:
                 fs = list(seen)
@@ -252,6 +252,6 @@ def attribution_tree(df: DataFrame, model: PipelineModel, features: Sequence[str
     trees = tree_arrays(model) if trees is None else trees
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[ref(k) for k in keep]).schema]
     schema = ", ".join([*fields, f"attribution {PAIRS}"])
-    return df.select(*[ref(k) for k in keep], *[ref(f).cast("double").alias(f) for f in features]).mapInPandas(
+    return df.select(*[ref(k) for k in keep], *[ref(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)]).mapInPandas(
         _tree_attributor(trees, features, keep), schema
     )
