@@ -96,8 +96,8 @@ class Preparation:
             elif c in strings:
                 value = parse_number(ref(c))
             else:
-                value = as_double(df, c)
-            out.append(F.coalesce(nan_to_null(value), F.lit(float(self.numeric_fill[c]))).alias(f"__n_{c}"))
+                value = nan_to_null(as_double(df, c))
+            out.append(F.coalesce(value, F.lit(float(self.numeric_fill[c]))).alias(f"__n_{c}"))
         for c in self.text:
             value = ref(c).cast("string") if c in present else F.lit(None).cast("string")
             out.append(F.coalesce(value, F.lit(self.text_fill[c])).alias(f"__t_{c}"))
