@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, written
+from .common import fresh, steps, written
 from .words import SPACES, mix, split_words, word_hashes
 
 COORDINATES = 64
@@ -88,12 +88,12 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
             flat = np.concatenate([signature(s) if len(s) else np.zeros(COORDINATES, np.int32) for s in sets])
             offsets = np.arange(0, len(flat) + 1, COORDINATES, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n_shingles", "node", "sig"],
+                [part.column("doc_id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["doc_id", "row", "n_shingles", "node", "sig"],
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node binary, sig array<int>")
+    return rows.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, n_shingles long, node binary, sig array<int>")
 
 
 def postings(nodes: DataFrame, shared: int) -> DataFrame:
@@ -175,7 +175,7 @@ def relabel(labels: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, kept."""
+    """A row per document: doc_id, row (hash of the text), n_shingles, component_id, kept."""
     matched = max(1, MATCHED * percent // 80)
     shared = SHARED if percent >= 80 else 1
     rows = written(signatures(docs, doc_id, text, size), "signatures")
@@ -231,9 +231,9 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: i
     least = known.groupBy("label").agg(F.min("doc_id").alias("least"))
     linked = known.join(least, "label").select("node", "least")
     every = nodes.join(linked, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "node").join(every, "node", "left")
+    out = rows.select("doc_id", "row", "n_shingles", "node").join(every, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "row", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
@@ -250,3 +250,17 @@ def texts_of(needed: DataFrame, source: DataFrame, nodes: DataFrame, size: int)
     own = needed.withColumnRenamed("doc_id", "rep")
     met = source.join(own, source["doc_id"].eqNullSafe(own["rep"])).select("node", "text")
     return met.mapInArrow(run, "node binary, text string").groupBy("node").agg(F.min("text").alias("text"))
+
+
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that stay: of each component one, with the smallest doc_id (and of rows that repeat it, one).
+
+    Rows without id and text, and copies of a text that has no id at all, stay once for each text.
+    """
+    judged = link(docs, doc_id=doc_id, text=text, size=size, percent=percent).filter("kept")
+    one = judged.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("row")).alias("own")).agg(F.min(F.struct("doc_id", "row")).alias("r"))
+    spelled = lambda i, r: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), r.cast("string"))
+    key = fresh(docs, "row_key")
+    stay = one.select(spelled(F.col("r.doc_id"), F.col("r.row")).alias(key)).distinct()
+    keyed = docs.withColumn(key, spelled(F.col(doc_id).cast("long"), F.xxhash64(F.col(text).cast("string"))))
+    return keyed.join(stay, key).dropDuplicates([key]).drop(key)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import decontaminate, near_dup, super_kmers, url_filter
+from . import decontaminate, mixing, near_dup, pii, super_kmers, token_counts, token_files, toxicity, url_filter, vector_search
 from .common import table
 from .url_filter import Rule
 
@@ -18,6 +19,10 @@ SPACED = r"'[^\x20\x09-\x0D]+'"
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+
+
 def query(name: str, sql: str | None = None):
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -28,6 +33,94 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+ENTROPY, REPEATS = 0.95, 4.0
+
+
+def _mix_round(name: str, before: str, width: int, test: str) -> str:
+    return f"""
+{name} AS (
+  SELECT coalesce(max(m) FILTER (WHERE {test}), any_value(low)) AS low FROM (
+    SELECT m, any_value(low) AS low, any_value(total) AS total, ln(sum(pow(p, m / {mixing.GRID}.0))) - m / {mixing.GRID}.0 * sum(pow(p, m / {mixing.GRID}.0) * ln(p)) / sum(pow(p, m / {mixing.GRID}.0)) AS h,
+      pow(min(p), m / {mixing.GRID}.0 - 1) / sum(pow(p, m / {mixing.GRID}.0)) AS r, count(*) AS k
+    FROM (SELECT low, low + i * {width} AS m FROM {before}, range({mixing.PARTS + 1}) AS t(i)) marks, shares GROUP BY m) at_marks)"""
+
+
+def _mix_rounds(name: str, test: str) -> str:
+    steps, before = [], "zero"
+    for step in range(mixing.STEPS):
+        steps.append(_mix_round(f"{name}{step}", before, mixing.GRID // mixing.PARTS ** (step + 1), test))
+        before = f"{name}{step}"
+    return ",".join(steps)
+
+
+def _number(*parts: str) -> str:
+    text = " || '|' || ".join(f"({p})::VARCHAR" for p in (f"'{mixing.SEED}'", *parts))
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+#: Restates mixing.mix for tables with more than one source and a budget as large as the corpus.
+MIX_SQL = f"""
+WITH facts AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS key,
+    coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS document, len(regexp_extract_all(coalesce(text, ''), {SPACED}))::BIGINT AS n FROM documents),
+sources AS (SELECT key, sum(n)::BIGINT AS n FROM facts GROUP BY key),
+shares AS (SELECT key, n, n / (SELECT sum(n) FROM sources)::DOUBLE AS p, (SELECT sum(n) FROM sources) AS total FROM sources WHERE n > 0),
+zero AS (SELECT 0::BIGINT AS low),
+{_mix_rounds("e", f"h >= {ENTROPY} * ln(k) - 1e-12")},
+{_mix_rounds("r", f"r > {REPEATS}")},
+chosen AS (
+  SELECT CASE WHEN pow(min(p), e.low / {mixing.GRID}.0 - 1) / sum(pow(p, e.low / {mixing.GRID}.0)) > {REPEATS} THEN least({mixing.GRID}, any_value(r.low) + 1) ELSE e.low END / {mixing.GRID}.0 AS t
+  FROM shares, e{mixing.STEPS - 1} e, r{mixing.STEPS - 1} r GROUP BY e.low),
+weights AS (SELECT key, n, total, pow(p, t) / sum(pow(p, t)) OVER () AS weight FROM shares, chosen),
+plan AS (
+  SELECT s.key, s.n, coalesce(weight, 0.0) AS weight, coalesce(floor(weight * total + 1e-6), 0)::BIGINT AS budget,
+    CASE WHEN s.n > 0 THEN floor(weight * total + 1e-6)::BIGINT // s.n ELSE 1 END AS epochs,
+    greatest(1, least({mixing.BLOCKS}, ceil(s.n / {mixing.BLOCK_TOKENS}.0)))::BIGINT AS blocks FROM sources s LEFT JOIN weights USING (key)),
+placed AS (
+  SELECT f.*, p.weight, p.budget, p.epochs, p.n AS source_n, CASE WHEN p.n > 0 THEN p.budget - p.epochs * p.n ELSE 0 END AS rest,
+    {_number("'block'", "document")} % p.blocks AS block, {_number("'place'", "document")} AS place FROM facts f JOIN plan p USING (key)),
+blocks AS (
+  SELECT key, block, turn, n, rest, sum(n) OVER (PARTITION BY key ORDER BY turn, block ROWS UNBOUNDED PRECEDING) AS upto
+  FROM (SELECT key, block, {_number("key", "any_value(epochs)", "block")} AS turn, sum(n) AS n, any_value(rest) AS rest FROM placed GROUP BY key, block)),
+cut AS (
+  SELECT key, turn AS cut_turn, block AS cut_block, rest - upto + n AS room FROM blocks WHERE upto > rest
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY turn, block) = 1),
+filled AS (
+  SELECT key, max(place) AS cut_place FROM (
+    SELECT p.key, place, room, sum(p.n) OVER (PARTITION BY p.key ORDER BY place RANGE UNBOUNDED PRECEDING) AS filled
+    FROM placed p JOIN cut c ON p.key = c.key AND p.block = c.cut_block) WHERE filled <= room GROUP BY key),
+counted AS (
+  SELECT p.*, p.epochs + CASE WHEN source_n = 0 OR cut_turn IS NULL THEN 0
+      WHEN {_number("p.key", "epochs", "block")} < cut_turn OR ({_number("p.key", "epochs", "block")} = cut_turn AND block < cut_block) THEN 1
+      WHEN block = cut_block AND place <= cut_place THEN 1 ELSE 0 END AS copies
+  FROM placed p LEFT JOIN cut USING (key) LEFT JOIN filled USING (key))
+SELECT doc_id, source, n AS n_tokens, epoch::BIGINT AS epoch, block FROM counted, unnest(range(0, copies::BIGINT)) AS t(epoch)
+"""
+
+
+@query("op1_mix_sources", MIX_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), entropy=ENTROPY, repeats=REPEATS)
+    return mixed.select("doc_id", "source", "n_tokens", "epoch", "block")
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_learned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(PIECES))
+    return counted.select("doc_id", "n_words", "n_tokens", "log_prob")
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+
+
 NEAR_DUP_SQL = f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({SMALL_LETTERS}, {SPACED}) AS w FROM documents),
@@ -47,7 +140,17 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id
 
 @query("op5_minhash_near_dedup", NEAR_DUP_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.link(table(spark, sf_dir, "documents"), size=2, percent=80)
+    return near_dup.link(table(spark, sf_dir, "documents"), size=2, percent=80).drop("row")
+
+
+@query("op6_vector_search")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
 DECONTAMINATE_SQL = f"""
