@@ -4,7 +4,7 @@ Fit, on labelled documents only (at most about TRAIN_ROWS of them, chosen by a h
 three of four give the token log-odds, the fourth calibrates.  A token is a word or one of its beginnings of 3 to 8 letters,
 so inflections that training never saw count by their stem.  Log-odds are taken between toxic and clean documents under a
 Dirichlet prior in proportion to the token's total count; tokens far from zero (Z_LEAST standard deviations, ODDS_LEAST)
-make the model, at most MODEL_TOKENS of them.  Documents that look like copies of each other (same least shingle hash and
+make the model, at most MODEL_TOKENS of them, and as many tokens that are known to be neutral where a shorter one is not.  Documents that look like copies of each other (same least shingle hash and
 label) share one vote.
 
 Scoring, on every whole text: each word scores the log-odds of its most telling token, less a small drift, and one linear
@@ -41,6 +41,8 @@ PRIOR = 200.0
 Z_LEAST = 3.0
 ODDS_LEAST = 1.0
 VOTES_LEAST = 3
+#: Votes beyond which a token that tells nothing is taken to be neutral.
+VOTES_SURE = 10
 DRIFT = 0.1
 REJECT = 0.7
 #: One vote, in whole numbers so that sums do not depend on their order.
@@ -60,7 +62,8 @@ class Model(NamedTuple):
 
 
 def tokens_of(word: str) -> list[str]:
-    return ["=" + word, *(word[:k] for k in range(3, min(8, len(word)) + 1))]
+    """From the most to the least specific."""
+    return ["=" + word, *(word[:k] for k in range(min(8, len(word)), 2, -1))]
 
 
 def words_of(text: bytes) -> list[str]:
@@ -68,12 +71,17 @@ def words_of(text: bytes) -> list[str]:
 
 
 def word_weight(word: str, weights: dict[str, tuple[float, float]]) -> float:
-    """Log-odds of the word's token that is farthest from zero in standard deviations."""
+    """Log-odds of the word's token that is farthest from zero in standard deviations, up to the first token that is known
+    well enough to be neutral (of weight zero)."""
     best, far = 0.0, 0.0
     for token in tokens_of(word):
-        z, odds = weights.get(token, (0.0, 0.0))
-        if abs(z) > far:
-            best, far = odds, abs(z)
+        found = weights.get(token)
+        if found is None:
+            continue
+        if not found[1]:
+            break
+        if abs(found[0]) > far:
+            best, far = found[1], abs(found[0])
     return best
 
 
@@ -173,14 +181,18 @@ def fit_weights(votes: DataFrame, model_tokens: int) -> dict[str, tuple[float, f
     y1, y0 = F.col("toxic") / VOTE, F.col("clean") / VOTE
     a = F.lit(PRIOR) * (y1 + y0) / (n1 + n0)
     odds = lambda y, n: F.log((y + a) / (F.lit(n + PRIOR) - y - a))
-    scored = (
-        votes.filter((F.col("token") != "") & (y1 + y0 >= VOTES_LEAST) & (y1 + y0 < 0.999 * (n1 + n0)))
-        .withColumn("odds", odds(y1, n1) - odds(y0, n0))
-        .withColumn("z", F.col("odds") / F.sqrt(1 / (y1 + a) + 1 / (y0 + a)))
-        .filter((F.abs("z") >= Z_LEAST) & (F.abs("odds") >= ODDS_LEAST))
-    )
-    best = scored.orderBy(F.abs("z").desc(), "token").limit(model_tokens).select("token", "z", "odds")
-    return {r["token"]: (r["z"], r["odds"]) for r in best.collect()}
+    scored = votes.filter((F.col("token") != "") & (y1 + y0 >= VOTES_LEAST) & (y1 + y0 < 0.999 * (n1 + n0))).withColumn("odds", odds(y1, n1) - odds(y0, n0))
+    scored = scored.withColumn("z", F.col("odds") / F.sqrt(1 / (y1 + a) + 1 / (y0 + a))).withColumn("telling", (F.abs("z") >= Z_LEAST) & (F.abs("odds") >= ODDS_LEAST))
+    best = scored.filter("telling").orderBy(F.abs("z").desc(), "token").limit(model_tokens).select("token", "z", "odds")
+    weights = {r["token"]: (r["z"], r["odds"]) for r in best.collect()}
+    # tokens met often enough that are neutral, where a less specific one is not
+    letters = F.regexp_replace("token", "^=", "")
+    shorter = F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.least(F.lit(8), F.length(letters)))), lambda k: F.substring(letters, F.lit(1), k))
+    neutral = scored.filter((~F.col("telling")) & (y1 + y0 >= VOTES_SURE)).select("token", "toxic", "clean", F.explode(shorter).alias("part"))
+    neutral = neutral.join(F.broadcast(best.select(F.col("token").alias("part"))), "part").select("token", (F.col("toxic") + F.col("clean")).alias("n")).distinct()
+    for r in neutral.orderBy(F.col("n").desc(), "token").limit(model_tokens).collect():
+        weights[r["token"]] = (0.0, 0.0)
+    return weights
 
 
 def scanned(rows: DataFrame, weights: dict) -> DataFrame:
