@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +41,14 @@ def sha_list(parts: Column) -> Column:
     return F.sha2(F.array_join(parts, ",").cast("binary"), 256)
 
 
-def steps(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of Arrow batches with their texts as bytes (null as empty), each slice of about STEP_BYTES."""
+def steps(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of Arrow batches with their texts as bytes (null as empty), each slice of about `size` bytes."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         texts = [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
         first, held = 0, 0
         for i, t in enumerate(texts):
-            if held and held + len(t) > STEP_BYTES:
+            if held and held + len(t) > size:
                 yield batch.slice(first, i - first), texts[first:i]
                 first, held = i, 0
             held += len(t) + 1
@@ -55,5 +56,29 @@ def steps(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tup
             yield batch.slice(first), texts[first:]
 
 
-def crc(data: bytes) -> int:
+def crc(data: bytes | memoryview) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, one value after the other, and the offsets of the values in them."""
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = column.buffers()[2]
+    data = np.frombuffer(held, dtype=np.uint8) if held is not None else np.empty(0, dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with about `size` bytes in a binary column, a longer value in a slice of its own."""
+    for batch in batches:
+        _, offsets = binary_parts(batch.column(column))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last

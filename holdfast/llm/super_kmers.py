@@ -15,7 +15,6 @@ repeat (doc_id, text) get equal results; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps
-from .words import SPACES, Words, split_words, window_hashes, word_hashes
+from .common import binary_column, binary_parts, steps
+from .words import SPACES, Words, split_words, window_hashes, word_hashes, words_between
 
 WIDTH = 13
 SEED = 3
+JUDGE_ROWS = 20_000
+#: Bytes of text that one blob per target gathers; fewer, larger blobs compress better.
+SEND_BYTES = 8 << 20
+_LEVEL = 3
 
-_MOVED = "bucket long, doc_id long, row long, start long, packed binary"
+_BLOBS = "target int, size long, blob binary"
+_ROWS = "bucket long, doc_id long, row long, start long, stop long, packed binary"
 _MARKS = "doc_id long, row long, start long, end long"
 
 
@@ -61,30 +65,61 @@ def stretches(words: Words, hashes: np.ndarray, width: int, seed: int) -> tuple[
     return doc[at[first]], at[first], at[last], least[at[first]]
 
 
-def send(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
-    for part, texts in steps(batches, "text"):
+def send(batches: Iterator[pa.RecordBatch], width: int, seed: int, targets: int) -> Iterator[pa.RecordBatch]:
+    """A compressed blob per target with the stretches of the buckets that it holds."""
+    codec = pa.Codec("zstd", compression_level=_LEVEL)
+    for part, texts in steps(batches, "text", SEND_BYTES):
         ids, rows = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("row").to_numpy(zero_copy_only=False)
         words = split_words(texts, SPACES)
-        hashes, raw = word_hashes(words), words.data.tobytes()
-        doc, first, last, least = stretches(words, hashes, width, seed)
-        begin, end = words.start[first], words.end[last + width - 1] if len(last) else last
-        packed = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        # of equal stretches in this step, the smallest document's goes on and the others are marked at once
+        raw = words.data.tobytes()
+        doc, first, last, least = stretches(words, word_hashes(words), width, seed)
+        if not len(doc):
+            continue
+        begin, end = words.start[first], words.end[last + width - 1]
+        packed = [raw[a:b] + b" " for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        # of equal stretches in this step, the smallest document's goes on; the others are marked without their words
+        own = ids[doc].tolist()
         owner: dict[bytes, int] = {}
-        for p, d in zip(packed, ids[doc].tolist(), strict=True):
+        for p, d in zip(packed, own, strict=True):
             if owner.setdefault(p, d) > d:
                 owner[p] = d
-        mine = [owner[p] == d for p, d in zip(packed, ids[doc].tolist(), strict=True)]
+        packed = [p if owner[p] == d else b"" for p, d in zip(packed, own, strict=True)]
         start, stop = first - words.first[doc], last - words.first[doc] + width
-        bucket = least.view(np.int64).copy()
-        late = ~np.array(mine, dtype=bool) if len(mine) else np.empty(0, dtype=bool)
-        bucket[late] = rows[doc][late]
-        # a mark has the end of its run in place of the string
-        sent = [p if m else int(e).to_bytes(8, "little") for p, m, e in zip(packed, mine, stop.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket), pa.array(ids[doc]), pa.array(rows[doc]), pa.array(np.where(late, -1 - start, start)), pa.array(sent, pa.binary())],
-            names=["bucket", "doc_id", "row", "start", "packed"],
-        )
+        target = (least >> np.uint64(32)) % np.uint64(targets)
+        order = np.argsort(target, kind="stable")
+        edges = np.searchsorted(target[order], np.arange(targets + 1))
+        blobs, sizes, filled = [], [], []
+        for t in np.flatnonzero(np.diff(edges)).tolist():
+            at = order[edges[t] : edges[t + 1]]
+            names, which = np.unique(doc[at], return_inverse=True)
+            strings = [packed[i] for i in at.tolist()]
+            head = np.array([len(at), len(names)], dtype="<i8")
+            columns = (head, ids[names].astype("<i8"), rows[names].astype("<i8"), (least[at] & np.uint64(0xFFFFFFFF)).astype("<u4"), which.astype("<u4"))
+            columns += (start[at].astype("<u4"), (stop - start)[at].astype("<u4"), np.fromiter(map(len, strings), dtype="<u4", count=len(at)))
+            plain = b"".join([c.tobytes() for c in columns] + strings)
+            blobs.append(codec.compress(plain, asbytes=True))
+            sizes.append(len(plain))
+            filled.append(t)
+        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["target", "size", "blob"])
+
+
+def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of each blob as rows."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        for i in range(batch.num_rows):
+            plain = codec.decompress(batch.column(2)[i].as_buffer(), decompressed_size=batch.column(1)[i].as_py(), asbytes=True)
+            n, docs = np.frombuffer(plain, dtype="<i8", count=2).tolist()
+            at = 16
+            parts = []
+            for count, kind in ((docs, "<i8"), (docs, "<i8"), *[(n, "<u4")] * 5):
+                parts.append(np.frombuffer(plain, dtype=kind, count=count, offset=at))
+                at += count * np.dtype(kind).itemsize
+            ids, rows, bucket, which, start, length, size = parts
+            packed = binary_column(np.frombuffer(plain, dtype=np.uint8, offset=at), np.concatenate([[0], np.cumsum(size, dtype=np.int64)]))
+            start = start.astype(np.int64)
+            columns = [bucket.astype(np.int64), ids[which], rows[which], start, start + length.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), packed], names=["bucket", "doc_id", "row", "start", "stop", "packed"])
 
 
 class Seen:
@@ -99,20 +134,21 @@ class Seen:
 def judge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (bucket, doc_id) -> runs of words of documents that are not the first with them."""
     seen = Seen()
-    for part, texts in steps(batches, "packed"):
-        start = part.column("start").to_numpy(zero_copy_only=False)
-        columns = {c: part.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "doc_id", "row")}
-        marks = start < 0
-        out = [(columns["doc_id"][marks], columns["row"][marks], -1 - start[marks], np.array([int.from_bytes(t, "little") for t, m in zip(texts, marks, strict=True) if m], np.int64))]
-        rows = np.flatnonzero(~marks)
-        if len(rows):
-            out.append(_judge(seen, [texts[i] for i in rows.tolist()], start[rows], {c: v[rows] for c, v in columns.items()}, width))
-        merged = [np.concatenate([o[i] for o in out]) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(m) for m in merged], names=["doc_id", "row", "start", "end"])
-
-
-def _judge(seen: Seen, texts: list[bytes], start: np.ndarray, columns: dict[str, np.ndarray], width: int) -> tuple[np.ndarray, ...]:
-    words = split_words(texts, SPACES)
+    for batch in batches:
+        for first in range(0, batch.num_rows, JUDGE_ROWS):
+            part = batch.slice(first, JUDGE_ROWS)
+            c = {name: part.column(name).to_numpy(zero_copy_only=False) for name in ("bucket", "doc_id", "row", "start", "stop")}
+            data, offsets = binary_parts(part.column("packed"))
+            late = np.diff(offsets) == 0
+            out = [(c["doc_id"][late], c["row"][late], c["start"][late], c["stop"][late])]
+            if not late.all():
+                bounds = np.append(offsets[:-1][~late], offsets[-1])
+                out.append(_judge(seen, words_between(data, bounds, SPACES), c["start"][~late], {k: v[~late] for k, v in c.items()}, width))
+            merged = [np.concatenate([o[i] for o in out]) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(m) for m in merged], names=["doc_id", "row", "start", "end"])
+
+
+def _judge(seen: Seen, words: Words, start: np.ndarray, columns: dict[str, np.ndarray], width: int) -> tuple[np.ndarray, ...]:
     windows = window_hashes(word_hashes(words), width)
     of = np.searchsorted(words.first, np.arange(len(windows)), side="right") - 1
     at = np.flatnonzero(np.arange(len(windows)) + width <= words.first[of + 1])
@@ -151,8 +187,9 @@ def repeated_runs(docs: DataFrame, *, width: int = WIDTH, seed: int = SEED) -> D
 
     `docs` has doc_id (long), text and row.
     """
-    sent = docs.filter("doc_id is not null and text is not null").mapInArrow(lambda it: send(it, width, seed), _MOVED)
-    dealt = sent.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    targets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sent = docs.filter("doc_id is not null and text is not null").mapInArrow(lambda it: send(it, width, seed, targets), _BLOBS)
+    dealt = sent.repartitionById(targets, F.col("target")).mapInArrow(unpack, _ROWS).sortWithinPartitions("bucket", "doc_id")
     return dealt.mapInArrow(lambda it: judge(it, width), _MARKS)
 
 
@@ -191,6 +228,3 @@ def digest(found: DataFrame) -> DataFrame:
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
     return found.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
-
-def kept_hash(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()

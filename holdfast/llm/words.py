@@ -44,6 +44,14 @@ def split_words(texts: Sequence[bytes], separators: np.ndarray, lower: bool = Fa
     return Words(data, start, end, np.searchsorted(start, places))
 
 
+def words_between(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> Words:
+    """Words of bytes that lie one after the other, each ending in a separator: text d is data[bounds[d]:bounds[d + 1]]."""
+    apart = np.concatenate([[True], separators[data]])
+    edge = np.flatnonzero(apart[1:] != apart[:-1])
+    start, end = edge[0::2], edge[1::2]
+    return Words(data, start, end, np.searchsorted(start, bounds))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -63,9 +71,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(words: Words) -> np.ndarray:
-    """64 bits of each word: a polynomial of its bytes by prefix sums modulo 2**64, then mixed with its length."""
-    start, end = words.start, words.end
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each span of values (spans ascending, apart): a polynomial by prefix sums modulo 2**64, mixed with the length."""
     out = np.empty(len(start), dtype=np.uint64)
     i = 0
     while i < len(start):
@@ -73,13 +80,18 @@ def word_hashes(words: Words) -> np.ndarray:
         base, top = int(start[i]), int(end[j - 1])
         power, inverse = _power_tables(top - base)
         total = np.zeros(top - base + 1, dtype=np.uint64)
-        np.cumsum((words.data[base:top].astype(np.uint64) + np.uint64(1)) * power[: top - base], out=total[1:])
+        np.cumsum((values[base:top].astype(np.uint64) + np.uint64(1)) * power[: top - base], out=total[1:])
         s, e = start[i:j] - base, end[i:j] - base
         out[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         i = j
     return out
 
 
+def word_hashes(words: Words) -> np.ndarray:
+    """64 bits of each word."""
+    return span_hashes(words.data, words.start, words.end)
+
+
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """64 bits of each run of `size` words, in order; runs that cross documents are the caller's to leave out."""
     n = len(hashes) - size + 1
