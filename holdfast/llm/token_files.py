@@ -20,27 +20,58 @@ each other by length and checksum; an empty table gives empty files; extra colum
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import scratch_path
-from .common import crc, steps
+from .common import binary_column, binary_parts, crc, slices, steps
+from .words import span_hashes
 
 END = 2
 #: Pre-tokens that a worker remembers.
-_CACHE = 400_000
-
-#: The splitting rule of the byte-level tokenizer file (fixed).
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters whose class is the same in every Unicode version and library, and no special token's string.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
+_KNOWN = 1_000_000
+
+# Classes of characters, for those whose class is the same in every Unicode version and library.  Others, and NUL, are odd.
+_LETTER, _DIGIT, _MARK, _SPACE, _BREAK, _ODD = range(6)
+_CLASSES = np.full(0x250, _ODD, dtype=np.uint8)
+_CLASSES[[0x09, 0x0A, 0x0D, 0x20]] = _SPACE
+for _code in (*range(0x21, 0x7F), *range(0xA1, 0x250)):
+    _CLASSES[_code] = {"L": _LETTER, "N": _DIGIT}.get(unicodedata.category(chr(_code))[0], _MARK)
+_CLASSES[0xAD] = _ODD
+#: What may follow an apostrophe as a pre-token with it (fixed by the tokenizer's splitting rule).
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def piece_starts(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where pre-tokens start, for characters of the plain classes and breaks between texts.
+
+    The rule of the tokenizer file: `'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`.
+    A run of one class is a pre-token, with a blank before it; of other white space the last character stands alone unless
+    the text ends there.
+    """
+    before, after = np.append(_BREAK, kinds[:-1]), np.append(kinds[1:], _BREAK)
+    start = (kinds != before) | (kinds == _BREAK)
+    word = kinds < _SPACE
+    start |= (kinds == _SPACE) & (after < _SPACE)
+    blank = np.append(False, codes[:-1] == 0x20)
+    start &= ~(word & blank)
+    at = np.flatnonzero((codes == 0x27) & start & (after == _LETTER))
+    if len(at):
+        padded = np.append(codes, [0, 0, 0])
+        for ending in _ENDINGS:
+            here = at[np.all([padded[at + 1 + k] == ord(c) for k, c in enumerate(ending)], axis=0)]
+            start[here + 1] = False
+            then = here + 1 + len(ending)
+            then = then[then < len(kinds)]
+            start[then[kinds[then] == _LETTER]] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
@@ -51,33 +82,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def plain(self, text: str) -> bool:
-        return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
-    def learn(self, pieces: set[str]) -> None:
-        fresh = list(pieces)
-        for piece, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, dtype=np.uint32).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        split = [_PIECES.findall(t) if self.plain(t) else None for t in texts]
-        missing = {p for pieces in split if pieces for p in pieces}.difference(known)
-        if len(known) + len(missing) > _CACHE:
-            known.clear()
-            missing = {p for pieces in split if pieces for p in pieces}
-        if missing:
-            self.learn(missing)
-        return [
-            self.whole(t) if pieces is None else np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4")
-            for t, pieces in zip(texts, split, strict=True)
-        ]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        """known[hash] = i; the ids of pre-token i are ids[offsets[i]:offsets[i + 1]]."""
+        self.known: dict[int, int] = {}
+        self.ids, self.offsets = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def learn(self, hashes: list[int], pieces: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.known.update(zip(hashes, range(len(self.offsets) - 1, len(self.offsets) - 1 + len(hashes)), strict=True))
+        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), dtype="<u4")])
+        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + ends])
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        apart = [b"\x00" in t or any(s in t for s in self.special) for t in texts]
+        joined = b"\x00".join(b"" if odd else t for t, odd in zip(texts, apart, strict=True)) + b"\x00"
+        codes = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
+        kinds = np.full(len(codes), _ODD, dtype=np.uint8)
+        near = codes < len(_CLASSES)
+        kinds[near] = _CLASSES[codes[near]]
+        kinds[codes == 0] = _BREAK
+        breaks = np.flatnonzero(kinds == _BREAK)
+        for d in np.unique(np.searchsorted(breaks, np.flatnonzero(kinds == _ODD))).tolist():
+            apart[d] = True
+        start = piece_starts(codes, kinds)
+        end = np.append(start[1:], len(codes))
+        first = np.append(0, np.searchsorted(start, breaks) + 1)
+        hashes, at, which = np.unique(span_hashes(codes, start, end), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        if len(self.known) + len(keys) > _KNOWN:
+            self.forget()
+        fresh = [i for i, k in enumerate(keys) if k not in self.known]
+        if fresh:
+            self.learn([keys[i] for i in fresh], [codes[start[at[i]] : end[at[i]]].tobytes().decode("utf-32-le") for i in fresh])
+        piece = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[which]
+        begin, length = self.offsets[piece], self.offsets[piece + 1] - self.offsets[piece]
+        length[np.searchsorted(start, breaks)] = 0
+        stop = np.cumsum(length)
+        ids = self.ids[np.arange(stop[-1]) + np.repeat(begin - (stop - length), length)]
+        edge = np.append(0, stop)[first].tolist()
+        return [self.whole(t) if odd else ids[a:b] for t, odd, a, b in zip(texts, apart, edge[:-1], edge[1:], strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -93,8 +143,8 @@ def encode(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for part, texts in steps(batches):
-            ids = own.encode([t.decode("utf-8", "replace") for t in texts])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.astype("<u4").tobytes() + last for x in ids], pa.binary())], names=["doc_id", "ids"])
+            ids = [x.tobytes() + last for x in own.encode(texts)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary")
@@ -105,8 +155,8 @@ def count_ids(encoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
-        for _, data in steps(batches, "ids"):
-            more = np.bincount(np.frombuffer(b"".join(data), dtype="<u4"))
+        for part in slices(batches, "ids"):
+            more = np.bincount(binary_parts(part.column("ids"))[0].view("<u4"))
             if len(more) > len(total):
                 total, more = more, total
             total[: len(more)] += more
@@ -121,31 +171,44 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 LENGTHS.setflags(write=False)
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of the ranks."""
+def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of lists of ranks that follow each other, each with the offsets of the lists in them."""
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
     extra = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    padded[: len(ranks)] = extra
+    room = np.append(0, np.cumsum(-(-counts // 4)))
+    padded = np.zeros(4 * room[-1], dtype=np.uint8)
+    padded[slots(counts, room)] = extra
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    keep = np.arange(4) <= extra[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    size = np.append(0, np.cumsum(extra.astype(np.int64) + 1))
+    return control, room, data, size[np.append(0, np.cumsum(counts))]
+
+
+def slots(counts: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The place of every rank among the two-bit fields of all control bytes."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(4 * room[:-1] - (ends - counts), counts)
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ranks: lengths by table lookup, places by a running sum."""
-    length = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    stop = np.cumsum(length)
-    raw = np.frombuffer(data, dtype=np.uint8)
-    ranks = np.zeros(n, dtype=np.uint32)
+def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranks of all lists: lengths by table lookup, places by a running sum."""
+    room = np.append(0, np.cumsum(-(-counts // 4)))
+    length = LENGTHS[control].reshape(-1)[slots(counts, room)]
+    begin = np.cumsum(length) - length
+    ranks = np.zeros(len(length), dtype=np.uint32)
     for k in range(4):
         at = np.flatnonzero(length > k)
         if len(at):
-            ranks[at] |= raw[stop[at] - length[at] + k].astype(np.uint32) << np.uint32(8 * k)
+            ranks[at] |= data[begin[at] + k].astype(np.uint32) << np.uint32(8 * k)
     return ranks
 
 
+def checksums(ids: np.ndarray, counts: np.ndarray) -> list[int]:
+    raw, ends = memoryview(np.ascontiguousarray(ids, dtype="<u4").view(np.uint8)), (4 * np.cumsum(counts)).tolist()
+    return [crc(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end: int = END) -> None:
     """Write the files of `docs` below `path`."""
     spark = docs.sparkSession
@@ -161,15 +224,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "d
     shared = spark.sparkContext.broadcast(rank_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data in steps(batches, "ids"):
-            packed = [pack(shared.value[np.frombuffer(d, dtype="<u4")]) for d in data]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"), pa.array([len(d) // 4 for d in data], pa.int64()), pa.array([crc(d) for d in data], pa.int64()),
-                    *[pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1)],
-                ],
-                names=["doc_id", "n_tokens", "checksum", "control", "data"],
-            )
+        for part in slices(batches, "ids"):
+            data, offsets = binary_parts(part.column("ids"))
+            ids, counts = data.view("<u4"), np.diff(offsets) // 4
+            control, room, coded, edge = pack(shared.value[ids], counts)
+            columns = [part.column("doc_id"), pa.array(counts), pa.array(checksums(ids, counts), pa.int64()), binary_column(control, room), binary_column(coded, edge)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "checksum", "control", "data"])
 
     coded = encoded.mapInArrow(run, "doc_id long, n_tokens long, checksum long, control binary, data binary")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -189,16 +249,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("part int, doc_id long, n_tokens long, checksum long, control binary, data binary").parquet(f"{path}/tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data in steps(batches, "data"):
-            columns = zip(part.column("control").to_pylist(), data, part.column("n_tokens").to_pylist(), strict=True)
-            ids = [shared.value[unpack(c, d, n)].tobytes() for c, d, n in columns]
-            sums = [crc(i) for i in ids]
+        for part in slices(batches, "data"):
+            counts = part.column("n_tokens").to_numpy()
+            ids = shared.value[unpack(binary_parts(part.column("control"))[0], binary_parts(part.column("data"))[0], counts)]
+            sums = checksums(ids, counts)
             if sums != part.column("checksum").to_pylist():
                 raise ValueError(f"damaged token file below {path}")
-            yield pa.RecordBatch.from_arrays(
-                [part.column("part"), part.column("doc_id"), part.column("n_tokens"), pa.array(ids, pa.binary()), pa.array(sums, pa.int64())],
-                names=["part", "doc_id", "n_tokens", "ids", "ids_crc32"],
-            )
+            columns = [part.column("part"), part.column("doc_id"), part.column("n_tokens"), binary_column(ids.view(np.uint8), 4 * np.append(0, np.cumsum(counts))), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "n_tokens", "ids", "ids_crc32"])
 
     return rows.mapInArrow(run, "part int, doc_id long, n_tokens long, ids binary, ids_crc32 long")
 
