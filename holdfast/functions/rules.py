@@ -58,37 +58,8 @@ def rule_score(
     return clamp_score(total)
 
 
-# Own wording for the action codes; a caller may pass another catalogue.
-ACTION_TEXT = {
-    "UPGRADE_CONTRACT": "Propose a one-year contract with a price incentive",
-    "ONBOARD": "Give the new customer a personal onboarding contact",
-    "FIRST_YEAR": "Thank the first-year customer and add a service for a trial period",
-    "BUNDLE": "Propose a cheaper bundle for the current bill of {bill}",
-    "SERVICE_QUALITY": "Check the quality of the fiber line before the customer asks",
-    "SENIOR_DESK": "Route the customer to the senior service desk",
-    "TRIAL_SUPPORT": "Open a free trial of technical support",
-    "BILL_SUMMARY": "Send a readable monthly bill summary",
-    "CALL": "Ask for feedback in a personal call",
-    "REWARD": "Grant a loyalty reward",
-    "MAINTAIN": "Keep up the present service level",
-    "LOYALTY": "Invite the customer to the loyalty programme",
-    "UPSELL": "Show the customer a larger bundle",
-    "CHECKIN": "Plan a half-yearly check-in",
-    "CONTRACT_DISCOUNT": "Discount a move to a longer contract",
-    "RETENTION_AGENT": "Hand the account to a retention agent",
-    "CALL_24H": "Call within one day",
-    "MANAGER_CALL": "Let the relationship manager call",
-    "PREMIUM_ACCOUNT": "Propose the premium account",
-    "VOUCHER": "Mail a personal voucher",
-    "CASHBACK": "Raise cashback on the coming orders",
-    "ACT_NOW": "Churn probability is {prob}: act at once",
-    "LOW_RISK": "Low risk: keep the service as it is",
-    "CONSIDER_UPSELL": "Look for an upsell",
-}
-
-
-def action_text(codes: Column, bill: Column | None = None, prob: Column | None = None, catalogue: dict[str, str] = ACTION_TEXT) -> Column:
-    """Replace each code of an array by its text."""
+def action_text(codes: Column, catalogue: dict[str, str], bill: Column | None = None, prob: Column | None = None) -> Column:
+    """Replace each code of an array by the caller's text for it, with {bill} and {prob} filled in; a code without one stays."""
     book = F.create_map(*[F.lit(x) for item in catalogue.items() for x in item])
     bill_text = F.lit("") if bill is None else F.concat(F.lit("$"), F.format_number(bill.cast("double"), 0))
     prob_text = F.lit("") if prob is None else format_percent(prob)

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash60, key_text
+from ..functions.hashing import hash60, key_text, uniform
 from ..functions.text import ref
-from ..session import cut_lineage
+from ..session import materialised
 from .neighbours import LEAF, neighbour_vectors
 from .order_stats import select_ranks
 
@@ -17,15 +17,24 @@ COPIES_PER_ROW = 10_000
 
 
 def class_weight(df: DataFrame, label: str = "label", column: str = "weight") -> DataFrame:
-    """n / (classes * n_class) per row; scales to any size."""
-    counts = {r[label]: r["n"] for r in df.groupBy(ref(label)).agg(F.count("*").alias("n")).limit(1001).collect()}
-    if len(counts) > 1000:
-        raise ValueError(f"{label} has more than 1000 classes")
-    total = sum(counts.values())
-    weight = F.lit(None).cast("double")
-    for value, n in counts.items():
-        weight = F.when(ref(label).eqNullSafe(F.lit(value)), F.lit(total / (len(counts) * n))).otherwise(weight)
-    return df.withColumn(column, weight)
+    """n / (classes * n_class) per row.  Counts are joined back by class, however many there are; a null class is one."""
+    counts = df.groupBy(F.struct(ref(label).alias("l")).alias("__l")).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n").alias("n"), F.count("*").alias("k")).first()
+    weights = counts.select("__l", (F.lit(float(total["n"] or 0)) / (F.lit(total["k"]) * F.col("__n"))).alias(column))
+    return df.drop(column).withColumn("__l", F.struct(ref(label).alias("l"))).join(weights, "__l").drop("__l")
+
+
+def oversample(df: DataFrame, key: str | Sequence[str], label: str = "label", seed: int = 42) -> DataFrame:
+    """Rows of smaller classes repeated until classes are about equal, for models that take no weights.
+
+    A row comes as often as its class asks for in whole numbers, and once more if its key's hash lies below the rest.
+    """
+    counts = df.groupBy(F.struct(ref(label).alias("l")).alias("__l")).agg(F.count("*").alias("__n"))
+    most = counts.agg(F.max("__n")).first()[0] or 0
+    shares = counts.select("__l", (F.lit(float(most)) / F.col("__n")).alias("__s"))
+    joined = df.withColumn("__l", F.struct(ref(label).alias("l"))).join(shares, "__l")
+    copies = F.floor("__s") + F.when(uniform(key_text(key), f"over{seed}") < F.col("__s") - F.floor("__s"), 1).otherwise(0)
+    return joined.withColumn("__c", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("__l", "__s", "__c")
 
 
 def smote(
@@ -58,9 +67,9 @@ def smote(
     )
     cut = -1
     if extra:
-        cut = select_ranks(small.select("__h"), {((), "__h"): [extra - 1]})[((), "__h")][extra - 1]
+        cut = select_ranks(small.select("__h"), "__h", [extra - 1])[extra - 1]
     copies = F.lit(each) + F.when(F.col("__h") <= F.lit(cut), 1).otherwise(0)
-    points = cut_lineage(small.groupBy("vec").agg(F.count("*").alias("mult"), F.sum(copies).alias("copies")))
+    points = materialised(small.groupBy("vec").agg(F.count("*").alias("mult"), F.sum(copies).alias("copies")), "points")
     made = neighbour_vectors(points, k, leaf_size).filter((F.col("copies") > 0) & (F.size("near") > 0))
     # A value held by many rows asks for many copies: spread them over tasks before they are made.
     step = F.lit(COPIES_PER_ROW)

@@ -155,7 +155,8 @@ def tree_arrays(model: PipelineModel) -> list[dict]:
                 raise ValueError("categorical splits are not supported; encode levels as 0/1 features")
         out.append(
             {
-                "weight": weights[t] if boosted else 1.0 / len(trees),
+                # a boosted margin is half the log-odds
+                "weight": 2.0 * weights[t] if boosted else 1.0 / len(trees),
                 "left": [r["leftChild"] for r in rows],
                 "right": [r["rightChild"] for r in rows],
                 "feature": [r["split"]["featureIndex"] for r in rows],
@@ -210,7 +211,6 @@ def _tree_attributor(trees: Sequence[Mapping], features: Sequence[str], keep: Se
         import pandas as pd
 
         paths = leaf_paths()
-        names = np.array(features, dtype=object)
         for pdf in batches:
             x = pdf[[f"__f{i}" for i in range(len(features))]].to_numpy(dtype=float)
             phi = np.zeros_like(x)
@@ -231,27 +231,31 @@ def _tree_attributor(trees: Sequence[Mapping], features: Sequence[str], keep: Se
                 sizes = [math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)]
                 for j in range(m):
                     o = one[:, j]
-                    # divide the factor of feature j out again; z > 0 because every kept branch saw training rows
-                    rest = np.zeros((len(x), m))
-                    rest[:, 0] = poly[:, 0] / z[j]
-                    for s in range(1, m):
-                        rest[:, s] = (poly[:, s] - o * rest[:, s - 1]) / z[j]
+                    # divide the factor of feature j out again: for rows that pass, from the highest power down, where
+                    # z <= 1 only multiplies; for others the factor is the number z, positive as every branch saw rows
+                    down = np.zeros((len(x), m))
+                    down[:, m - 1] = poly[:, m]
+                    for s in range(m - 1, 0, -1):
+                        down[:, s - 1] = poly[:, s] - z[j] * down[:, s]
+                    rest = np.where(o[:, None] > 0, down, poly[:, :m] / z[j])
                     phi[:, fs[j]] += value * (o - z[j]) * (rest @ np.array(sizes))
             out = {k: pdf[k] for k in keep}
-            out["attribution"] = [[{"feature": f, "value": float(v)} for f, v in zip(names, row)] for row in phi]
+            out["__values"] = list(phi)
             yield pd.DataFrame(out)
 
     return run
 
 
 def attribution_tree(df: DataFrame, model: PipelineModel, features: Sequence[str], keep: Sequence[str] = (), trees: Sequence[Mapping] | None = None) -> DataFrame:
-    """Attributions of a boosted or forest model per row; with :func:`baseline` they add up to the margin.
+    """Attributions of a boosted or forest model per row; with :func:`baseline` they add up to the margin, which is the
+    log-odds for a boosted model and the probability for a forest.
 
     A pure map over Arrow batches.  The tree arrays travel with the task; they are as large as the model.
     """
     trees = tree_arrays(model) if trees is None else trees
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[ref(k) for k in keep]).schema]
-    schema = ", ".join([*fields, f"attribution {PAIRS}"])
-    return df.select(*[ref(k) for k in keep], *[ref(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)]).mapInPandas(
-        _tree_attributor(trees, features, keep), schema
-    )
+    schema = ", ".join([*fields, "`__values` array<double>"])
+    inputs = df.select(*[ref(k) for k in keep], *[ref(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)])
+    valued = inputs.mapInPandas(_tree_attributor(trees, features, keep), schema)
+    named = F.zip_with(F.array(*[F.lit(f) for f in features]), F.col("__values"), lambda f, v: F.struct(f.alias("feature"), v.alias("value")))
+    return valued.select(*[ref(k) for k in keep], named.cast(PAIRS).alias("attribution"))

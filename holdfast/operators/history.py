@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import RISK_LABELS
 from ..functions.risk import prediction_text, risk_label
 from ..functions.text import format_percent, ref
-from ..session import cut_lineage
+from ..session import materialised, scratch_path
 
 # Columns of the log shown to a user.
 HISTORY_COLUMNS = ("date", "time", "tenure", "monthly_charges", "contract", "internet", "churn_probability", "prediction", "risk_level")
@@ -98,7 +98,7 @@ def touch_last_login(users: DataFrame, logins: DataFrame, user_key: str = "id",
     return joined.withColumn("last_login", F.greatest(F.col("last_login"), F.col("__at"))).drop("__id", "__at")
 
 
-def insert_if_unique(existing: DataFrame, batch: DataFrame, seq: str, keys: Sequence[str] = ("username", "email"), max_rounds: int = 50) -> DataFrame:
+def insert_if_unique(existing: DataFrame, batch: DataFrame, seq: str, keys: Sequence[str] = ("username", "email")) -> DataFrame:
     """Accepted registrations of a batch, as if its rows were tried one by one in `seq` order.
 
     A row is refused when any of its keys is taken, by the table or by a row accepted before it.  Each round
@@ -109,21 +109,22 @@ def insert_if_unique(existing: DataFrame, batch: DataFrame, seq: str, keys: Sequ
     for k in keys:
         taken = existing.select(ref(k)).distinct()
         open_rows = open_rows.join(taken, k, "left_anti")
-    open_rows = cut_lineage(open_rows)
-    accepted: DataFrame | None = None
-    for _ in range(max_rounds):
+    open_rows = materialised(open_rows, "open")
+    path = scratch_path(batch.sparkSession, "accepted")
+    number = 0
+    # the row with the smallest seq comes first for all its keys, so every round accepts one at least
+    while number == 0 or not open_rows.isEmpty():
         firsts = None
         for k in keys:
             first = open_rows.groupBy(ref(k)).agg(F.min(ref(seq)).alias(seq)).select(seq)
             firsts = first if firsts is None else firsts.join(first, seq, "left_semi")
-        winners = cut_lineage(open_rows.join(firsts, seq, "left_semi"))
-        accepted = winners if accepted is None else accepted.unionByName(winners)
+        open_rows.join(firsts, seq, "left_semi").write.parquet(f"{path}/round={number}")
+        winners = batch.sparkSession.read.schema(open_rows.schema).parquet(f"{path}/round={number}")
         for k in keys:
             open_rows = open_rows.join(winners.select(ref(k)).distinct(), k, "left_anti")
-        open_rows = cut_lineage(open_rows)
-        if open_rows.isEmpty():
-            return accepted.select(*batch.columns)
-    raise RuntimeError(f"keys still in conflict after {max_rounds} rounds")
+        open_rows = materialised(open_rows, "open")
+        number += 1
+    return batch.sparkSession.read.schema(open_rows.schema).parquet(f"{path}/round=*").select(*batch.columns)
 
 
 def filter_alerts(df: DataFrame, prob: str, threshold: float = 0.75) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ref
-
-RANK_CHUNK = 250_000
+from ..session import materialised
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
@@ -79,46 +78,32 @@ def classification_report(
     return m.select(*keys, F.explode(lines).alias("r")).select(*keys, "r.*")
 
 
-def _chunked(per_score: DataFrame, score: str, chunk: int) -> DataFrame:
-    """Adds `__chunk`, a deterministic range of scores holding about `chunk` distinct values."""
-    from pyspark.ml.feature import Bucketizer
-
-    n = per_score.count()
-    parts = -(-n // chunk)
-    if parts <= 1:
-        return per_score.withColumn("__chunk", F.lit(0.0))
-    probs = [i / parts for i in range(1, parts)]
-    cuts = per_score.agg(F.percentile_approx(ref(score), probs, max(10_000, 10 * parts)).alias("q")).first()["q"]
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    return Bucketizer(splits=splits, inputCol=score, outputCol="__chunk").transform(per_score)
-
-
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), chunk: int = RANK_CHUNK) -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve with ties counted half.
 
-    Rows are first combined to one row per distinct score.  The running count of negatives is then taken in
-    two phases: ranges of scores are totalled, and the window inside one range holds about `chunk` scores,
-    so no task sees them all.  One class only gives null.
+    Rows are first combined to one row per distinct score and sorted by ranges.  The running count of negatives is taken in
+    two phases: the parts of the sort are totalled, and a window counts inside each part, so no task sees them all.
+    One class only gives null.
     """
-    keys = [ref(b) for b in by]
+    group = F.struct(*[ref(b).alias(f"g{i}") for i, b in enumerate(by)]) if by else F.struct(F.lit(0).alias("g0"))
     y = ref(label).cast("int")
     per_score = (
         df.filter(ref(score).isNotNull() & y.isNotNull())
-        .groupBy(*keys, ref(score).cast("double").alias("__s"))
+        .groupBy(group.alias("__g"), ref(score).cast("double").alias("__s"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-        .persist()
     )
-    chunks = _chunked(per_score, "__s", chunk)
-    totals = chunks.groupBy(*keys, "__chunk").agg(F.sum("neg").alias("chunk_neg"))
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("offset", F.coalesce(F.sum("chunk_neg").over(before), F.lit(0))).drop("chunk_neg")
-    inside = Window.partitionBy(*keys, "__chunk").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = chunks.join(offsets, [*by, "__chunk"]).withColumn("below", F.col("offset") + F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    placed = materialised(per_score.repartitionByRange("__g", "__s").withColumn("__part", F.spark_partition_id()), "scores")
+    totals = placed.groupBy("__g", "__part").agg(F.sum("neg").alias("__neg"))
+    upto = F.sum("__neg").over(Window.partitionBy("__g").orderBy("__part"))
+    offsets = totals.select(F.col("__g").alias("__h"), F.col("__part").alias("__p"), (upto - F.col("__neg")).alias("offset"))
+    inside = Window.partitionBy("__g", "__part").orderBy("__s")
+    met = placed.join(offsets, (F.col("__g") == F.col("__h")) & (F.col("__part") == F.col("__p")))
+    ranked = met.withColumn("below", F.col("offset") + F.sum("neg").over(inside) - F.col("neg"))
     area = F.col("pos").cast("double") * (F.col("below").cast("double") + F.col("neg").cast("double") / F.lit(2.0))
     return (
-        ranked.groupBy(*keys)
+        ranked.groupBy("__g")
         .agg(F.sum(area).alias("a"), F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("q"))
-        .select(*keys, F.try_divide(F.col("a"), F.col("p") * F.col("q")).alias("auc"))
+        .select(*[F.col(f"__g.g{i}").alias(b) for i, b in enumerate(by)], F.try_divide(F.col("a"), F.col("p") * F.col("q")).alias("auc"))
     )
 
 

@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.risk import prediction_text, risk_label
 from ..functions.text import ref
-from .balance import class_weight, smote
+from ..session import materialised
+from .balance import class_weight, oversample, smote
+from .clean import quarantine
 from .encode import Preparation, fit_preparation
-from .metrics import compare_models, roc_auc
+from .metrics import argmax_model, compare_models, roc_auc
 from .split import kfold_assign, stratified_split
 
-# Above this many minority rows, "auto" weighs the classes instead of searching neighbours.
-SMOTE_ROWS = 2_000_000
-
 # Parameters of the classifier families and tuning grids.
 BOOST_DEFAULTS = {"maxIter": 300, "maxDepth": 5, "stepSize": 0.05}
 TUNING_GRID = {"maxIter": [100, 300], "maxDepth": [4, 5, 6], "stepSize": [0.05, 0.1]}
@@ -45,8 +44,10 @@ def clf_forest(trees: int = 200, depth: int = 10, min_rows: int = 2, seed: int =
 
 def clf_boost(
     rounds: int = 300, depth: int = 5, rate: float = 0.05, subsample: float = 0.8, columns: str = "0.8", min_rows: int = 3,
-    min_gain: float = 0.0, seed: int = 42, weight: str | None = None,
+    gamma: float = 0.1, rows: int | None = None, seed: int = 42, weight: str | None = None,
 ) -> GBTClassifier:
+    """`gamma` is the least gain of a split summed over all training rows; MLlib wants it per row, so it needs their number."""
+    min_gain = gamma / rows if rows else 0.0
     model = GBTClassifier(
         maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=columns,
         minInstancesPerNode=min_rows, minInfoGain=min_gain, seed=seed,
@@ -58,16 +59,25 @@ def clf_mlp(n_features: int, max_iter: int = 50, layers: Sequence[int] = NETWORK
     return MultilayerPerceptronClassifier(layers=[n_features, *layers], maxIter=max_iter, seed=seed, blockSize=128)
 
 
-def families(n_features: int, rows: int | None = None, small: bool = False, weight: str | None = None) -> dict[str, Estimator]:
-    """The four compared families; `small` keeps trees and iterations few for quick runs."""
+def families(n_features: int, rows: int, small: bool = False, weight: str | None = None) -> dict[str, Estimator]:
+    """The four compared families for `rows` training rows; `small` keeps trees and iterations few for quick runs."""
     return {
         "Logistic Regression": clf_logreg(100 if small else 1000, rows=rows, weight=weight),
         "Random Forest": clf_forest(20, 6, weight=weight) if small else clf_forest(weight=weight),
-        "Boosted Trees": clf_boost(10, 4, 0.1, weight=weight) if small else clf_boost(weight=weight),
+        "Boosted Trees": clf_boost(10, 4, 0.1, rows=rows, weight=weight) if small else clf_boost(rows=rows, weight=weight),
         "Neural Network": clf_mlp(n_features, 20 if small else 50),
     }
 
 
+def fitted(estimator: Estimator, rows: DataFrame, features: Sequence[str], key: str, weight: str | None, label: str = "label") -> PipelineModel:
+    """Fit on balanced rows; an estimator that takes no weights gets the smaller classes repeated instead."""
+    if weight and estimator.hasParam("weightCol"):
+        estimator = estimator.copy({estimator.getParam("weightCol"): weight})
+    elif weight:
+        rows = oversample(rows, key, label)
+    return assembled(features, estimator).fit(rows)
+
+
 def assembled(features: Sequence[str], estimator: Estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), estimator])
 
@@ -90,11 +100,11 @@ def score_table(model: PipelineModel, prep: Preparation, raw: DataFrame, keep: S
     )
 
 
-def rebalance(train: DataFrame, features: Sequence[str], key: str, method: str = "auto", label: str = "label", seed: int = 42) -> tuple[DataFrame, str | None]:
-    """(training rows, weight column or None).  Only training rows may be passed."""
-    if method == "auto":
-        smallest = train.groupBy(ref(label)).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
-        method = "smote" if smallest <= SMOTE_ROWS else "weights"
+def rebalance(train: DataFrame, features: Sequence[str], key: str, method: str = "smote", label: str = "label", seed: int = 42) -> tuple[DataFrame, str | None]:
+    """(training rows, weight column or None) by the method that the caller chose: "smote", "weights" or "none".
+
+    Only training rows may be passed.  With weights the key column is kept.
+    """
     if method == "smote":
         return smote(train, features, key, label, seed=seed), None
     if method == "weights":
@@ -111,9 +121,7 @@ def fold_auc(
     train = folded.filter(F.col("fold") != fold)
     test = folded.filter(F.col("fold") == fold)
     rows, weight = rebalance(train, features, key, balance, label)
-    if weight and estimator.hasParam("weightCol"):
-        estimator = estimator.copy({estimator.getParam("weightCol"): weight})
-    model = assembled(features, estimator).fit(rows)
+    model = fitted(estimator, rows, features, key, weight, label)
     scored = with_scores(model, test, [label]).filter(F.col("score").isNotNull())
     return roc_auc(scored, label).first()["auc"]
 
@@ -155,9 +163,7 @@ def grid_search(
         def one(job: tuple[int, int]) -> float | None:
             p, i = job
             est = base.copy({base.getParam(n): v for n, v in points[p].items()})
-            if "weight" in parts[i].columns and est.hasParam("weightCol"):
-                est = est.copy({est.getParam("weightCol"): "weight"})
-            model = assembled(features, est).fit(parts[i])
+            model = fitted(est, parts[i], features, key, "weight" if "weight" in parts[i].columns else None, label)
             return roc_auc(with_scores(model, folded.filter(F.col("fold") == i), [label]), label).first()["auc"]
 
         jobs = [(p, i) for p in range(len(points)) for i in range(k)]
@@ -185,6 +191,8 @@ class Trained:
     holdout: DataFrame
     params: dict
     rows: int
+    estimator: Estimator | None = None
+    folds: DataFrame | None = None
 
     def metrics(self) -> DataFrame:
         return compare_models(self.holdout.withColumn("model", F.lit(self.industry)))
@@ -208,32 +216,33 @@ def prepared(
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Iterative fits use as many tasks as there are partitions: widen a table that has fewer than the cluster
-    has cores.  Hashing the key places rows the same way on every recomputation."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, ref(key)) if rows.rdd.getNumPartitions() < cores else rows
+    """Iterative fits use as many tasks as there are partitions.  Hashing the key places rows the same way on every
+    recomputation; how many partitions is left to the session's settings."""
+    return rows.repartition(ref(key))
 
 
 def train_industry(
     raw: DataFrame, industry: str, target: str, target_map: Mapping[str, int] | None, drop: Sequence[str], key: str,
-    estimator: Estimator | None = None, grid: Mapping[str, Iterable] | None = None, balance: str = "auto", fit_on: str = "train",
-    test_size: float = 0.2,
+    estimator: Estimator | None = None, grid: Mapping[str, Iterable] | None = None, balance: str = "smote", fit_on: str = "train",
+    test_size: float = 0.2, folds: int = 0,
 ) -> Trained:
-    """One industry end to end; with a grid the best combination is refitted on all training rows."""
+    """One industry end to end; with a grid the best combination is refitted on all training rows, and with `folds` the
+    chosen parameters are cross-validated on all rows.  The scored hold-out is written, so later reads fit nothing."""
     prep, rows = prepared(raw, target, target_map, drop, key, fit_on, test_size)
     rows = rows.persist()
     try:
         train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
-        est = estimator or clf_boost()
+        count = rows.count()
+        est = estimator or clf_boost(rows=count)
         params: dict = {}
         if grid:
             _, params = grid_search(est, grid, train.drop("is_test"), prep.features, key, balance=balance)
             est = est.copy({est.getParam(n): v for n, v in params.items()})
         balanced, weight = rebalance(train.drop("is_test"), prep.features, key, balance)
-        if weight and est.hasParam("weightCol"):
-            est = est.copy({est.getParam("weightCol"): weight})
-        model = assembled(prep.features, est).fit(balanced)
-        return Trained(industry, prep, model, with_scores(model, test, [key, "label"]), params, rows.count())
+        model = fitted(est, balanced, prep.features, key, weight)
+        holdout = materialised(with_scores(model, test, [key, "label"]), "holdout")
+        scores = cross_val(est, rows.drop("is_test"), prep.features, key, folds, balance) if folds else None
+        return Trained(industry, prep, model, holdout, params, count, est, scores)
     finally:
         rows.unpersist()
 
@@ -256,9 +265,8 @@ def compare_families(rows: DataFrame, features: Sequence[str], key: str, estimat
     balanced = balanced.persist()
     out: DataFrame | None = None
     for name, est in estimators.items():
-        if weight and est.hasParam("weightCol"):
-            est = est.copy({est.getParam("weightCol"): weight})
-        scored = with_scores(assembled(features, est).fit(balanced), test, [key, "label"]).withColumn("model", F.lit(name))
+        model = fitted(est, balanced, features, key, weight)
+        scored = with_scores(model, test, [key, "label"]).withColumn("model", F.lit(name))
         out = scored if out is None else out.unionByName(scored)
     balanced.unpersist()
     return out
@@ -281,13 +289,48 @@ def cv_scores_summary(folds: DataFrame) -> DataFrame:
 
 
 def union_metrics(trained: Mapping[str, Trained]) -> DataFrame:
-    """One row per industry: rows, features and the five hold-out metrics."""
+    """One row per industry: rows, features, the five hold-out metrics, the cross-validated AUC and the parameters chosen."""
     out: DataFrame | None = None
     for t in trained.values():
+        chosen = {n: t.estimator.getOrDefault(n) if t.estimator is not None and t.estimator.hasParam(n) else None for n in ("maxIter", "maxDepth", "stepSize")}
         line = t.metrics().withColumnsRenamed({"model": "industry"}).withColumns(
-            {"customers": F.lit(t.rows).cast("bigint"), "features": F.lit(len(t.prep.features))}
+            {
+                "customers": F.lit(t.rows).cast("bigint"),
+                "features": F.lit(len(t.prep.features)),
+                "best_estimators": F.lit(chosen["maxIter"]).cast("int"),
+                "best_depth": F.lit(chosen["maxDepth"]).cast("int"),
+                "best_lr": F.lit(chosen["stepSize"]).cast("double"),
+            }
         )
+        if t.folds is None:
+            line = line.withColumns({c: F.lit(None).cast("double") for c in ("cv_auc", "cv_std")})
+        else:
+            scores = cv_scores_summary(t.folds).first()
+            line = line.withColumns({c: F.lit(scores[c]).cast("double") for c in ("cv_auc", "cv_std")})
         out = line if out is None else out.unionByName(line)
     return out
 
 
+def keep_best(trained: Mapping[str, Trained], by: str = "auc") -> Trained:
+    """The model with the best hold-out metric, first by name on ties; what a caller stores."""
+    table = union_metrics(trained)
+    return trained[argmax_model(table, by, "industry").first()["industry"]]
+
+
+def score_or_error(model: PipelineModel, prep: Preparation, raw: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Bulk scoring with a result or an error for every row, in one narrow stage: `error` names the first numeric feature
+    whose text is no number; such a row has no probability, prediction or risk."""
+    present = [f for f in prep.numeric if f in raw.columns]
+    checked = quarantine(raw, present)
+    safe = checked.withColumns({f: F.when(F.col("error").isNull(), ref(f)) for f in present if f not in keep})
+    scored = score_table(model, prep, safe, [*keep, "error"])
+    results = ("churn_probability", "prediction", "risk_level")
+    return scored.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in results})
+
+
+def bulk_outcome(scored: DataFrame) -> DataFrame:
+    """Totals of a bulk scoring: rows, scored, failed, churners and their share of the scored rows in percent."""
+    churn = F.count_if(F.col("prediction") == prediction_text(F.lit(1)))
+    ok = F.count_if(F.col("error").isNull())
+    share = F.bround(F.try_divide(churn * 100.0, ok), 1)
+    return scored.agg(F.count("*").alias("total"), ok.alias("successful"), F.count_if(F.col("error").isNotNull()).alias("failed"), churn.alias("churn"), share.alias("churn_pct"))

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialised
+
 LEAF = 2_000
 MAX_LEAVES = 16_384
 PER_LEAF = 16
@@ -171,9 +173,7 @@ def nearest(points: DataFrame, k: int, leaf_size: int = LEAF) -> DataFrame:
     own = first.select("vec", "found")
     if tree[5] == 1:
         return own
-    from ..session import cut_lineage
-
-    first = cut_lineage(first)
+    first = materialised(first, "leaves")
     own = first.select("vec", "found")
     probes = first.select("vec", "reach", F.explode("targets").alias("leaf"))
     load = {r["leaf"]: r["n"] for r in probes.groupBy("leaf").agg(F.count("*").alias("n")).collect()}

@@ -1,40 +1,23 @@
-"""Exact order statistics without gathering a column in one task.
+"""Exact order statistics without gathering a column in one task, by one algorithm at every size.
 
-Each round asks `percentile_approx` for a narrow bracket around every wanted rank and counts, exactly, how
-many values lie below and inside it.  Every round is one map-side-combined aggregate; ranks that meet a
-bracket end are settled at once, so heavily repeated values drop out.  Only when an open bracket holds
-few rows are its values ranked by a window.
+Values are tallied per group (a frequent value is combined before the shuffle), the tallies sorted by ranges, and running
+counts taken in two phases: over the parts of the sort, of which there are few, and inside each part.  Then every tally
+knows how many smaller values its group has, and wanted ranks are picked by a condition.  Groups are never listed in the
+plan or on the driver, unless the caller asks for a dictionary.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import nan_to_null, ref
-
-SMALL = 1_000_000
-ACCURACY = 2_000
-MAX_GROUPS = 10_000
+from ..session import materialised
 
 Group = tuple
-
-
-@dataclass
-class _Target:
-    group: Group
-    column: str
-    rank: int
-    lo: object = None
-    hi: object = None
-    base: int = 0
-    inside: int = 0
-    answer: object = None
-    stuck: bool = False
+_KEY, _V = "__key", "__v"
 
 
 def _values(df: DataFrame, column: str) -> Column:
@@ -42,168 +25,89 @@ def _values(df: DataFrame, column: str) -> Column:
     return nan_to_null(c) if df.schema[column].dataType.typeName() in ("double", "float") else c
 
 
-def _is_integer(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
-
-
-def _match(by: Sequence[str], group: Group) -> Column:
-    test = F.lit(True)
-    for name, value in zip(by, group):
-        test = test & ref(name).eqNullSafe(F.lit(value))
-    return test
-
-
-def group_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> dict[Group, dict[str, int]]:
-    """Non-null counts per group; the groups themselves must be few."""
-    counted = df.groupBy(*[ref(b) for b in by]).agg(*[F.count(_values(df, c)).alias(f"n{i}") for i, c in enumerate(columns)])
-    rows = counted.limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {list(by)}: use a window over the groups instead")
-    return {tuple(r[b] for b in by): {c: r[f"n{i}"] for i, c in enumerate(columns)} for r in rows}
-
-
-def _bracket_round(df: DataFrame, by: Sequence[str], open_targets: list[_Target]) -> None:
-    """Narrow every open target's bracket by one round of approximate quantiles and exact counts."""
-    asks = []
-    for i, t in enumerate(open_targets):
-        v = _values(df, t.column)
-        within = _match(by, t.group)
-        size = t.inside
-        if t.lo is not None:
-            within = within & (v > F.lit(t.lo))
-        if t.hi is not None:
-            within = within & (v < F.lit(t.hi))
-        # percentile_approx works in doubles: large integers are measured from a known bracket end.
-        anchor = t.lo if t.lo is not None else t.hi
-        if anchor is not None and _is_integer(df, t.column):
-            v = v - F.lit(anchor)
-        p = (t.rank - t.base + 0.5) / size
-        eps = 2.0 / ACCURACY
-        probs = F.array(F.lit(max(0.0, p - eps)), F.lit(min(1.0, p + eps)))
-        asks.append(F.percentile_approx(F.when(within, v), probs, ACCURACY).alias(f"q{i}"))
-    found = df.agg(*asks).first()
-    brackets = {}
-    for i, t in enumerate(open_targets):
-        anchor = t.lo if t.lo is not None else t.hi
-        shift = anchor if anchor is not None and _is_integer(df, t.column) else 0
-        brackets[f"q{i}"] = [q + shift for q in found[f"q{i}"]]
-
-    counts = []
-    for i, t in enumerate(open_targets):
-        v = _values(df, t.column)
-        lo, hi = brackets[f"q{i}"]
-        mine = _match(by, t.group)
-        for tag, test in (("a", v < F.lit(lo)), ("b", v <= F.lit(lo)), ("c", v < F.lit(hi)), ("d", v <= F.lit(hi))):
-            counts.append(F.count_if(mine & test).alias(f"{tag}{i}"))
-    found = df.agg(*counts).first()
-    for i, t in enumerate(open_targets):
-        lo, hi = brackets[f"q{i}"]
-        below_lo, upto_lo, below_hi, upto_hi = (found[f"{tag}{i}"] for tag in "abcd")
-        if t.rank < below_lo:
-            t.hi, t.inside = lo, below_lo - t.base
-        elif t.rank < upto_lo:
-            t.answer = lo
-        elif t.rank < below_hi:
-            t.lo, t.hi, t.base, t.inside = lo, hi, upto_lo, below_hi - upto_lo
-        elif t.rank < upto_hi:
-            t.answer = hi
-        else:
-            t.inside = t.inside - (upto_hi - t.base)
-            t.lo, t.base = hi, upto_hi
-
-
-def _finish(df: DataFrame, by: Sequence[str], rest: list[_Target], small: int) -> None:
-    """Rank the few values left inside each bracket.  Groups are bounded by `small` rows."""
-    parts = []
-    for i, t in enumerate(rest):
-        v = _values(df, t.column)
-        keep = v.isNotNull() & _match(by, t.group)
-        if t.lo is not None:
-            keep = keep & (v > F.lit(t.lo))
-        if t.hi is not None:
-            keep = keep & (v < F.lit(t.hi))
-        parts.append(F.when(keep, F.struct(F.lit(i).alias("i"), v.cast(df.schema[t.column].dataType).alias("v"))))
-    kinds = {df.schema[t.column].dataType.simpleString() for t in rest}
-    if len(kinds) > 1:
-        raise ValueError("columns of one call must share a type")
-    tallies = df.select(F.explode(F.array_compact(F.array(*parts))).alias("s")).groupBy("s.i", "s.v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("i").orderBy("v")
-    upto = F.sum("n").over(w)
-    wanted = F.element_at(F.array(*[F.lit(t.rank - t.base) for t in rest]), F.col("i") + 1)
-    hit = tallies.withColumn("upto", upto).filter((F.col("upto") > wanted) & (F.col("upto") - F.col("n") <= wanted))
-    for r in hit.collect():
-        rest[r["i"]].answer = r["v"]
-
-
-def select_ranks(df: DataFrame, wanted: dict[tuple[Group, str], Sequence[int]], by: Sequence[str] = (), small: int = SMALL) -> dict:
-    """Exact value at each zero-based rank: {(group, column): [ranks]} to {(group, column): {rank: value}}."""
-    counts = group_counts(df, sorted({c for _, c in wanted}), by)
-    targets = []
-    for (group, column), ranks in wanted.items():
-        n = counts.get(group, {}).get(column, 0)
-        targets += [_Target(group, column, r, inside=n) for r in sorted(set(ranks)) if 0 <= r < n]
-    while True:
-        open_targets = [t for t in targets if t.answer is None and t.inside > small and not t.stuck]
-        if not open_targets:
-            break
-        before = [t.inside for t in open_targets]
-        _bracket_round(df, by, open_targets)
-        for t, size in zip(open_targets, before):
-            t.stuck = t.answer is None and t.inside >= size
-    rest = [t for t in targets if t.answer is None]
-    if rest:
-        _finish(df, by, rest, small)
-    out: dict = {}
-    for t in targets:
-        out.setdefault((t.group, t.column), {})[t.rank] = t.answer
-    return out
+def _key(by: Sequence[str]) -> Column:
+    """Group values as a struct, in which nulls equal each other."""
+    return F.struct(*[ref(b).alias(f"g{i}") for i, b in enumerate(by)]) if by else F.struct(F.lit(0).alias("g0"))
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """(__key, __v) to one row per distinct value: n, before (smaller values of the group) and total."""
+    tallies = rows.filter(F.col(_V).isNotNull()).groupBy(_KEY, _V).agg(F.count("*").alias("n"))
+    # written, so that both phases see the same parts
+    placed = materialised(tallies.repartitionByRange(_KEY, _V).withColumn("__part", F.spark_partition_id()), "tallies")
+    parts = placed.groupBy(_KEY, "__part").agg(F.sum("n").alias("__m"))
+    group = Window.partitionBy(_KEY)
+    parts = parts.select(
+        F.col(_KEY).alias("__k"), F.col("__part").alias("__p"), (F.sum("__m").over(group.orderBy("__part")) - F.col("__m")).alias("__first"), F.sum("__m").over(group).alias("total")
+    )
+    inside = Window.partitionBy(_KEY, "__part").orderBy(_V)
+    met = placed.join(parts, (placed[_KEY] == parts["__k"]) & (placed["__part"] == parts["__p"]))
+    before = F.col("__first") + F.sum("n").over(inside) - F.col("n")
+    return met.select(_KEY, _V, "n", before.alias("before"), "total")
+
+
+def at_rank(rank: Column) -> Column:
+    """The aggregate that picks the value at a zero-based rank from :func:`ranked` rows of one group."""
+    return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col(_V)))
+
+
+def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5,), by: Sequence[str] = ()) -> DataFrame:
+    """(group columns, column, q): linearly interpolated quantiles of every column with a value, as an array."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _values(df, c).cast("double").alias("v")) for c in columns])
+    long = df.select(_key(by).alias("g"), F.explode(pairs).alias("p"))
+    rows = ranked(long.select(F.struct("g", F.col("p.column").alias("column")).alias(_KEY), F.col("p.v").alias(_V)))
+    picks = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("total") - 1)
+        picks += [at_rank(F.floor(pos)).alias(f"lo{i}"), at_rank(F.ceil(pos)).alias(f"hi{i}")]
+    found = rows.groupBy(_KEY).agg(F.first("total").alias("total"), *picks)
+    q = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("total") - 1)
+        q.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (pos - F.floor(pos)))
+    groups = [F.col(f"{_KEY}.g.g{i}").alias(b) for i, b in enumerate(by)]
+    return found.select(*groups, F.col(f"{_KEY}.column").alias("column"), F.array(*q).alias("q"))
+
+
+def approximate_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _values(df, c).cast("double").alias("v")) for c in columns])
+    long = df.select(*[ref(b) for b in by], F.explode(pairs).alias("__p")).filter("__p.v is not null")
+    return long.groupBy(*[ref(b) for b in by], F.col("__p.column").alias("column")).agg(F.percentile_approx("__p.v", list(probs), accuracy).alias("q"))
 
 
 def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float] = (0.5,),
-    by: Sequence[str] = (),
-    small: int = SMALL,
-    exact: bool = True,
-    accuracy: int = 10_000,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5,), by: Sequence[str] = (), exact: bool = True, accuracy: int = 10_000
 ) -> dict[Group, dict[str, list[float | None]]]:
-    """Linearly interpolated quantiles per group and column; null where a column has no value."""
+    """The quantile table as a dictionary on the driver, for groups that the caller knows to be few; null without values."""
     columns = list(columns)
     if not columns:
         return {}
-    wide = df.select(*[ref(b) for b in by], *[_values(df, c).cast("double").alias(c) for c in columns])
-    if not exact:
-        rows = wide.groupBy(*[ref(b) for b in by]).agg(
-            *[F.percentile_approx(ref(c), list(probs), accuracy).alias(f"q{i}") for i, c in enumerate(columns)]
-        )
-        return {tuple(r[b] for b in by): {c: list(r[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)} for r in rows.collect()}
-    counts = group_counts(wide, columns, by)
-    if max((n for per in counts.values() for n in per.values()), default=0) <= small:
-        rows = wide.groupBy(*[ref(b) for b in by]).agg(*[F.percentile(ref(c), list(probs)).alias(f"q{i}") for i, c in enumerate(columns)])
-        return {tuple(r[b] for b in by): {c: list(r[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)} for r in rows.collect()}
-    wanted = {}
-    for group, per in counts.items():
-        for c, n in per.items():
-            if n:
-                wanted[(group, c)] = sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    values = select_ranks(wide, wanted, by, small)
-    out: dict = {}
-    for group, per in counts.items():
-        for c, n in per.items():
-            found = values.get((group, c), {})
-            quant = []
-            for p in probs:
-                if not n:
-                    quant.append(None)
-                    continue
-                pos = p * (n - 1)
-                a, b = found[math.floor(pos)], found[math.ceil(pos)]
-                quant.append(a + (b - a) * (pos - math.floor(pos)))
-            out.setdefault(group, {})[c] = quant
+    table = quantile_table(df, columns, probs, by) if exact else approximate_table(df, columns, probs, by, accuracy)
+    if by:
+        groups = df.select(*[ref(b) for b in by]).distinct()
+        none = F.transform(F.lit(list(columns)), lambda c: F.struct(c.alias("column"), F.lit(None).cast("array<double>").alias("q")))
+        table = table.unionByName(groups.withColumn("__c", F.explode(none)).select(*[ref(b) for b in by], "__c.column", "__c.q"))
+    out: dict = {} if by else {(): {c: [None] * len(probs) for c in columns}}
+    for r in table.collect():
+        own = out.setdefault(tuple(r[b] for b in by), {c: [None] * len(probs) for c in columns})
+        if r["q"] is not None:
+            own[r["column"]] = list(r["q"])
     return out
 
 
-def medians(df: DataFrame, columns: Sequence[str], exact: bool = True, small: int = SMALL) -> dict[str, float | None]:
-    found = quantiles(df, columns, (0.5,), exact=exact, small=small)
-    return {c: q[0] for c, q in found.get((), {}).items()}
+def medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, float | None]:
+    return {c: q[0] for c, q in quantiles(df, columns, (0.5,), exact=exact).get((), {}).items()}
+
+
+def select_ranks(df: DataFrame, column: str, ranks: Sequence[int]) -> dict[int, object]:
+    """The value of `column` at each zero-based rank; ranks beyond the last value are left out."""
+    rows = ranked(df.select(_key(()).alias(_KEY), _values(df, column).alias(_V)))
+    row = rows.agg(*[at_rank(F.lit(r)).alias(f"r{i}") for i, r in enumerate(ranks)]).first()
+    return {r: row[f"r{i}"] for i, r in enumerate(ranks) if row[f"r{i}"] is not None}
+
+
+def cut_table(df: DataFrame, column: str, by: str, wanted: Sequence[Column]) -> DataFrame:
+    """(by, cuts): per group the values at the ranks that `wanted` computes from the column `total`; null below rank 0."""
+    rows = ranked(df.select(_key([by]).alias(_KEY), _values(df, column).alias(_V)))
+    found = rows.groupBy(_KEY).agg(*[at_rank(w).alias(f"c{i}") for i, w in enumerate(wanted)])
+    return found.select(F.col(f"{_KEY}.g0").alias(by), F.array(*[F.col(f"c{i}") for i in range(len(wanted))]).alias("cuts"))

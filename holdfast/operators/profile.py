@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import nan_to_null, ref
 from .clean import numeric_columns
-from .order_stats import SMALL, quantiles
+from .order_stats import quantile_table, quantiles
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -73,7 +73,7 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
 DESCRIBE_SCHEMA = "column string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, small: int = SMALL) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column: count, mean, sample deviation, extremes and exact quartiles."""
     spark: SparkSession = df.sparkSession
     columns = numeric_columns(df) if columns is None else list(columns)
@@ -88,7 +88,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, small: int = S
             F.max(v).alias(f"z{i}"),
         ]
     row = df.agg(*aggs).first()
-    found = quantiles(df, columns, (0.25, 0.5, 0.75), small=small)
+    found = quantiles(df, columns, (0.25, 0.5, 0.75))
     q = found.get((), {c: [None] * 3 for c in columns})
     data = [(c, row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"a{i}"], *q[c], row[f"z{i}"]) for i, c in enumerate(columns)]
     return spark.createDataFrame(data, DESCRIBE_SCHEMA)
@@ -128,30 +128,25 @@ def count_by_hue(df: DataFrame, category: str, hue: str, hues: Sequence[str]) ->
     return df.groupBy(ref(category)).pivot(hue, list(hues)).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def box_stats(df: DataFrame, value: str, by: str, small: int = SMALL) -> DataFrame:
-    """Quartiles, whiskers (extreme values within 1.5 interquartile ranges) and outliers of each group."""
-    found = quantiles(df, [value], (0.25, 0.5, 0.75), by=[by], small=small)
-    known = {g[0]: q[value] for g, q in found.items() if q[value][0] is not None}
+def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
+    """Quartiles, whiskers (extreme values within 1.5 interquartile ranges) and outliers of each group.
 
-    def lookup(numbers: dict) -> Column:
-        out = F.lit(None).cast("double")
-        for g, number in numbers.items():
-            out = F.when(ref(by).eqNullSafe(F.lit(g)), F.lit(float(number))).otherwise(out)
-        return out
-
-    q1, med, q3 = (lookup({g: q[i] for g, q in known.items()}) for i in range(3))
-    low = lookup({g: q[0] - 1.5 * (q[2] - q[0]) for g, q in known.items()})
-    high = lookup({g: q[2] + 1.5 * (q[2] - q[0]) for g, q in known.items()})
-    v = nan_to_null(ref(value).cast("double"))
-    inside = (v >= low) & (v <= high)
+    Quartiles are joined back by group, so groups may be many and one may hold most rows.
+    """
+    rows = df.select(ref(by).alias("g"), nan_to_null(ref(value).cast("double")).alias("v"))
+    q = quantile_table(rows, ["v"], (0.25, 0.5, 0.75), ["g"]).select(F.struct(F.col("g").alias("g")).alias("__g"), "q")
+    met = rows.withColumn("__g", F.struct(F.col("g").alias("g"))).join(q, "__g", "left")
+    reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
+    inside = (F.col("v") >= F.col("q")[0] - reach) & (F.col("v") <= F.col("q")[2] + reach)
     return (
-        df.groupBy(ref(by))
+        met.groupBy("g")
         .agg(
-            F.min(F.when(inside, v)).alias("whisker_low"),
-            F.max(F.when(inside, v)).alias("whisker_high"),
-            F.count_if(v.isNotNull() & ~inside).alias("outliers"),
+            F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
+            F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
+            F.count_if(F.col("v").isNotNull() & ~inside).alias("outliers"),
+            *[F.max(F.col("q")[i]).alias(n) for i, n in enumerate(("q1", "median", "q3"))],
         )
-        .withColumns({"q1": q1, "median": med, "q3": q3})
+        .withColumnRenamed("g", by)
     )
 
 
@@ -159,17 +154,12 @@ def histogram_by_class(df: DataFrame, value: str, by: str, bins: int = 20) -> Da
     """Equal-width bins over each class's own range; the last bin is closed; empty bins count 0."""
     v = nan_to_null(ref(value).cast("double"))
     data = df.select(ref(by).alias("cls"), v.alias("v")).filter(F.col("v").isNotNull() & F.col("cls").isNotNull())
-    ranges = data.groupBy("cls").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).limit(1001).collect()
-    if len(ranges) > 1000:
-        raise ValueError(f"{by} has more than 1000 classes")
-    bounds = {r["cls"]: (r["lo"], r["hi"]) if r["lo"] < r["hi"] else (r["lo"] - 0.5, r["hi"] + 0.5) for r in ranges}
-    if not bounds:
-        return data.select("cls", F.lit(0).alias("bin"), F.lit(0.0).alias("left"), F.lit(0.0).alias("right"), F.lit(0).cast("bigint").alias("n")).limit(0)
-    at = F.create_map(*[x for cls, (lo, hi) in bounds.items() for x in (F.lit(cls), F.struct(F.lit(lo).alias("lo"), F.lit((hi - lo) / bins).alias("w")))])
-    b = F.element_at(at, F.col("cls"))
-    binned = data.select("cls", F.least(F.floor((F.col("v") - b["lo"]) / b["w"]), F.lit(bins - 1)).cast("int").alias("bin"))
+    lo, hi = F.col("lo"), F.col("hi")
+    ranges = data.groupBy("cls").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ranges = ranges.select("cls", F.when(lo < hi, lo).otherwise(lo - 0.5).alias("lo"), F.when(lo < hi, hi).otherwise(hi + 0.5).alias("hi"))
+    width = (hi - lo) / F.lit(float(bins))
+    binned = data.join(ranges, "cls").select("cls", F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)).cast("int").alias("bin"))
     counts = binned.groupBy("cls", "bin").agg(F.count("*").alias("n"))
-    kind = data.schema["cls"].dataType.simpleString()
-    grid_rows = [(cls, i, lo + (hi - lo) / bins * i, lo + (hi - lo) / bins * (i + 1)) for cls, (lo, hi) in bounds.items() for i in range(bins)]
-    grid = df.sparkSession.createDataFrame(grid_rows, f"cls {kind}, bin int, left double, right double")
+    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    grid = grid.select("cls", "bin", (lo + width * F.col("bin")).alias("left"), (lo + width * (F.col("bin") + 1)).alias("right"))
     return grid.join(counts, ["cls", "bin"], "left").na.fill({"n": 0})

@@ -1,8 +1,8 @@
 """Stratified splits and folds chosen by a hash of the row key.
 
-The default compares a hash with a threshold: no shuffle, and any recomputed partition decides alike.
-`exact=True` first finds, per label, the hash value at the wanted rank (an exact order statistic), so the
-row-level step stays a comparison with a literal.  Rows that share a key stay on the same side.
+By default the hash value at the wanted rank of each label is found first (an exact order statistic) and joined back by
+label; `exact=False` compares the hash with a threshold, without a shuffle.  Either way a recomputed partition decides alike,
+and rows that share a key stay on the same side.
 """
 
 from __future__ import annotations
@@ -14,63 +14,49 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash60, key_text, uniform
 from ..functions.text import ref
-from .order_stats import group_counts, select_ranks
+from .order_stats import cut_table
 
 
-def _by_label(label: str, per_label: dict, default: Column) -> Column:
-    out = default
-    for value, number in per_label.items():
-        out = F.when(ref(label).eqNullSafe(F.lit(value)), F.lit(number)).otherwise(out)
-    return out
+def _cuts_joined(df: DataFrame, label: str, wanted: list[Column]) -> DataFrame:
+    """`df` with `__cuts`, the values of `__h` at the wanted ranks of its label.  One row per label is joined back."""
+    cuts = cut_table(df.select(ref(label), "__h"), "__h", label, wanted).select(F.struct(F.col(label).alias("l")).alias("__l"), F.col("cuts").alias("__cuts"))
+    keyed = df.withColumn("__l", F.struct(ref(label).alias("l")))
+    return keyed.join(cuts, "__l", "left").drop("__l")
 
 
 def stratified_split(
-    df: DataFrame,
-    key: str | Sequence[str],
-    label: str,
-    test_size: float = 0.2,
-    seed: int = 42,
-    exact: bool = False,
-    column: str = "is_test",
-    small: int = 1_000_000,
+    df: DataFrame, key: str | Sequence[str], label: str, test_size: float = 0.2, seed: int = 42, exact: bool = True, column: str = "is_test"
 ) -> DataFrame:
-    """Adds a boolean column: true for the test side."""
+    """Adds a boolean column: true for the test side.
+
+    The default takes the same share of every label, to within one key; `exact=False` compares the key's hash with the
+    share, which meets the shares in expectation and needs no shuffle.
+    """
     if not exact:
         return df.withColumn(column, uniform(key_text(key), seed) < F.lit(test_size))
     hashed = df.withColumn("__h", hash60(key_text(key), seed))
-    counts = group_counts(hashed, ["__h"], [label])
-    sizes = {g: int(per["__h"] * test_size + 0.5) for g, per in counts.items()}
-    wanted = {(g, "__h"): [k - 1] for g, k in sizes.items() if k > 0}
-    cuts = select_ranks(hashed.select(ref(label), "__h"), wanted, [label], small) if wanted else {}
-    per_label = {g[0]: ranks[sizes[g] - 1] for (g, _), ranks in cuts.items()}
-    return hashed.withColumn(column, F.col("__h") <= _by_label(label, per_label, F.lit(-1).cast("long"))).drop("__h")
+    size = F.floor(F.col("total") * F.lit(test_size) + 0.5).cast("bigint")
+    joined = _cuts_joined(hashed, label, [size - 1])
+    return joined.withColumn(column, F.coalesce(F.col("__h") <= F.col("__cuts")[0], F.lit(False))).drop("__h", "__cuts")
 
 
 def kfold_assign(
-    df: DataFrame,
-    key: str | Sequence[str],
-    k: int = 5,
-    seed: int = 42,
-    label: str | None = None,
-    exact: bool = False,
-    column: str = "fold",
-    small: int = 1_000_000,
+    df: DataFrame, key: str | Sequence[str], k: int = 5, seed: int = 42, label: str | None = None, exact: bool | None = None, column: str = "fold"
 ) -> DataFrame:
-    """Fold number 0..k-1; `exact` balances the folds of every label to within one key."""
+    """Fold number 0..k-1; with a label the folds of every label are balanced to within one key, unless `exact=False`."""
+    if exact is None:
+        exact = label is not None
     if not exact:
         return df.withColumn(column, F.floor(uniform(key_text(key), f"fold{seed}") * F.lit(k)).cast("int"))
     if label is None:
         raise ValueError("exact folds need the label column")
     hashed = df.withColumn("__h", hash60(key_text(key), f"fold{seed}"))
-    counts = group_counts(hashed, ["__h"], [label])
-    ends = {g: [per["__h"] * (i + 1) // k for i in range(k - 1)] for g, per in counts.items()}
-    wanted = {(g, "__h"): [e - 1 for e in e_list if e > 0] for g, e_list in ends.items()}
-    cuts = select_ranks(hashed.select(ref(label), "__h"), wanted, [label], small)
-    fold = F.lit(0)
-    for i in range(k - 1):
-        at = {g[0]: (cuts[(g, "__h")][e[i] - 1] if e[i] > 0 else -1) for g, e in ends.items()}
-        fold = fold + F.when(F.col("__h") > _by_label(label, at, F.lit(-1).cast("long")), 1).otherwise(0)
-    return hashed.withColumn(column, fold.cast("int")).drop("__h")
+    ends = [F.floor(F.col("total") * (i + 1) / k).cast("bigint") - 1 for i in range(k - 1)]
+    if not ends:
+        return df.withColumn(column, F.lit(0))
+    joined = _cuts_joined(hashed, label, ends)
+    fold = F.size(F.filter("__cuts", lambda c: F.col("__h") > F.coalesce(c, F.lit(-1).cast("bigint"))))
+    return joined.withColumn(column, fold.cast("int")).drop("__h", "__cuts")
 
 
 def split_counts(df: DataFrame, label: str, side: str = "is_test") -> DataFrame:

@@ -20,7 +20,7 @@ _U60 = "('0x' || substr(md5({key} || '|{seed}'), 1, 15))::UBIGINT"
 )
 def stratified_split(spark: SparkSession, base: str) -> DataFrame:
     df = views.accounts(spark, base).select("customerID", "Churn")
-    return split.split_counts(split.stratified_split(df, "customerID", "Churn", 0.2, 42), "Churn")
+    return split.split_counts(split.stratified_split(df, "customerID", "Churn", 0.2, 42, exact=False), "Churn")
 
 
 @query(
@@ -78,17 +78,16 @@ def binary_metrics(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "classification_report",
-    f"""WITH {V.BY_MODEL}, m AS (SELECT {_CONFUSION} FROM predictions_by_model WHERE model = 'blend'),
-      c AS (SELECT tn::DOUBLE / (tn + fn) AS p0, tn::DOUBLE / (tn + fp) AS r0, 2 * tn::DOUBLE / (2 * tn + fn + fp) AS f0, tn + fp AS s0,
+    f"""WITH {V.BY_MODEL}, m AS (SELECT model, {_CONFUSION} FROM predictions_by_model GROUP BY 1),
+      c AS (SELECT model, tn::DOUBLE / (tn + fn) AS p0, tn::DOUBLE / (tn + fp) AS r0, 2 * tn::DOUBLE / (2 * tn + fn + fp) AS f0, tn + fp AS s0,
         tp::DOUBLE / (tp + fp) AS p1, tp::DOUBLE / (tp + fn) AS r1, 2 * tp::DOUBLE / (2 * tp + fn + fp) AS f1, fn + tp AS s1, (tn + tp)::DOUBLE / (tn + fp + fn + tp) AS acc FROM m)
-    SELECT "class", round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM (
-      SELECT 'Stay' AS "class", p0 AS "precision", r0 AS recall, f0 AS f1, s0 AS support FROM c UNION ALL SELECT 'Churn', p1, r1, f1, s1 FROM c
-      UNION ALL SELECT 'accuracy', acc, acc, acc, s0 + s1 FROM c UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, s0 + s1 FROM c
-      UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / (s0 + s1), (r0 * s0 + r1 * s1) / (s0 + s1), (f0 * s0 + f1 * s1) / (s0 + s1), s0 + s1 FROM c) t""",
+    SELECT model, "class", round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM (
+      SELECT model, 'Stay' AS "class", p0 AS "precision", r0 AS recall, f0 AS f1, s0 AS support FROM c UNION ALL SELECT model, 'Churn', p1, r1, f1, s1 FROM c
+      UNION ALL SELECT model, 'accuracy', acc, acc, acc, s0 + s1 FROM c UNION ALL SELECT model, 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, s0 + s1 FROM c
+      UNION ALL SELECT model, 'weighted avg', (p0 * s0 + p1 * s1) / (s0 + s1), (r0 * s0 + r1 * s1) / (s0 + s1), (f0 * s0 + f1 * s1) / (s0 + s1), s0 + s1 FROM c) t""",
 )
 def classification_report(spark: SparkSession, base: str) -> DataFrame:
-    rows = views.predictions_by_model(spark, base).filter(F.col("model") == "blend")
-    report = metrics.classification_report(rows)
+    report = metrics.classification_report(views.predictions_by_model(spark, base), by=["model"])
     return report.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 

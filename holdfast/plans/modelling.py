@@ -12,9 +12,8 @@ from ..config import INDUSTRIES
 from ..functions.hashing import uniform
 from ..functions.rules import rule_score
 from ..operators import balance, metrics, models
-from ..session import scratch_path
+from ..session import materialised, scratch_path
 from ..sources import store, views
-from ..sources.writers import write_features
 from . import oracle_views as V
 from .registry import query
 
@@ -27,9 +26,7 @@ def planted(spark: SparkSession, base: str) -> DataFrame:
     df = views.accounts(spark, base)
     leaves = (rule_score(df.columns).cast("double") > 0.5) != (uniform(F.col(KEY), "noise") < 0.1)
     table = df.select(*COLUMNS, F.when(leaves, "Yes").otherwise("No").alias("Left"))
-    path = scratch_path(spark, "planted")
-    write_features(table, path)
-    return spark.read.parquet(path)
+    return materialised(table, "planted")
 
 
 JOB = {"target": "Left", "target_map": {"Yes": 1, "No": 0}, "drop": [KEY], "key": KEY}
@@ -45,9 +42,14 @@ def trained(raw: DataFrame, **options) -> models.Trained:
 
 
 def _holdout(spark: SparkSession, base: str, name: str, balance_by: str = "weights") -> DataFrame:
+    prep, rows = _prepared(spark, base)
+    estimator = models.families(len(prep.features), rows.count(), small=True)[name]
+    return models.compare_families(rows, prep.features, KEY, {name: estimator}, balance_by).drop("model")
+
+
+def _prepared(spark: SparkSession, base: str):
     prep, rows = models.prepared(planted(spark, base), JOB["target"], JOB["target_map"], JOB["drop"], KEY)
-    estimator = models.families(len(prep.features), small=True)[name]
-    return models.compare_families(rows.persist(), prep.features, KEY, {name: estimator}, balance_by).drop("model")
+    return prep, materialised(rows, "prepared")
 
 
 def _register_family(key: str, name: str) -> None:
@@ -124,10 +126,10 @@ def train_industry(spark: SparkSession, base: str) -> DataFrame:
 
 @query("compare_families")
 def compare_families(spark: SparkSession, base: str) -> DataFrame:
-    prep, rows = models.prepared(planted(spark, base), JOB["target"], JOB["target_map"], JOB["drop"], KEY)
-    fams = models.families(len(prep.features), small=True)
-    scored = models.compare_families(rows.persist(), prep.features, KEY, {n: fams[n] for n in ("Logistic Regression", "Boosted Trees")}, "weights")
-    return metrics.compare_models(scored)
+    """All four families."""
+    prep, rows = _prepared(spark, base)
+    fams = models.families(len(prep.features), rows.count(), small=True)
+    return metrics.compare_models(materialised(models.compare_families(rows, prep.features, KEY, fams, "weights"), "compared"))
 
 
 @query("score_table")
@@ -174,6 +176,31 @@ def topk_importance(spark: SparkSession, base: str) -> DataFrame:
 @query("union_metrics")
 def union_metrics(spark: SparkSession, base: str) -> DataFrame:
     raw = planted(spark, base)
-    return models.union_metrics({"telecom": trained(raw), "unweighted": trained(raw, balance="none")})
+    return models.union_metrics({"telecom": trained(raw, estimator=small_boost(), folds=3), "unweighted": trained(raw, balance="none")})
+
+
+# Every seventh customer, by a hash of the id, has a text that is no number.
+_BROKEN = """('0x' || substr(md5("customerID" || '|broken'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE < 1.0 / 7"""
+
+
+def _bulk(spark: SparkSession, base: str) -> DataFrame:
+    raw = planted(spark, base)
+    t = trained(raw)
+    broken = uniform(F.col(KEY), "broken") < 1.0 / 7
+    upload = raw.withColumn("TotalCharges", F.when(broken, F.lit("n/a?")).otherwise(F.col("TotalCharges").cast("string")))
+    return models.score_or_error(t.model, t.prep, upload, [KEY])
+
+
+@query("bulk_errors", f"""WITH {V.ACCOUNTS} SELECT "customerID", CASE WHEN {_BROKEN} THEN 'not a number: TotalCharges' END AS error, NOT {_BROKEN} AS scored FROM accounts""")
+def bulk_errors(spark: SparkSession, base: str) -> DataFrame:
+    """Every row of an upload is scored or has an error."""
+    rows = _bulk(spark, base)
+    whole = F.col("churn_probability").between(0, 1) & F.col("prediction").isNotNull() & F.col("risk_level").isNotNull()
+    return rows.select(KEY, "error", F.coalesce(whole, F.lit(False)).alias("scored"))
+
+
+@query("bulk_outcome", f"""WITH {V.ACCOUNTS} SELECT count(*) AS total, count(*) FILTER (NOT {_BROKEN}) AS successful, count(*) FILTER ({_BROKEN}) AS failed FROM accounts""")
+def bulk_outcome(spark: SparkSession, base: str) -> DataFrame:
+    return models.bulk_outcome(_bulk(spark, base)).select("total", "successful", "failed")
 
 

@@ -154,13 +154,13 @@ def recommend_rules(spark: SparkSession, base: str) -> DataFrame:
         CASE industry WHEN 'telecom' THEN 'CONTRACT_DISCOUNT' || CASE WHEN p > 0.7 THEN ';RETENTION_AGENT;CALL_24H' ELSE '' END
           WHEN 'banking' THEN 'MANAGER_CALL;PREMIUM_ACCOUNT' ELSE 'VOUCHER;CASHBACK' END, 'ACT_NOW')
       ELSE 'LOW_RISK;CONSIDER_UPSELL' END AS actions,
-      CASE WHEN p > 0.5 THEN 'Churn probability is ' || printf('%.0f', p * 100) || '%: act at once' ELSE 'Look for an upsell' END AS closing FROM t""",
+      CASE WHEN p > 0.5 THEN 'now ' || printf('%.0f', p * 100) || '%' ELSE 'CONSIDER_UPSELL' END AS closing FROM t""",
 )
 def recommend_api(spark: SparkSession, base: str) -> DataFrame:
     industry = F.element_at(F.array(F.lit("telecom"), F.lit("banking"), F.lit("ecommerce")), (F.col("id") % 3 + 1).cast("int"))
     rows = _probabilities(spark, base).withColumn("industry", industry)
     codes = rules.recommend_api(F.col("p") > 0.5, F.col("p"), F.col("industry"))
-    closing = F.element_at(rules.action_text(codes, prob=F.col("p")), -1)
+    closing = F.element_at(rules.action_text(codes, {"ACT_NOW": "now {prob}"}, prob=F.col("p")), -1)
     return rows.select("id", "industry", F.array_join(codes, ";").alias("actions"), closing.alias("closing"))
 
 

@@ -49,18 +49,20 @@ def join_segment_names(spark: SparkSession, base: str) -> DataFrame:
     return segments.join_segment_names(_ruled(spark, base), _named(spark, base)).select("customerID", "segment", "segment_name")
 
 
-_ACTIONS = ", ".join(f"('{n}', '{';'.join(a)}')" for n, a in list(segments.SEGMENT_ACTIONS.items())[:3])
+# Codes stand in for a caller's texts; the last name has none, so the default shows.
+_PLANS = {name: (f"FIRST_{i}", f"SECOND_{i}") for i, name in enumerate(SEGMENT_NAMES[:3])}
+_DEFAULT = ("UNPLANNED",)
+_ACTIONS = ", ".join(f"('{n}', '{';'.join(a)}')" for n, a in _PLANS.items())
 
 
 @query(
     "join_actions",
     f"""WITH {V.ACCOUNTS}, {_RANKED}, acts(segment_name, actions) AS (VALUES {_ACTIONS})
-    SELECT segment, named.segment_name, coalesce(acts.actions, '{";".join(segments.DEFAULT_ACTIONS)}') AS actions FROM named LEFT JOIN acts ON acts.segment_name = named.segment_name""",
+    SELECT segment, named.segment_name, coalesce(acts.actions, '{";".join(_DEFAULT)}') AS actions FROM named LEFT JOIN acts ON acts.segment_name = named.segment_name""",
 )
 def join_actions(spark: SparkSession, base: str) -> DataFrame:
     """With a table that lacks the fourth name, so the default shows."""
-    known = segments.action_table(spark, dict(list(segments.SEGMENT_ACTIONS.items())[:3]))
-    joined = segments.join_actions(_named(spark, base), known)
+    joined = segments.join_actions(_named(spark, base), segments.action_table(spark, _PLANS), _DEFAULT)
     return joined.select("segment", "segment_name", F.array_join("actions", ";").alias("actions"))
 
 

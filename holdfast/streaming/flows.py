@@ -26,9 +26,9 @@ def score_stream(rows: DataFrame) -> DataFrame:
 
 def alert_counts(log: DataFrame, threshold: float = 0.75, late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Entries at or above the threshold per user and day.  State is one counter per open (day, user); the
-    watermark closes days, and rows later than it are dropped."""
-    stamped = log.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    hits = stamped.filter(F.col("churn_probability") >= F.lit(threshold)).withWatermark("created_at", late)
+    watermark closes days, and rows later than it are dropped.  Time advances with every entry, alert or not."""
+    stamped = log.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
+    hits = stamped.filter(F.col("churn_probability") >= F.lit(threshold))
     counted = hits.groupBy(F.window("created_at", window), "user_id").agg(F.count("*").alias("alerts"))
     return counted.select(F.col("window.start").alias("day"), "user_id", "alerts")
 

@@ -90,8 +90,8 @@ def test_recommend_rules(spark):
 
 def test_action_text_fills_in_values(spark):
     df = spark.createDataFrame([(["BUNDLE", "ACT_NOW", "OTHER"], 91.6, 0.6)], "c array<string>, b double, p double")
-    texts = df.select(rules.action_text(F.col("c"), F.col("b"), F.col("p"))).first()[0]
-    assert "$92" in texts[0] and "60%" in texts[1] and texts[2] == "OTHER"
+    texts = df.select(rules.action_text(F.col("c"), {"BUNDLE": "less than {bill}", "ACT_NOW": "now {prob}"}, F.col("b"), F.col("p"))).first()[0]
+    assert texts == ["less than $92", "now 60%", "OTHER"]
 
 
 def test_null_to_list_caps_after_dropping_nulls(spark):

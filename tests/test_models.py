@@ -68,7 +68,7 @@ def test_class_weights_give_equal_mass(spark, rows):
 
 def test_families_find_the_planted_signal(spark, rows):
     split = rows.withColumn("is_test", uniform(F.col("id"), "t") < 0.25)
-    scored = models.compare_families(split, FEATURES, "id", models.families(3, small=True), balance="weights")
+    scored = models.compare_families(split, FEATURES, "id", models.families(3, 400, small=True), balance="weights")
     table = {r["model"]: r["auc"] for r in metrics.compare_models(scored).collect()}
     assert len(table) == 4 and all(auc > 80 for auc in table.values()), table
 
@@ -92,7 +92,7 @@ def test_tree_attribution_adds_up_to_the_margin(spark, rows, boosted):
     start = explain.baseline(trees)
     for r in out:
         margin = start + sum(p["value"] for p in r["attribution"])
-        assert 1 / (1 + np.exp(-2 * margin)) == pytest.approx(probability[r["id"]], abs=1e-6)
+        assert 1 / (1 + np.exp(-margin)) == pytest.approx(probability[r["id"]], abs=1e-6)
 
 
 def test_tree_attribution_equals_subset_enumeration(spark, rows, boosted):
@@ -124,6 +124,44 @@ def test_tree_attribution_equals_subset_enumeration(spark, rows, boosted):
             assert r["attribution"][j]["value"] == pytest.approx(want, abs=1e-9)
 
 
+def test_tree_attribution_with_tiny_shares(spark):
+    """Eight features on one path, shares down to 1e-5, passing and failing features mixed."""
+    from itertools import combinations
+    from math import factorial
+
+    shares = [1e-5, 0.7, 0.6, 1e-4, 0.3, 0.9, 0.5, 0.4]
+    m, cover = len(shares), [1e9]
+    tree = {"weight": 1.0, "left": [], "right": [], "feature": [], "cut": [], "value": [], "cover": []}
+    for f, z in enumerate(shares):
+        here = cover[-1]
+        for name, x in (("left", 2 * f + 2), ("right", 2 * f + 1), ("feature", f), ("cut", 0.5), ("value", 0.0), ("cover", here)):
+            tree[name].append(x)
+        for name, x in (("left", -1), ("right", -1), ("feature", -1), ("cut", 0.0), ("value", 0.25 * f), ("cover", here * (1 - z))):
+            tree[name].append(x)
+        cover.append(here * z)
+    for name, x in (("left", -1), ("right", -1), ("feature", -1), ("cut", 0.0), ("value", 1.0), ("cover", cover[-1])):
+        tree[name].append(x)
+
+    def expectation(x, known):
+        total, reach = 0.0, 1.0
+        for f, z in enumerate(shares):
+            go = (1.0 if x[f] <= 0.5 else 0.0) if f in known else z
+            total, reach = total + reach * (1 - go) * 0.25 * f, reach * go
+        return total + reach
+
+    names = [f"f{i}" for i in range(m)]
+    points = [[0.0] * m, [1.0] * m, [0, 1, 0, 0, 0, 1, 0, 0], [0, 0, 0, 0, 0, 0, 0, 1]]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id int, " + ", ".join(f"{n} double" for n in names))
+    for r in explain.attribution_tree(df, None, names, ["id"], [tree]).collect():
+        x = points[r["id"]]
+        for j in range(m):
+            want, others = 0.0, [i for i in range(m) if i != j]
+            for size in range(m):
+                w = factorial(size) * factorial(m - size - 1) / factorial(m)
+                want += sum(w * (expectation(x, {*k, j}) - expectation(x, set(k))) for k in combinations(others, size))
+            assert r["attribution"][j]["value"] == pytest.approx(want, abs=1e-9)
+
+
 def test_topk_and_recommendations(spark):
     names = ["Contract_Two year", "Contract_One year", "tenure", "Age", "Other", "Hour"]
     row = [(1, 1, [(n, v) for n, v in zip(names, [0.3, 0.2, -0.5, 0.1, 0.25, 0.0])]), (2, 0, [(n, v) for n, v in zip(names, [0.1, -0.2, -0.5, 0.1, -0.9, 0.0])])]

@@ -21,7 +21,7 @@ def test_quantiles_by_narrowing_match_numpy(spark, shape):
     data = [(make(i), i % 2) for i in range(n)]
     df = spark.createDataFrame(data, "v double, g int").repartition(4)
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
-    got = order_stats.quantiles(df, ["v"], probs, by=["g"], small=50)
+    got = order_stats.quantiles(df, ["v"], probs, by=["g"])
     for g in (0, 1):
         values = [v for v, h in data if h == g]
         assert got[(g,)]["v"] == pytest.approx(np.quantile(values, probs), rel=1e-12)
@@ -30,13 +30,14 @@ def test_quantiles_by_narrowing_match_numpy(spark, shape):
 def test_quantiles_of_missing_and_empty_columns(spark):
     df = spark.createDataFrame([(1.0, None), (float("nan"), None), (3.0, None)], "a double, b double")
     assert order_stats.medians(df, ["a", "b"]) == {"a": 2.0, "b": None}
-    assert order_stats.medians(df, ["a"], small=0) == {"a": 2.0}
+    df = df.withColumn("g", F.when(F.col("a") == 1.0, "x"))
+    assert order_stats.quantiles(df, ["a", "b"], (0.5,), by=["g"]) == {("x",): {"a": [1.0], "b": [None]}, (None,): {"a": [3.0], "b": [None]}}
 
 
 def test_select_ranks_on_longs_beyond_double_precision(spark):
     df = spark.range(3000).select((F.lit(2**60) + F.col("id")).alias("h"))
-    got = order_stats.select_ranks(df, {((), "h"): [0, 1499, 2999]}, small=10)
-    assert got[((), "h")] == {0: 2**60, 1499: 2**60 + 1499, 2999: 2**60 + 2999}
+    got = order_stats.select_ranks(df, "h", [0, 1499, 2999, 3000])
+    assert got == {0: 2**60, 1499: 2**60 + 1499, 2999: 2**60 + 2999}
 
 
 def test_box_stats_and_describe(spark):
@@ -60,10 +61,10 @@ def test_histogram_matches_numpy(spark):
 
 def test_exact_split_sizes_and_folds(spark):
     df = spark.range(1003).select("id", F.when(F.col("id") % 10 == 0, 1).otherwise(0).alias("y"))
-    cut = split.stratified_split(df, "id", "y", 0.2, exact=True, small=20)
+    cut = split.stratified_split(df, "id", "y", 0.2, exact=True)
     sizes = {(r["y"], r["is_test"]): r["n"] for r in split.split_counts(cut, "y").collect()}
     assert sizes == {(0, True): 180, (0, False): 722, (1, True): 20, (1, False): 81}
-    folds = split.kfold_assign(df, "id", 5, label="y", exact=True, small=20)
+    folds = split.kfold_assign(df, "id", 5, label="y", exact=True)
     per = {(r["y"], r["fold"]): r["count"] for r in folds.groupBy("y", "fold").count().collect()}
     assert {per[(0, i)] for i in range(5)} <= {180, 181} and {per[(1, i)] for i in range(5)} <= {20, 21}
 
@@ -81,12 +82,18 @@ def auc_by_pairs(rows):
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("chunk", [3, 1000])
-def test_auc_with_ties_equals_all_pairs(spark, chunk):
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_auc_with_ties_equals_all_pairs(spark, parts):
     rng = random.Random(5)
     rows = [(rng.randrange(40) / 40, int(rng.random() < 0.4)) for _ in range(400)]
     df = spark.createDataFrame(rows, "score double, label int")
-    assert metrics.roc_auc(df, chunk=chunk).first()["auc"] == pytest.approx(auc_by_pairs(rows), abs=1e-12)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = metrics.roc_auc(df).first()["auc"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == pytest.approx(auc_by_pairs(rows), abs=1e-12)
 
 
 def test_auc_edge_cases(spark):
