@@ -64,7 +64,8 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     q = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("total") - 1)
-        q.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (pos - F.floor(pos)))
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        q.append(F.when(lo == hi, lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi))
     groups = [F.col(f"{_KEY}.g.g{i}").alias(b) for i, b in enumerate(by)]
     return found.select(*groups, F.col(f"{_KEY}.column").alias("column"), F.array(*q).alias("q"))
 
