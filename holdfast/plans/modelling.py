@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import INDUSTRIES
 from ..functions.hashing import uniform
+from ..functions.risk import prediction_text
 from ..functions.rules import rule_score
 from ..operators import balance, metrics, models
 from ..session import materialised, scratch_path
@@ -53,9 +54,16 @@ def _prepared(spark: SparkSession, base: str):
 
 
 def _register_family(key: str, name: str) -> None:
-    @query(key)
+    @query(key, f"""WITH {V.ACCOUNTS} SELECT count(*) AS n, true AS scored, true AS a_fifth, true AS finds_signal FROM accounts""")
     def run(spark: SparkSession, base: str) -> DataFrame:
-        return _holdout(spark, base, name)
+        """Facts about the scored hold-out: rows of the table, every score valid, size of the hold-out, AUC on the planted label."""
+        raw = views.accounts(spark, base)
+        held = materialised(_holdout(spark, base, name), "holdout")
+        auc = metrics.roc_auc(held)
+        facts = held.agg(F.count("*").alias("h"), F.min(F.col("score").between(0, 1) & F.col("pred").isin(0, 1)).alias("scored"), F.count_distinct("label").alias("k"))
+        n = raw.agg(F.count("*").alias("n"))
+        fifth = F.abs(F.col("h") - F.col("n") * 0.2) <= F.col("k")
+        return facts.select("*", n.scalar().alias("n"), auc.select("auc").scalar().alias("auc")).select("n", "scored", fifth.alias("a_fifth"), (F.col("auc") > 0.75).alias("finds_signal"))
 
 
 _register_family("clf_logreg", "Logistic Regression")
@@ -85,27 +93,43 @@ def smote(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy("label", "synthetic").agg(F.count("*").alias("n"))
 
 
-@query("smote_rows")
+@query(
+    "smote_rows",
+    f"""WITH {V.CLIENTS}, n AS (SELECT count(*) FILTER ("Exited" = 1) AS a, count(*) FILTER ("Exited" = 0) AS b FROM clients)
+    SELECT false AS synthetic, a + b AS n, true AS within FROM n UNION ALL SELECT true, abs(a - b), true FROM n WHERE a <> b""",
+)
 def smote_rows(spark: SparkSession, base: str) -> DataFrame:
+    """Real and synthetic rows: how many, and whether every value lies within the range of the real rows."""
+    columns = ["CreditScore", "Age", "Balance", "Tenure"]
     df = views.clients(spark, base).withColumn("label", F.col("Exited").cast("double"))
-    return balance.smote(df, ["CreditScore", "Age", "Balance", "Tenure"], "CustomerId")
+    rows = materialised(balance.smote(df, columns, "CustomerId"), "smote")
+    real = rows.filter(~F.col("synthetic")).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    inside = F.lit(True)
+    for c in columns:
+        inside = inside & F.col(c).between(real[f"lo_{c}"], real[f"hi_{c}"])
+    return rows.groupBy("synthetic").agg(F.count("*").alias("n"), F.min(inside).alias("within"))
 
 
-@query("grid_search")
+@query("grid_search", "SELECT 4 AS points, true AS searched")
 def grid_search(spark: SparkSession, base: str) -> DataFrame:
     prep, rows = models.prepared(planted(spark, base), JOB["target"], JOB["target_map"], JOB["drop"], KEY)
     train = rows.filter(~F.col("is_test")).drop("is_test")
-    table, _ = models.grid_search(models.clf_boost(3, 3, 0.1), {"maxDepth": [2, 3], "stepSize": [0.05, 0.1]}, train, prep.features, KEY, balance="weights", parallelism=4)
-    return table
+    table, best = models.grid_search(models.clf_boost(3, 3, 0.1), {"maxDepth": [2, 3], "stepSize": [0.05, 0.1]}, train, prep.features, KEY, balance="weights", parallelism=4)
+    chosen = F.max_by("parameters", F.struct("mean_auc", -F.col("point"))) == str(sorted(best.items()))
+    return table.agg(F.count("*").cast("int").alias("points"), (chosen & (F.min("mean_auc") > 0.7)).alias("searched"))
 
 
-@query("cross_val")
+@query("cross_val", "SELECT unnest(range(5))::INTEGER AS fold, true AS finds_signal")
 def cross_val(spark: SparkSession, base: str) -> DataFrame:
     prep, rows = models.prepared(planted(spark, base), JOB["target"], JOB["target_map"], JOB["drop"], KEY, fit_on="all")
-    return models.cross_val(models.clf_logreg(50), rows.drop("is_test"), prep.features, KEY, 5, parallelism=4)
+    return models.cross_val(models.clf_logreg(50), rows.drop("is_test"), prep.features, KEY, 5, parallelism=4).select("fold", (F.col("auc") > 0.75).alias("finds_signal"))
 
 
-@query("train_industry")
+@query(
+    "train_industry",
+    f"""WITH {V.ACCOUNTS}, {V.CLIENTS}, {V.SHOPPERS} SELECT 'telecom' AS industry, count(*) AS customers, NULL AS failed FROM accounts
+    UNION ALL SELECT 'banking', count(*), NULL FROM clients UNION ALL SELECT 'ecommerce', count(*), NULL FROM shoppers UNION ALL SELECT 'broken', 0, true""",
+)
 def train_industry(spark: SparkSession, base: str) -> DataFrame:
     """Three industries; the job whose key column is missing fails without stopping the rest."""
     bank = views.clients(spark, base).drop("Segment", "Surname")
@@ -119,43 +143,51 @@ def train_industry(spark: SparkSession, base: str) -> DataFrame:
             "broken": {"raw": shop, "target": "Churn", "target_map": None, "drop": [], "key": "absent", **common},
         }
     )
-    results = models.union_metrics(done).withColumn("error", F.lit(None).cast("string"))
-    errors = spark.createDataFrame([(k, v.split(":")[0]) for k, v in failed.items()], "industry string, error string")
-    return results.unionByName(errors, allowMissingColumns=True)
+    results = models.union_metrics(done).select("industry", "customers", F.lit(None).cast("boolean").alias("failed"))
+    errors = spark.createDataFrame([(k, 0, True) for k in failed], "industry string, customers bigint, failed boolean")
+    return results.unionByName(errors)
 
 
-@query("compare_families")
+@query("compare_families", "SELECT unnest(['Boosted Trees', 'Logistic Regression', 'Neural Network', 'Random Forest']) AS model, true AS finds_signal")
 def compare_families(spark: SparkSession, base: str) -> DataFrame:
     """All four families."""
     prep, rows = _prepared(spark, base)
     fams = models.families(len(prep.features), rows.count(), small=True)
-    return metrics.compare_models(materialised(models.compare_families(rows, prep.features, KEY, fams, "weights"), "compared"))
+    table = metrics.compare_models(materialised(models.compare_families(rows, prep.features, KEY, fams, "weights"), "compared"))
+    return table.select("model", (F.col("auc") > 75).alias("finds_signal"))
 
 
-@query("score_table")
+@query("score_table", f"""WITH {V.ACCOUNTS} SELECT "customerID", true AS complete FROM accounts""")
 def score_table(spark: SparkSession, base: str) -> DataFrame:
+    """Every account has a probability, a class and the risk level that belongs to it."""
     raw = planted(spark, base)
     t = trained(raw)
-    return models.score_table(t.model, t.prep, raw, [KEY])
+    scored = models.score_table(t.model, t.prep, raw, [KEY])
+    p = F.col("churn_probability")
+    fits = (F.col("prediction") == prediction_text((p > 0.5).cast("int"))) | (F.abs(p - 0.5) < 1e-4)
+    return scored.select(KEY, F.coalesce(p.between(0, 1) & F.col("risk_level").isNotNull() & fits, F.lit(False)).alias("complete"))
 
 
-@query("mdl_save_load")
+@query("mdl_save_load", f"""WITH {V.ACCOUNTS} SELECT count(*) AS n, 0::BIGINT AS changed FROM accounts""")
 def mdl_save_load(spark: SparkSession, base: str) -> DataFrame:
     raw = planted(spark, base)
     t = trained(raw)
     root = scratch_path(spark, "models")
     store.save_model(spark, root, "telecom", "Telecom", t.model, t.prep, {"maxIter": 50})
     model, prep, _ = store.load_model(spark, root, "telecom")
-    return models.score_table(model, prep, raw, [KEY])
+    before, after = models.score_table(t.model, t.prep, raw, [KEY]), models.score_table(model, prep, raw, [KEY])
+    tally = lambda df, n: df.groupBy(*df.columns).agg(F.lit(n).alias("side"), F.count("*").alias("n"))
+    both = tally(before, 1).unionByName(tally(after, -1)).groupBy(*before.columns).agg(F.sum(F.col("side") * F.col("n")).alias("d"), F.max("n").alias("n"))
+    return both.agg(F.sum("n").alias("n"), F.count_if(F.col("d") != 0).alias("changed"))
 
 
-@query("model_registry")
+@query("model_registry", f"SELECT industry, CASE WHEN industry = 'telecom' THEN 'ready' ELSE 'not trained' END AS status FROM (SELECT unnest({list(INDUSTRIES)}) AS industry)")
 def model_registry(spark: SparkSession, base: str) -> DataFrame:
     raw = planted(spark, base)
     t = trained(raw)
     root = scratch_path(spark, "models")
     store.save_model(spark, root, "telecom", "Telecom", t.model, t.prep, {"maxIter": 50})
-    return store.model_registry(spark, root, list(INDUSTRIES)).withColumn("features", F.array_join("features", ";"))
+    return store.model_registry(spark, root, list(INDUSTRIES)).select("industry", "status")
 
 
 def _importance(spark: SparkSession, base: str) -> DataFrame:
@@ -163,20 +195,40 @@ def _importance(spark: SparkSession, base: str) -> DataFrame:
     return models.feature_importance(t.model, t.prep.features, spark)
 
 
-@query("feature_importance")
+_LEVELS = " UNION ALL ".join(
+    f"""SELECT '{c}_' || level AS feature FROM (SELECT DISTINCT "{c}" AS level FROM accounts WHERE "{c}" IS NOT NULL QUALIFY dense_rank() OVER (ORDER BY level) > 1)"""
+    for c in ("Contract", "InternetService", "PaymentMethod")
+)
+_NUMBERS = "SELECT unnest(['tenure', 'MonthlyCharges', 'TotalCharges', 'SeniorCitizen']) AS feature"
+
+
+@query("feature_importance", f"WITH {V.ACCOUNTS} {_NUMBERS} UNION ALL {_LEVELS}")
 def feature_importance(spark: SparkSession, base: str) -> DataFrame:
-    return _importance(spark, base)
+    """The features of the contract, each with a share of the importance."""
+    shares = _importance(spark, base)
+    whole = shares.agg(F.abs(F.sum("importance") - 1) < 1e-6).scalar()
+    return shares.filter(whole & F.col("importance").between(0, 1)).select("feature")
 
 
-@query("topk_importance")
+@query("topk_importance", "SELECT 10 AS n, true AS falling")
 def topk_importance(spark: SparkSession, base: str) -> DataFrame:
-    return models.topk_importance(_importance(spark, base), 10)
+    """The ten first of the ranking: none that is left out is above one of them."""
+    every = materialised(_importance(spark, base), "importance")
+    best = models.topk_importance(every, 10)
+    rest = every.join(best, "feature", "left_anti").agg(F.coalesce(F.max("importance"), F.lit(0.0))).scalar()
+    return best.agg(F.count("*").cast("int").alias("n"), F.min("importance").alias("least")).select("n", (F.col("least") >= rest).alias("falling"))
 
 
-@query("union_metrics")
+@query(
+    "union_metrics",
+    f"""WITH {V.ACCOUNTS} SELECT unnest(['telecom', 'unweighted']) AS industry, (SELECT count(*) FROM accounts) AS customers, unnest([8, 50]) AS best_estimators,
+      unnest([4, NULL]) AS best_depth, unnest([0.2::DOUBLE, NULL]) AS best_lr, unnest([true, NULL]) AS cross_validated, true AS finds_signal""",
+)
 def union_metrics(spark: SparkSession, base: str) -> DataFrame:
     raw = planted(spark, base)
-    return models.union_metrics({"telecom": trained(raw, estimator=small_boost(), folds=3), "unweighted": trained(raw, balance="none")})
+    table = models.union_metrics({"telecom": trained(raw, estimator=small_boost(), folds=3), "unweighted": trained(raw, balance="none")})
+    validated = (F.col("cv_auc") > 75) & (F.col("cv_std") < 5)
+    return table.select("industry", "customers", "best_estimators", "best_depth", "best_lr", validated.alias("cross_validated"), (F.col("auc") > 75).alias("finds_signal"))
 
 
 # Every seventh customer, by a hash of the id, has a text that is no number; so have some of the accounts themselves.

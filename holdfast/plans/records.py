@@ -57,10 +57,10 @@ def filter_history(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "order_recent",
-    f"""WITH {V.PREDICTIONS} SELECT id, user_id, {_AT} AS created_at FROM predictions ORDER BY predictions.created_at DESC, id DESC LIMIT 50""",
+    f"""WITH {V.PREDICTIONS} SELECT id, user_id, {_AT} AS created_at FROM predictions ORDER BY predictions.created_at DESC, id DESC""",
 )
 def order_recent(spark: SparkSession, base: str) -> DataFrame:
-    return history.order_recent(views.predictions(spark, base), n=50).select("id", "user_id", _stamp())
+    return history.order_recent(views.predictions(spark, base)).select("id", "user_id", _stamp())
 
 
 @query(
@@ -96,11 +96,10 @@ def src_predictions(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "join_user_predictions",
     f"""WITH {V.PREDICTIONS}, {V.USERS} SELECT u.id AS user_id, u.email AS user_email, coalesce(p.id, -1) AS id, p.prediction FROM users u
-    LEFT JOIN (SELECT * FROM predictions WHERE risk_level = 'High Risk') p ON p.user_id = u.id""",
+    LEFT JOIN predictions p ON p.user_id = u.id""",
 )
 def join_user_predictions(spark: SparkSession, base: str) -> DataFrame:
-    high = views.predictions(spark, base).filter(F.col("risk_level") == "High Risk")
-    joined = history.join_user_predictions(views.users(spark, base), high)
+    joined = history.join_user_predictions(views.users(spark, base), views.predictions(spark, base))
     return joined.select("user_id", "user_email", F.coalesce("id", F.lit(-1)).alias("id"), "prediction")
 
 

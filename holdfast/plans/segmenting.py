@@ -84,9 +84,15 @@ def sample_per_group(spark: SparkSession, base: str) -> DataFrame:
     return segments.sample_per_group(_ruled(spark, base).select("customerID", "segment"), "segment", "customerID", 300)
 
 
-@query("kmeans_segments")
+_SEGMENTED = " UNION ALL ".join(
+    f"""SELECT '{ind.key}' AS industry, 4 AS segments, 4 AS ranks, (SELECT count(*) FROM {table} WHERE {" AND ".join(f'"{c}" IS NOT NULL' if c != "TotalCharges" else "total_num IS NOT NULL" for c in ind.segment_features)}) AS customers"""
+    for ind, table in ((TELECOM, "accounts"), (BANKING, "clients"), (ECOMMERCE, "shoppers"))
+)
+
+
+@query("kmeans_segments", f"WITH {V.ACCOUNTS}, {V.CLIENTS}, {V.SHOPPERS} {_SEGMENTED}")
 def kmeans_segments(spark: SparkSession, base: str) -> DataFrame:
-    """Clustered, profiled and named segments of all three industries."""
+    """Clustered, profiled and named segments of all three industries, summed up: every customer is in one of four."""
     sources = {
         TELECOM: clean.coerce_numeric(telecom(spark, base), ["TotalCharges"]),
         BANKING: banking(spark, base),
@@ -95,9 +101,10 @@ def kmeans_segments(spark: SparkSession, base: str) -> DataFrame:
     out: DataFrame | None = None
     for ind, df in sources.items():
         rows = df.select(*ind.segment_features, "churn")
-        assigned = segments.kmeans_segments(rows, ind.segment_features, k=4, restarts=2)
+        assigned = segments.kmeans_segments(rows, ind.segment_features, k=4)
         named = segments.rank_segments(segments.segment_profile(assigned, ind.segment_features)).select(
             F.lit(ind.key).alias("industry"), "segment", "customers", "churn_rate_pct", "rank", "segment_name"
         )
         out = named if out is None else out.unionByName(named)
-    return out
+    sums = [F.count("*").cast("int").alias("segments"), F.count_distinct("rank").cast("int").alias("ranks"), F.sum("customers").alias("customers")]
+    return out.groupBy("industry").agg(*sums)
