@@ -27,9 +27,9 @@ from .words import SPACES, Words, split_words, window_hashes, word_hashes, words
 
 WIDTH = 13
 SEED = 3
-JUDGE_ROWS = 20_000
+JUDGE_ROWS = 10_000
 #: Bytes of text that one blob per target gathers; fewer, larger blobs compress better.
-SEND_BYTES = 8 << 20
+SEND_BYTES = 3 << 20
 _LEVEL = 3
 
 _BLOBS = "target int, size long, blob binary"
@@ -77,6 +77,8 @@ def send(batches: Iterator[pa.RecordBatch], width: int, seed: int, targets: int)
             continue
         begin, end = words.start[first], words.end[last + width - 1]
         packed = [raw[a:b] + b" " for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        start, stop = first - words.first[doc], last - words.first[doc] + width
+        del raw, words, texts
         # of equal stretches in this step, the smallest document's goes on; the others are marked without their words
         own = ids[doc].tolist()
         owner: dict[bytes, int] = {}
@@ -84,7 +86,7 @@ def send(batches: Iterator[pa.RecordBatch], width: int, seed: int, targets: int)
             if owner.setdefault(p, d) > d:
                 owner[p] = d
         packed = [p if owner[p] == d else b"" for p, d in zip(packed, own, strict=True)]
-        start, stop = first - words.first[doc], last - words.first[doc] + width
+        del owner
         target = (least >> np.uint64(32)) % np.uint64(targets)
         order = np.argsort(target, kind="stable")
         edges = np.searchsorted(target[order], np.arange(targets + 1))
