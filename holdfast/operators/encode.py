@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nan_to_null, parse_number, ref
+from ..session import materialised
 from .clean import as_double, numeric_columns, promotable, text_columns
 from .order_stats import medians
-from .profile import levels, modes_and_cardinality, moments
+from .profile import levels, modes_and_cardinality, moments, value_counts
 
 # Services counted by `total_services`.
 SERVICES = ("OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies")
@@ -139,9 +140,10 @@ def fit_preparation(
         *[(parse_number(ref(c)) if c in promoted else as_double(df, c)).alias(c) for c in numeric], *[ref(c) for c in text]
     )
     fill = median_impute_fit(parsed, numeric, exact)
-    top = modes_and_cardinality(parsed, text)
+    counts = materialised(value_counts(parsed, text), "levels") if text else None
+    top = modes_and_cardinality(parsed, text, counts=counts)
     text_fill = {c: m for c, (m, _) in top.items()}
-    found = levels(parsed, text, max_levels, {c: k for c, (_, k) in top.items()})
+    found = levels(parsed, text, max_levels, {c: k for c, (_, k) in top.items()}, counts)
     for c in text:
         if not found[c]:
             found[c] = [text_fill[c]]

@@ -121,9 +121,11 @@ def recommend_from_attribution(df: DataFrame, features: Sequence[str], churns: C
 
     drivers = matched("risk_increasers", _actions_for(features, churn_action))
     anchors = matched("risk_decreasers", _actions_for(features, stay_action))
-    leave = F.concat(F.when(F.size(drivers) > 0, drivers).otherwise(F.array(note("RETENTION_CALL"))), F.array(note("CONTACT_48H")))
-    stay = F.concat(F.array(note("KEEP_SERVICE")), F.slice(anchors, 1, 1))
-    return df.withColumn("recommendations", F.slice(F.when(churns.cast("boolean"), leave).otherwise(stay), 1, limit))
+    # columns of their own, so that each is computed once
+    found = df.withColumns({"__drivers": drivers, "__anchors": anchors})
+    leave = F.concat(F.when(F.size("__drivers") > 0, F.col("__drivers")).otherwise(F.array(note("RETENTION_CALL"))), F.array(note("CONTACT_48H")))
+    stay = F.concat(F.array(note("KEEP_SERVICE")), F.slice("__anchors", 1, 1))
+    return found.withColumn("recommendations", F.slice(F.when(churns.cast("boolean"), leave).otherwise(stay), 1, limit)).drop("__drivers", "__anchors")
 
 
 def tree_arrays(model: PipelineModel) -> list[dict]:

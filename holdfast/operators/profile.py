@@ -30,17 +30,20 @@ def modes(df: DataFrame, columns: Sequence[str], fallback: str = "Unknown") -> d
     return {c: m for c, (m, _) in modes_and_cardinality(df, columns, fallback).items()}
 
 
-def modes_and_cardinality(df: DataFrame, columns: Sequence[str], fallback: str = "Unknown") -> dict[str, tuple[str, int]]:
+def modes_and_cardinality(df: DataFrame, columns: Sequence[str], fallback: str = "Unknown", counts: DataFrame | None = None) -> dict[str, tuple[str, int]]:
+    """(mode, number of levels) of each column; `counts` are its value counts, if the caller has them."""
     if not columns:
         return {}
-    best = value_counts(df, columns).groupBy("column").agg(
+    best = (value_counts(df, columns) if counts is None else counts).groupBy("column").agg(
         F.min(F.struct((-F.col("n")).alias("rank"), F.col("value").alias("value"))).alias("top"), F.count("*").alias("levels")
     )
     found = {r["column"]: (r["top"]["value"], r["levels"]) for r in best.collect()}
     return {c: found.get(c, (fallback, 0)) for c in columns}
 
 
-def levels(df: DataFrame, columns: Sequence[str], max_levels: int = 1000, known: dict[str, int] | None = None) -> dict[str, list[str]]:
+def levels(
+    df: DataFrame, columns: Sequence[str], max_levels: int = 1000, known: dict[str, int] | None = None, counts: DataFrame | None = None
+) -> dict[str, list[str]]:
     """Sorted distinct values per text column.
 
     Columns with more than `max_levels` values are refused: they would become as many feature columns.
@@ -51,7 +54,7 @@ def levels(df: DataFrame, columns: Sequence[str], max_levels: int = 1000, known:
     wide = {c: k for c, k in sizes.items() if k > max_levels}
     if wide:
         raise ValueError(f"too many levels for one column per level (limit {max_levels}): {wide}; drop or group these columns")
-    rows = value_counts(df, columns).select("column", "value").collect()
+    rows = (value_counts(df, columns) if counts is None else counts).select("column", "value").collect()
     out: dict[str, list[str]] = {c: [] for c in columns}
     for r in rows:
         out[r["column"]].append(r["value"])
