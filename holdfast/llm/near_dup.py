@@ -1,16 +1,18 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
-1. Every text gives its set of word shingles (64-bit hashes), a 128-bit key of the set and a signature of COORDINATES
-   minima.  Equal sets are one node; copies only add members to it.
-2. Nodes are posted under (coordinate, value) for the first POSTED coordinates.  A linked pair shares at least SHARED of
-   these but for a chance below 3e-7 at the threshold (less above it), so by the prefix rule it meets under one of the
-   POSTED - SHARED + 1 rarest coordinates of either node; the rest, the long lists, are skipped.
-3. Pairs that meet are kept if at least MATCHED of all coordinates collide (a miss is below 1e-7 at the threshold) and the
-   set sizes allow the similarity.  Kept pairs are confirmed on the full sets, recomputed from the texts.
+1. Every text gives its set of word shingles (64-bit hashes), a 128-bit key of the set, a signature of COORDINATES minima and
+   an odd sketch (one bit per residue: whether an odd number of shingles falls there).  Equal sets are one node; copies only
+   add members to it.
+2. Nodes are posted under (coordinate, value, class of set size) for the first POSTED coordinates.  Sets whose sizes allow the
+   similarity are in the same class or in neighbours, so a node is posted in its own class and in the next.  A linked pair
+   shares so many coordinates, but for a chance of MISS, that by the prefix rule it meets under one of the rarest coordinates of
+   either node; the rest, the long lists, are skipped.
+3. Pairs that meet are kept if enough of all coordinates collide (again but for MISS), the sizes allow the similarity, and the
+   sketches differ in no more bits than sets as similar can.  Kept pairs are confirmed on the full sets, from the texts.
 4. A group of copies must not become all its pairs: in the first rounds each posting list offers, for each component in it,
-   one pair with the list's smallest node, and each component confirms its best such pair.  What is left are lists that
-   still hold several components; there all pairs between different components are compared.  A pair inside one component
-   can't change the result, so none that matters is left out.
+   one pair with the list's smallest node, and each component confirms the pair that most lists offer.  What is left are lists
+   that still hold several components; there all pairs between different components are compared, in blocks.  A pair inside one
+   component can't change the result, so none that matters is left out.
 
 Components are contracted round by round with tables in the shared folder; nothing but counts reaches the driver.
 
@@ -22,26 +24,41 @@ and a group without any id is kept (component_id null); columns other than id an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, steps, written
+from .common import binary_parts, fresh, steps, written
 from .words import SPACES, mix, split_words, word_hashes
 
 COORDINATES = 64
-POSTED = 16
-SHARED = 4
-#: Of COORDINATES, at similarity 0.8; scaled for other thresholds.
-MATCHED = 32
-STAR_ROUNDS = 3
+POSTED = 24
+#: Chance that a pair exactly at the threshold is missed by one of the two counts of collisions; far less above it.
+MISS = 2e-7
+STAR_ROUNDS = 2
 #: Members of a pivot that one group of the confirming step holds.
 MEMBERS = 256
+#: Nodes of one block of a posting list.
+BLOCK = 512
+SKETCH_BITS = 1024
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: A sketch has a byte per coordinate, then the bits.
+_SKETCH = COORDINATES + SKETCH_BITS // 8
+
+
+def least_shared(coordinates: int, percent: int, miss: float = MISS) -> int:
+    """The largest count that a pair at the threshold stays below with a chance of at most `miss`."""
+    p, below = percent / 100, 0.0
+    for t in range(coordinates + 1):
+        below += math.comb(coordinates, t) * p**t * (1 - p) ** (coordinates - t)
+        if below > miss:
+            return t
+    return coordinates
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -67,12 +84,40 @@ def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of the least hash under each seed, as int32; long sets in slices."""
+    """The upper 32 bits of the least hash under each seed; long sets in slices."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(shingles), 1 << 14):
         part = shingles[i : i + (1 << 14), None] * _SEEDS
         np.minimum(least, (part ^ (part >> np.uint64(29))).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (least >> np.uint64(32)).astype(np.uint32)
+
+
+def sketch(shingles: np.ndarray, least: np.ndarray) -> bytes:
+    odd = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return least.astype(np.uint8).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def most_apart(both: np.ndarray, percent: int) -> np.ndarray:
+    """Bits in which the sketches of a pair at the threshold can differ; `both` is the sum of the set sizes.
+
+    At most as many as shingles that only one has; where many of these fall together, seven deviations above the mean.
+    """
+    apart = np.floor(both * (100 - percent) / (100 + percent))
+    share = (1 - (1 - 2 / SKETCH_BITS) ** apart) / 2
+    return np.minimum(apart, SKETCH_BITS * share + 7 * np.sqrt(SKETCH_BITS * share * (1 - share)))
+
+
+def alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, matched: int) -> tuple[np.ndarray, np.ndarray]:
+    """(may be linked, collisions) of pairs of sketches, row by row."""
+    same = (a[..., :COORDINATES] == b[..., :COORDINATES]).sum(axis=-1)
+    apart = np.bitwise_count(a[..., COORDINATES:] ^ b[..., COORDINATES:]).sum(axis=-1, dtype=np.int64)
+    sizes = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    return sizes & (same >= matched) & (apart <= most_apart(n_a + n_b, percent)), same
+
+
+def sketches(column: pa.Array) -> np.ndarray:
+    data, _ = binary_parts(column)
+    return data.reshape(-1, _SKETCH)
 
 
 def set_key(shingles: np.ndarray) -> bytes:
@@ -84,34 +129,45 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches, "text"):
             sets = shingle_sets(texts, size)
-            keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
-            flat = np.concatenate([signature(s) if len(s) else np.zeros(COORDINATES, np.int32) for s in sets])
-            offsets = np.arange(0, len(flat) + 1, COORDINATES, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "row", "n_shingles", "node", "sig"],
-            )
+            least = [signature(s) for s in sets]
+            flat = pa.array(np.concatenate([x[:POSTED] for x in least]).view(np.int32))
+            offsets = pa.array(np.arange(0, len(flat) + 1, POSTED, dtype=np.int32))
+            columns = [
+                part.column("doc_id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, flat),
+                pa.array([sketch(s, x) for s, x in zip(sets, least, strict=True)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_shingles", "node", "lead", "sketch"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, n_shingles long, node binary, sig array<int>")
+    return rows.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, n_shingles long, node binary, lead array<int>, sketch binary")
 
 
-def postings(nodes: DataFrame, shared: int) -> DataFrame:
-    """(coordinate, value, node) under the rarest coordinates of each node, of those that two nodes at least share."""
-    posted = nodes.select("node", F.posexplode(F.slice("sig", 1, POSTED)).alias("coordinate", "value"))
-    counts = posted.groupBy("coordinate", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    ranked = posted.join(counts, ["coordinate", "value"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "coordinate", "value"))).alias("shared"))
+def postings(nodes: DataFrame, percent: int) -> DataFrame:
+    """(list, node) under the rarest coordinates of each node and size class, of those that two nodes at least share."""
+    ratio = math.log(max(1.01, 100 / percent)) * 1.000001
+    views = nodes.select("node", "lead", F.explode(F.array(*[F.floor(F.log("n") / ratio) + i for i in (0, 1)])).alias("view"))
+    posted = views.select("node", "view", F.posexplode("lead").alias("c", "v")).select("node", "view", F.xxhash64("view", "c", "v").alias("list"))
+    counts = posted.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1")
+    ranked = posted.join(counts, "list").groupBy("node", "view").agg(F.sort_array(F.collect_list(F.struct("n", "list"))).alias("shared"))
     # coordinates that no other node has come first in the order and fill their part of the prefix
-    room = F.lit(POSTED - shared + 1) - (F.lit(POSTED) - F.size("shared"))
-    return ranked.filter(room > 0).select("node", F.explode(F.slice("shared", F.lit(1), room)).alias("p")).select("p.coordinate", "p.value", "node")
+    room = F.lit(POSTED - least_shared(POSTED, percent) + 1) - (F.lit(POSTED) - F.size("shared"))
+    return ranked.filter(room > 0).select("node", F.explode(F.slice("shared", F.lit(1), room)).alias("p")).select("p.list", "node")
 
 
-def collisions(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+def near(pairs: DataFrame, facts: DataFrame, percent: int, matched: int) -> DataFrame:
+    """Of (a, la, b, lb): those whose sketches allow a link."""
+    side = lambda x: facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+                keep, _ = alike(sketches(batch.column("sketch_a")), sketches(batch.column("sketch_b")), n_a, n_b, percent, matched)
+                yield batch.filter(pa.array(keep)).select(["a", "la", "b", "lb"])
 
-def sizes_allow(a: str, b: str, percent: int) -> Column:
-    return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * percent
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "la", "b", "lb", "n_a", "n_b", "sketch_a", "sketch_b")
+    return met.mapInArrow(run, "a binary, la binary, b binary, lb binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -143,6 +199,71 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+def pairs_within(rest: DataFrame, percent: int, matched: int) -> DataFrame:
+    """(a, la, b, lb): pairs of a list with different labels whose sketches allow a link.
+
+    `rest` has list, members (of the list), node, label, n and sketch.  A list is cut into blocks of about BLOCK nodes; each
+    pair of blocks meets in a group of its own and is compared there with arrays.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = rest.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = own.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
+    order = ("list", "i", "j")
+    dealt = rows.repartition(*order).sortWithinPartitions(*order)
+
+    def compare(t: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
+        """Rows of whole groups: each is compared with the one d rows on, for every d that stays inside a group."""
+        n, marks, own = t.column("n").to_numpy(), sketches(t.column("sketch").combine_chunks()), t.column("own").to_numpy()
+        codes = t.column("label").combine_chunks().dictionary_encode()
+        label, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+        order = np.empty(len(names), dtype=np.int64)
+        order[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        label = order[label]
+        single = t.column("i").to_numpy() == t.column("j").to_numpy()
+        found: list[np.ndarray] = []
+        here, d = np.arange(len(n) - 1), 1
+        while len(here):
+            here = here[here + d < len(n)]
+            here = here[keys[here + d] == keys[here]]
+            x = here[(label[here] != label[here + d]) & (single[here] | (own[here] != own[here + d]))]
+            if len(x):
+                keep, _ = alike(marks[x], marks[x + d], n[x], n[x + d], percent, matched)
+                x = x[keep]
+                found.append(np.stack([np.where(label[x] < label[x + d], x, x + d), np.where(label[x] < label[x + d], x + d, x)]))
+            d += 1
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+        columns = [t.column(c).combine_chunks().take(pa.array(at)) for at in (a, b) for c in ("node", "label")]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "la", "b", "lb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
+            keys = np.stack([t.column(c).to_numpy() for c in order])
+            return compare(t, np.append(0, np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last group may go on in the next batch
+            differs = np.any([batch.column(c).to_numpy() != batch.column(c)[batch.num_rows - 1].as_py() for c in order], axis=0)
+            before = np.flatnonzero(differs)
+            if len(before):
+                held.append(batch.slice(0, before[-1] + 1))
+                yield found(held)
+                held = [batch.slice(before[-1] + 1)]
+            else:
+                if held and any(held[-1].column(c)[0].as_py() != batch.column(c)[0].as_py() for c in order):
+                    yield found(held)
+                    held = []
+                held.append(batch)
+        if held:
+            yield found(held)
+
+    return dealt.mapInArrow(run, "a binary, la binary, b binary, lb binary")
+
+
 def components(edges: DataFrame, name: str = "component") -> DataFrame:
     """(node, label) for every node with an edge; label is a node of its component.
 
@@ -175,90 +296,68 @@ def relabel(labels: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """A row per document: doc_id, row (hash of the text), n_shingles, component_id, kept."""
-    matched = max(1, MATCHED * percent // 80)
-    shared = SHARED if percent >= 80 else 1
+    """A row per document: doc_id, row (hash of the text), group (key of the component, null for an empty set), n_shingles,
+    component_id, kept."""
+    matched = least_shared(COORDINATES, percent)
     rows = written(signatures(docs, doc_id, text, size), "signatures")
-    full = rows.filter("node is not null")
-    nodes = written(
-        full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes"
-    )
-    posted = written(postings(nodes, shared), "postings")
-    needed = posted.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = written(texts_of(needed, source, nodes, size), "texts")
-    facts = nodes.select("node", "n", "sig")
+    one = [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("rep"), F.min("doc_id").alias("doc_id")]
+    facts = [F.first("n_shingles").alias("n"), F.first("lead").alias("lead"), F.first("sketch").alias("sketch")]
+    nodes = written(rows.filter("node is not null").groupBy("node").agg(*one, *facts), "nodes")
+    posted = written(postings(nodes, percent), "postings")
+    needed = posted.select("node").distinct().join(nodes.select("node", "rep.doc_id", "rep.row"), "node")
+    texts = written(texts_of(needed, docs, doc_id, text), "texts")
     labels = written(posted.select("node").distinct().select("node", F.col("node").alias("label")), "labels")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        a = facts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-        b = facts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-        sized = pairs.join(a, "a").join(b, "b").filter(sizes_allow("n_a", "n_b", percent))
-        return sized.withColumn("same", collisions("sig_a", "sig_b")).filter(F.col("same") >= matched).drop("n_a", "n_b", "sig_a", "sig_b")
+    facts = nodes.select("node", "n", "sketch")
 
     def merge(pairs: DataFrame) -> bool:
         """Confirm (a, la, b, lb) and join the components that links connect."""
         nonlocal labels
-        found = written(confirm(pairs.select("a", "b"), texts, size, percent).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")), "links")
+        found = confirm(pairs.select("a", "b"), texts, size, percent).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        found = written(found, "links")
         if found.isEmpty():
             return False
         labels = written(relabel(labels, components(found)), "labels")
         return True
 
     for _ in range(STAR_ROUNDS):
-        heads = posted.join(labels, "node").groupBy("coordinate", "value", "label").agg(F.min("node").alias("node"))
-        pivots = heads.groupBy("coordinate", "value").agg(F.min(F.struct("node", "label")).alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-        met = heads.join(pivots.drop("n"), ["coordinate", "value"]).filter("label != pivot.label")
-        pairs = near(met.select(F.col("pivot.node").alias("a"), F.col("pivot.label").alias("la"), F.col("node").alias("b"), F.col("label").alias("lb")).distinct())
-        best = pairs.groupBy("lb").agg(F.max_by(F.struct("a", "la", "b", "lb"), F.struct("same", "a", "b")).alias("p")).select("p.*")
-        if not merge(written(best, "stars")):
+        heads = posted.join(labels, "node").groupBy("list", "label").agg(F.min("node").alias("node"))
+        pivots = heads.groupBy("list").agg(F.min(F.struct("node", "label")).alias("pivot"))
+        met = heads.join(pivots, "list").filter("label != pivot.label")
+        offered = met.groupBy(F.col("pivot.node").alias("a"), F.col("pivot.label").alias("la"), F.col("node").alias("b"), F.col("label").alias("lb")).agg(F.count("*").alias("n"))
+        best = offered.groupBy("lb").agg(F.max_by(F.struct("a", "la", "b", "lb"), F.struct("n", "a", "b")).alias("p")).select("p.*")
+        if not merge(written(near(best, facts, percent, matched), "stars")):
             break
     # lists that hold several components still: every pair between them
     labelled = posted.join(labels, "node")
-    open_lists = labelled.groupBy("coordinate", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
-    rest = labelled.join(open_lists.select("coordinate", "value"), ["coordinate", "value"]).join(facts, "node")
-    left = rest.select("coordinate", "value", *[F.col(c).alias(x) for c, x in (("node", "a"), ("label", "la"), ("n", "n_a"), ("sig", "sig_a"))])
-    right = rest.select("coordinate", "value", *[F.col(c).alias(x) for c, x in (("node", "b"), ("label", "lb"), ("n", "n_b"), ("sig", "sig_b"))])
-    apart = (
-        left.join(right, ["coordinate", "value"])
-        .filter(F.col("la") < F.col("lb"))
-        .filter(sizes_allow("n_a", "n_b", percent))
-        .filter(collisions("sig_a", "sig_b") >= matched)
-    )
-    merge(written(apart.select("a", "la", "b", "lb").distinct(), "rest"))
+    open_lists = labelled.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo != hi")
+    rest = labelled.join(open_lists.select("list", "members"), "list").join(facts, "node")
+    merge(written(pairs_within(rest, percent, matched).distinct(), "rest"))
 
     known = nodes.select("node", "doc_id").join(labels, "node")
     least = known.groupBy("label").agg(F.min("doc_id").alias("least"))
-    linked = known.join(least, "label").select("node", "least")
-    every = nodes.join(linked, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
+    linked = known.join(least, "label").select("node", "label", "least")
+    every = nodes.select("node", "doc_id").join(linked, "node", "left")
+    every = every.select("node", F.coalesce("label", "node").alias("group"), F.coalesce("least", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "row", "n_shingles", "node").join(every, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "row", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "row", "group", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def texts_of(needed: DataFrame, source: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, text) of one document per node; null-safe on the id, and by the set itself where an id repeats."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data in steps(batches, "text"):
-            keys = [set_key(s) if len(s) else None for s in shingle_sets(data, size)]
-            keep = [k is not None and k == own for k, own in zip(keys, part.column("node").to_pylist(), strict=True)]
-            chosen = part.filter(pa.array(keep, pa.bool_()))
-            yield chosen.select(["node", "text"])
-
-    own = needed.withColumnRenamed("doc_id", "rep")
-    met = source.join(own, source["doc_id"].eqNullSafe(own["rep"])).select("node", "text")
-    return met.mapInArrow(run, "node binary, text string").groupBy("node").agg(F.min("text").alias("text"))
+def texts_of(needed: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, text) of the document that stands for each node; rows that repeat it give the same pair again."""
+    source = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("text")).withColumn("r", F.xxhash64("text"))
+    return source.join(needed, source["d"].eqNullSafe(needed["doc_id"]) & (source["r"] == needed["row"])).select("node", "text")
 
 
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that stay: of each component one, with the smallest doc_id (and of rows that repeat it, one).
 
-    Rows without id and text, and copies of a text that has no id at all, stay once for each text.
+    Rows without words stay once for each id and text; components without any id keep one text.
     """
     judged = link(docs, doc_id=doc_id, text=text, size=size, percent=percent).filter("kept")
-    one = judged.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("row")).alias("own")).agg(F.min(F.struct("doc_id", "row")).alias("r"))
+    alone = F.when(F.col("group").isNull(), F.struct("doc_id", "row"))
+    one = judged.groupBy("group", alone.alias("alone")).agg(F.min(F.struct("doc_id", "row")).alias("r"))
     spelled = lambda i, r: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), r.cast("string"))
     key = fresh(docs, "row_key")
     stay = one.select(spelled(F.col("r.doc_id"), F.col("r.row")).alias(key)).distinct()

@@ -140,7 +140,7 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id
 
 @query("op5_minhash_near_dedup", NEAR_DUP_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.link(table(spark, sf_dir, "documents"), size=2, percent=80).drop("row")
+    return near_dup.link(table(spark, sf_dir, "documents"), size=2, percent=80).drop("row", "group")
 
 
 @query("op6_vector_search")

@@ -78,8 +78,10 @@ def found(df, k=20):
 
 def test_odd_vectors_take_no_part(spark):
     rng = np.random.default_rng(1)
-    rows = [(k, rng.normal(size=4).round(2).tolist()) for k in range(12)] + [(20, [1.0, 0, 0, 0]), (40, None), (60, [0.0] * 4), (80, [1.0, None, 0, 0]), (100, [float("nan"), 0, 0, 0])]
-    rows += [(120, [float("inf"), 0, 0, 0]), (140, [1.0, 2.0]), (None, [1.0, 1, 1, 1]), (160, []), (20, [0.5, 0, 0, 0])]
+    rest = [0.0, 0.0, 0.0]
+    rows = [(k, rng.normal(size=4).round(2).tolist()) for k in range(12)]
+    rows += [(20, [1.0, *rest]), (40, None), (60, [0.0, *rest]), (80, [1.0, None, 0.0, 0.0]), (100, [float("nan"), *rest])]
+    rows += [(120, [float("inf"), *rest]), (140, [1.0, 2.0]), (None, [1.0] * 4), (160, []), (20, [0.5, *rest])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, shard string")
     got = {q: [i for i, _ in x] for q, x in found(df, 40).items() if q != 20}
     assert got == {q: [i for i, _ in x] for q, x in brute(rows, 40).items() if q != 20}
