@@ -10,9 +10,9 @@
 3. Pairs that meet are kept if enough of all coordinates collide (again but for MISS), the sizes allow the similarity, and the
    sketches differ in no more bits than sets as similar can.  Kept pairs are confirmed on the full sets, from the texts.
 4. A group of copies must not become all its pairs: in the first rounds each posting list offers, for each component in it,
-   one pair with the list's smallest node, and each component confirms the pair that most lists offer.  What is left are lists
-   that still hold several components; there all pairs between different components are compared, in blocks.  A pair inside one
-   component can't change the result, so none that matters is left out.
+   one pair with the list's first node in the round's own order, and each component confirms the OFFERS pairs that most lists
+   offer.  What is left are lists that still hold several components; there all pairs between different components are
+   compared, in blocks.  A pair inside one component can't change the result, so none that matters is left out.
 
 Components are contracted round by round with tables in the shared folder; nothing but counts reaches the driver.
 
@@ -39,7 +39,9 @@ COORDINATES = 64
 POSTED = 24
 #: Chance that a pair exactly at the threshold is missed by one of the two counts of collisions; far less above it.
 MISS = 2e-7
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+#: Pairs that a component offers in a star round.
+OFFERS = 3
 #: Members of a pivot that one group of the confirming step holds.
 MEMBERS = 256
 #: Nodes of one block of a posting list.
@@ -176,10 +178,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     The texts of all partners of a meet a's own; beyond MEMBERS partners in several groups, each with a copy of a's text.
     """
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("groups"))
-    salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
-    members = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
-    heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt")).join(texts.withColumnRenamed("node", "a"), "a")
-    rows = members.unionByName(heads.select("a", "salt", F.lit(None).cast("binary").alias("b"), "text"))
+    members = pairs.join(groups, "a").select(F.col("b").alias("node"), "a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
+    heads = groups.select(F.col("a").alias("node"), "a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
+    # one join for both, so that texts move once
+    rows = members.unionByName(heads).join(texts, "node").select("a", "salt", "b", "text")
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,12 +321,15 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: i
         labels = written(relabel(labels, components(found)), "labels")
         return True
 
-    for _ in range(STAR_ROUNDS):
-        heads = posted.join(labels, "node").groupBy("list", "label").agg(F.min("node").alias("node"))
-        pivots = heads.groupBy("list").agg(F.min(F.struct("node", "label")).alias("pivot"))
+    for number in range(STAR_ROUNDS):
+        first = F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(number), "node"))
+        heads = posted.join(labels, "node").groupBy("list", "label").agg(first["node"].alias("node"))
+        pivots = heads.groupBy("list").agg(first.alias("pivot"))
         met = heads.join(pivots, "list").filter("label != pivot.label")
         offered = met.groupBy(F.col("pivot.node").alias("a"), F.col("pivot.label").alias("la"), F.col("node").alias("b"), F.col("label").alias("lb")).agg(F.count("*").alias("n"))
-        best = offered.groupBy("lb").agg(F.max_by(F.struct("a", "la", "b", "lb"), F.struct("n", "a", "b")).alias("p")).select("p.*")
+        # a pair that meets once only is most often none; the last step looks at those
+        several = offered.filter("n > 1").groupBy("lb").agg(F.sort_array(F.collect_list(F.struct("n", "a", "la", "b", "lb")), asc=False).alias("p"))
+        best = several.select(F.explode(F.slice("p", 1, OFFERS)).alias("p")).select("p.a", "p.la", "p.b", "p.lb")
         if not merge(written(near(best, facts, percent, matched), "stars")):
             break
     # lists that hold several components still: every pair between them
