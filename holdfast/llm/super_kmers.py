@@ -30,7 +30,7 @@ SEED = 3
 JUDGE_ROWS = 10_000
 #: Bytes of text that one blob per target gathers; fewer, larger blobs compress better.
 SEND_BYTES = 3 << 20
-_LEVEL = 3
+_LEVEL = 6
 
 _BLOBS = "target int, size long, blob binary"
 _ROWS = "bucket long, doc_id long, row long, start long, stop long, packed binary"
