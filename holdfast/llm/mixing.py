@@ -1,7 +1,7 @@
 """Mixing sources to target weights: tempered shares, realised as budgeted block permutations.
 
 With token shares p of the sources, the weights are p ** t, normalised.  Lower exponents t bring the sources nearer to equal
-weights: entropy rises, and small sources repeat more.  t is the largest that reaches the target entropy, raised as far as the
+weights: entropy rises, and small sources repeat more.  t is the largest, 1 at most, that reaches the target entropy, raised as far as the
 repetition limit asks, found by repeated bisection into 32 parts on a grid of 2 ** -20 with one aggregate per step, so the
 driver sees 33 pairs of numbers however many sources there are.
 
@@ -80,7 +80,7 @@ def best_exponent(sources: DataFrame, budget_share: float | None, entropy: float
         low, width = 0, GRID
         for _ in range(STEPS):
             width //= PARTS
-            marks = [low + i * width for i in range(PARTS + 1)]
+            marks = [min(GRID, low + i * width) for i in range(PARTS + 1)]
             held = [m for m, x in zip(marks, at([m / GRID for m in marks]), strict=True) if good(x)]
             low = max(held, default=low)
         return low

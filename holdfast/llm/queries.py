@@ -42,7 +42,7 @@ def _mix_round(name: str, before: str, width: int, test: str) -> str:
   SELECT coalesce(max(m) FILTER (WHERE {test}), any_value(low)) AS low FROM (
     SELECT m, any_value(low) AS low, any_value(total) AS total, ln(sum(pow(p, m / {mixing.GRID}.0))) - m / {mixing.GRID}.0 * sum(pow(p, m / {mixing.GRID}.0) * ln(p)) / sum(pow(p, m / {mixing.GRID}.0)) AS h,
       pow(min(p), m / {mixing.GRID}.0 - 1) / sum(pow(p, m / {mixing.GRID}.0)) AS r, count(*) AS k
-    FROM (SELECT low, low + i * {width} AS m FROM {before}, range({mixing.PARTS + 1}) AS t(i)) marks, shares GROUP BY m) at_marks)"""
+    FROM (SELECT DISTINCT low, least({mixing.GRID}, low + i * {width}) AS m FROM {before}, range({mixing.PARTS + 1}) AS t(i)) marks, shares GROUP BY m) at_marks)"""
 
 
 def _mix_rounds(name: str, test: str) -> str:
