@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import binary_parts, fresh, steps, written
 from .words import SPACES, mix, split_words, word_hashes
@@ -328,8 +329,8 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: i
         met = heads.join(pivots, "list").filter("label != pivot.label")
         offered = met.groupBy(F.col("pivot.node").alias("a"), F.col("pivot.label").alias("la"), F.col("node").alias("b"), F.col("label").alias("lb")).agg(F.count("*").alias("n"))
         # a pair that meets once only is most often none; the last step looks at those
-        several = offered.filter("n > 1").groupBy("lb").agg(F.sort_array(F.collect_list(F.struct("n", "a", "la", "b", "lb")), asc=False).alias("p"))
-        best = several.select(F.explode(F.slice("p", 1, OFFERS)).alias("p")).select("p.a", "p.la", "p.b", "p.lb")
+        turn = F.row_number().over(Window.partitionBy("lb").orderBy(F.col("n").desc(), "a", "b"))
+        best = offered.filter("n > 1").withColumn("turn", turn).filter(F.col("turn") <= OFFERS).select("a", "la", "b", "lb")
         if not merge(written(near(best, facts, percent, matched), "stars")):
             break
     # lists that hold several components still: every pair between them
