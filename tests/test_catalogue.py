@@ -7,8 +7,8 @@ import __spark_entry__ as entry
 from tools.check import TABLES, canonical
 
 SLOW = {
-    "clf_logreg", "clf_forest", "clf_boost", "clf_mlp", "grid_search", "cross_val", "train_industry", "compare_families", "union_metrics",
-    "mdl_save_load", "model_registry", "feature_importance", "topk_importance", "attribution_tree", "explained_scores", "score_table", "kmeans_segments", "smote_rows",
+    "clf_forest", "clf_boost", "clf_mlp", "grid_search", "cross_val", "train_industry", "compare_families", "union_metrics", "model_registry", "topk_importance",
+    "kmeans_segments",
 }
 
 
