@@ -49,6 +49,10 @@ class Trie:
     def __init__(self, pieces: dict[str, float], limit: int = NODES) -> None:
         self.pieces, self.limit = pieces, limit
         self.longest = max(map(len, pieces), default=1)
+        # the longest piece by its last two characters: only so far back can a piece end there have begun
+        self.reach: dict[str, int] = {}
+        for piece in pieces:
+            self.reach[piece[-2:]] = max(len(piece), self.reach.get(piece[-2:], 1))
         self.byte = min(pieces.values(), default=0.0) + math.log(BYTE)
         self.states: dict[str, tuple[float, int]] = {"": (0.0, 0)}
 
@@ -61,24 +65,30 @@ class Trie:
         return found
 
     def insert(self, token: str) -> tuple[float, int]:
-        states, pieces = self.states, self.pieces
+        states, odds_of, reach = self.states, self.pieces.get, self.reach.get
         known = len(token) - 1
         while token[:known] not in states:
             known -= 1
         path = [states[token[:i]] for i in range(max(0, known - self.longest + 1), known + 1)]
         base = known + 1 - len(path)
         for end in range(known + 1, len(token) + 1):
-            n = len(token[end - 1].encode("utf-8", "replace"))
+            last = token[end - 1]
             score, used = path[end - 1 - base]
-            best = (score + n * self.byte, used + n)
-            for begin in range(max(0, end - self.longest), end):
-                odds = pieces.get(token[begin:end])
+            odds = odds_of(last)
+            if odds is None:
+                n = len(last.encode("utf-8", "replace"))
+                score, used = score + n * self.byte, used + n
+            else:
+                score, used = score + odds, used + 1
+            for begin in range(max(0, end - reach(token[max(0, end - 2) : end], 1)), end - 1):
+                odds = odds_of(token[begin:end])
                 if odds is not None:
-                    score, used = path[begin - base]
-                    if (score + odds, -used - 1) > (best[0], -best[1]):
-                        best = (score + odds, used + 1)
-            path.append(best)
-            states[token[:end]] = best
+                    before = path[begin - base]
+                    total = before[0] + odds
+                    if total > score or total == score and before[1] < used - 1:
+                        score, used = total, before[1] + 1
+            path.append((score, used))
+            states[token[:end]] = (score, used)
         return path[-1]
 
 
