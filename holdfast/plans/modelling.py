@@ -5,6 +5,8 @@ The label is planted: the rule class with a tenth of the rows flipped by a key h
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,13 +224,14 @@ def topk_importance(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "union_metrics",
     f"""WITH {V.ACCOUNTS} SELECT unnest(['telecom', 'unweighted']) AS industry, (SELECT count(*) FROM accounts) AS customers, unnest([8, 50]) AS best_estimators,
-      unnest([4, NULL]) AS best_depth, unnest([0.2::DOUBLE, NULL]) AS best_lr, unnest([true, NULL]) AS cross_validated, true AS finds_signal""",
+      unnest([4, 0]) AS best_depth, unnest([0.2::DOUBLE, 0.0::DOUBLE]) AS best_lr, unnest([true, false]) AS cross_validated, true AS finds_signal""",
 )
 def union_metrics(spark: SparkSession, base: str) -> DataFrame:
     raw = planted(spark, base)
-    table = models.union_metrics({"telecom": trained(raw, estimator=small_boost(), folds=3), "unweighted": trained(raw, balance="none")})
+    table = models.union_metrics({"telecom": trained(raw, estimator=small_boost(), folds=3), "unweighted": replace(trained(raw, balance="none"), industry="unweighted")})
     validated = (F.col("cv_auc") > 75) & (F.col("cv_std") < 5)
-    return table.select("industry", "customers", "best_estimators", "best_depth", "best_lr", validated.alias("cross_validated"), (F.col("auc") > 75).alias("finds_signal"))
+    known = [F.coalesce("best_depth", F.lit(0)).alias("best_depth"), F.coalesce("best_lr", F.lit(0.0)).alias("best_lr"), F.coalesce(validated, F.lit(False)).alias("cross_validated")]
+    return table.select("industry", "customers", "best_estimators", *known, (F.col("auc") > 75).alias("finds_signal"))
 
 
 # Every seventh customer, by a hash of the id, has a text that is no number; so have some of the accounts themselves.
