@@ -7,15 +7,17 @@ perturbed by one step in some functions, in the order of the summed squared dist
 order of the estimated chance to succeed.  Candidates of all tables are merged and reranked exactly on the original vectors.
 
 How many buckets to visit is fitted: for at most SAMPLE queries the true neighbours are found by brute force together with
-the visit at which each would be reached; the number of visits is the smallest that reaches RECALL of them.
+the visit at which each would be reached; the number of visits is the smallest that reaches RECALL of them.  Steps of one per
+function reach only so far: where no number of visits reaches RECALL, as with norms of very different sizes, all queries are
+answered by brute force, and so is any query whose visits led to fewer than k candidates, over all shards.
 
 Vectors lie in shards by hash and queries in blocks, each of a bounded number of bytes; shards and blocks meet by a join on
 the shard, and what comes out are the best k of a block's queries in a shard.  A frequent vector is spread over all shards.
 
 Defined cases: vectors that are null, zero, of another length than most (ties to the shorter), or with null or non-finite
 components take no part, as do rows without an id; ties go to the smaller id; rows that repeat an id are one candidate each,
-none of them for a query of the same id; a query with fewer candidates than k gets them all if they are reached, and with at
-most k vectors in all every bucket is visited; an empty table gives no rows; other columns are not read.
+none of them for a query of the same id; a query with fewer candidates than k gets them all; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -117,11 +119,12 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_block(hasher: Hasher, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, longest: float, k: int, visits: int, exhaustive: bool):
-    """(query, id, score, visit) of the best k of each query among its candidates (all vectors, if exhaustive)."""
+    """(query, id, score, visit) of the best k of each query among its candidates (all vectors, if exhaustive; without visits
+    nothing is hashed then)."""
     lifted_v, unit_q = lifted(vectors, longest), unit(queries)
     never = np.int32(1 << 30)
     reached = np.full((len(q_ids), len(ids)), never, dtype=np.int32) if exhaustive else np.zeros((len(q_ids), len(ids)), dtype=bool)
-    for t in range(hasher.tables):
+    for t in range(hasher.tables if visits else 0):
         present, which = np.unique(hasher.buckets(t, lifted_v), return_inverse=True)
         probes = hasher.probes(t, unit_q, visits)
         at = np.minimum(np.searchsorted(present, probes), len(present) - 1)
@@ -190,13 +193,31 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embe
     shards = written(packed(dealt, "shard"), "vector_shards")
     asked = rows.filter(is_query).withColumn("block", spread(2, n_blocks))
     blocks = written(packed(asked, "block"), "vector_queries")
-    visits = len(perturbations(HASHES))
+    visits = 0
     if kind["n"] > k + 1:
         share = min(1.0, sample / kind["queries"])
         few = asked.filter(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).withColumn("block", F.lit(0))
-        true = best_of(met(shards, packed(few, "block"), n_shards, dim, longest, k, visits, True), k)
+        most = len(perturbations(HASHES))
+        true = best_of(met(shards, packed(few, "block"), n_shards, dim, longest, k, most, True), k)
         seen = np.sort(np.array([r["visit"] for r in true.select("visit").collect()], dtype=np.int64))
-        if len(seen):
-            visits = min(visits, int(seen[min(len(seen) - 1, int(np.ceil(recall * len(seen))))]) + 1)
-    found = best_of(met(shards, blocks, n_shards, dim, longest, k, visits, False), k)
+        needed = int(seen[min(len(seen) - 1, int(np.ceil(recall * len(seen))))]) + 1 if len(seen) else most
+        visits = needed if needed <= most else 0
+    found = best_of(met(shards, blocks, n_shards, dim, longest, k, visits, not visits), k)
+    if visits:
+        found = completed(written(found, "vector_found"), asked, shards, n_shards, dim, longest, k, kind["n"], per(QUERY_ROWS))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def completed(found: DataFrame, asked: DataFrame, shards: DataFrame, n_shards: int, dim: int, longest: float, k: int, n: int, block_rows: int) -> DataFrame:
+    """`found` with the queries that have fewer rows than k and than candidates answered by brute force."""
+    own = asked.groupBy("vec_id").agg(F.count("*").alias("m"))
+    rows = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("rows"))
+    few = F.coalesce("rows", F.lit(0)) < F.least(F.lit(k), F.col("m") * (F.lit(n) - F.col("m")))
+    short = written(own.join(rows, "vec_id", "left").filter(few).select("vec_id", "m"), "vector_short")
+    count = short.agg(F.sum("m")).first()[0]
+    if not count:
+        return found
+    n_blocks = -(-count // block_rows)
+    again = asked.join(short.select("vec_id"), "vec_id", "left_semi").withColumn("block", F.pmod(F.xxhash64(F.lit(4), "vec_id"), F.lit(n_blocks)).cast("int"))
+    exact = best_of(met(shards, written(packed(again, "block"), "vector_queries"), n_shards, dim, longest, k, 0, True), k)
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(exact)

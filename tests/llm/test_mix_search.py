@@ -106,5 +106,25 @@ def test_recall(spark, base):
         assert all(math.isclose(s, exact[q, i], rel_tol=1e-12) for q in got for i, s in got[q] if (q, i) in exact)
 
 
+def test_opposed_vectors_are_found(spark):
+    rng = np.random.default_rng(2)
+    for n in (21, 25):
+        around = rng.normal(size=(n, 8))
+        around /= np.sqrt((around * around).sum(axis=1))[:, None]
+        rows = [(20 * k, v) for k, v in enumerate(around.tolist())]
+        got, want = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), brute(rows, 20)
+        assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+        if n == 21:
+            assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+
+
+def test_one_very_long_vector(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, (rng.normal(size=32) * (1000 if k == 7 else 1)).tolist()) for k in range(2000)]
+    got, want = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), brute(rows, 20)
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.95 * 20 * len(want)
+
+
 def test_no_vectors(spark):
     assert found(spark.createDataFrame([], "vec_id long, embedding array<float>")) == {}
