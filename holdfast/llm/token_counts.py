@@ -5,7 +5,9 @@ right, and the state after each prefix does not depend on what follows.  So dist
 hold that state (best log-probability, pieces used), computed once for all words that share the prefix; where a pre-token ends
 its node holds the count that every further occurrence takes.  Of equal scores the segmentation with fewer pieces counts.
 
-The trie lives in a task and is started anew beyond NODES nodes, which changes no count.  Nothing is shuffled: a document's
+The trie lives in a task and is started anew beyond NODES nodes, which changes no count.  A node is kept under its prefix, so
+nodes end DEPTH characters below the root; what a word has beyond goes through the same recurrence in a window of the longest
+piece and is not kept, so that memory stays linear in a word's length, however long a text without spaces is.  Nothing is shuffled: a document's
 count needs its own words only.
 
 The vocabulary is a public file of pieces in order of rank; the probability of rank r is taken in proportion to 1 / (r + 1).
@@ -29,6 +31,7 @@ from .common import steps
 from .words import SPACES, split_words
 
 NODES = 400_000
+DEPTH = 64
 BYTE = math.exp(-10.0)
 MARK = "▁"
 
@@ -65,15 +68,15 @@ class Trie:
         return found
 
     def insert(self, token: str) -> tuple[float, int]:
-        states, odds_of, reach = self.states, self.pieces.get, self.reach.get
-        known = len(token) - 1
+        states, odds_of, reach, depth = self.states, self.pieces.get, self.reach.get, DEPTH
+        known = min(len(token) - 1, depth)
         while token[:known] not in states:
             known -= 1
-        path = [states[token[:i]] for i in range(max(0, known - self.longest + 1), known + 1)]
-        base = known + 1 - len(path)
+        state = states[token[:known]]
+        recent: dict[int, tuple[float, int]] = {}
         for end in range(known + 1, len(token) + 1):
             last = token[end - 1]
-            score, used = path[end - 1 - base]
+            score, used = state
             odds = odds_of(last)
             if odds is None:
                 n = len(last.encode("utf-8", "replace"))
@@ -83,13 +86,17 @@ class Trie:
             for begin in range(max(0, end - reach(token[max(0, end - 2) : end], 1)), end - 1):
                 odds = odds_of(token[begin:end])
                 if odds is not None:
-                    before = path[begin - base]
+                    before = states[token[:begin]] if begin <= depth else recent[begin]
                     total = before[0] + odds
                     if total > score or total == score and before[1] < used - 1:
                         score, used = total, before[1] + 1
-            path.append((score, used))
-            states[token[:end]] = (score, used)
-        return path[-1]
+            state = (score, used)
+            if end <= depth:
+                states[token[:end]] = state
+            else:
+                recent[end] = state
+                recent.pop(end - self.longest, None)
+        return state
 
 
 @lru_cache(maxsize=1)

@@ -161,6 +161,40 @@ def best_segmentation(token, pieces, byte):
     return best[-1]
 
 
+def near_segmentation(token, pieces, byte):
+    """As best_segmentation, looking back no further than the longest piece."""
+    longest = max(map(len, pieces))
+    best = [(0.0, 0)]
+    for end in range(1, len(token) + 1):
+        n = len(token[end - 1].encode())
+        options = [(best[end - 1][0] + n * byte, -(best[end - 1][1] + n))]
+        options += [(best[b][0] + pieces[token[b:end]], -(best[b][1] + 1)) for b in range(max(0, end - longest), end) if token[b:end] in pieces]
+        score, used = max(options)
+        best.append((score, -used))
+    return best[-1]
+
+
+def test_long_words_take_linear_memory(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = token_counts.read_pieces(path)
+    byte = min(pieces.values()) + math.log(token_counts.BYTE)
+    rng = random.Random(5)
+    word = "".join(rng.choice(["the", "re", "ing", "/", "9", "Zq", "é", "ж", "\U0001f600"]) for _ in range(700_000))[:1_000_000]
+    assert len(word) == 1_000_000
+    for n in (63, 64, 65, 5_000):
+        own = token_counts.Trie(pieces)
+        score, used = own.count(token_counts.MARK + word[:n])
+        assert sum(map(len, own.states)) <= 64 * n
+        want = near_segmentation(token_counts.MARK + word[:n], pieces, byte)
+        assert n > 100 or want == best_segmentation(token_counts.MARK + word[:n], pieces, byte)
+        assert math.isclose(score, want[0], rel_tol=1e-12) and used == want[1]
+    rows = [(1, word), (2, "the " + word[:70]), (3, "the")]
+    got = {r.doc_id: r for r in token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    score, used = near_segmentation(token_counts.MARK + word, pieces, byte)
+    assert got[1].n_words == 1 and got[1].n_tokens == used and math.isclose(got[1].log_prob, score, rel_tol=1e-9)
+    assert got[2].n_words == 2 and got[2].n_tokens > got[3].n_tokens
+
+
 @pytest.mark.parametrize("nodes", [400_000, 40])
 def test_token_counts_equal_brute_force(spark, nodes):
     path = public_tokenizers.path("piece_bpe_32k.model")
