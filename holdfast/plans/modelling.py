@@ -46,7 +46,7 @@ def trained(raw: DataFrame, **options) -> models.Trained:
 
 def _holdout(spark: SparkSession, base: str, name: str, balance_by: str = "weights") -> DataFrame:
     prep, rows = _prepared(spark, base)
-    estimator = models.families(len(prep.features), rows.count(), small=True)[name]
+    estimator = models.families(len(prep.features), rows.count(), small=name != "Logistic Regression")[name]
     return models.compare_families(rows, prep.features, KEY, {name: estimator}, balance_by).drop("model")
 
 
@@ -91,7 +91,8 @@ def class_weight(spark: SparkSession, base: str) -> DataFrame:
 )
 def smote(spark: SparkSession, base: str) -> DataFrame:
     df = views.accounts(spark, base).withColumn("label", F.when(F.col("Churn") == "Yes", 1.0).otherwise(0.0))
-    rows = balance.smote(df, ["tenure", "MonthlyCharges", "SeniorCitizen"], KEY)
+    prep, encoded = models.prepared(df.drop("label"), "Churn", JOB["target_map"], [], KEY)
+    rows = balance.smote(encoded, prep.features, KEY)
     return rows.groupBy("label", "synthetic").agg(F.count("*").alias("n"))
 
 
