@@ -102,6 +102,9 @@ def plan_sources(measured: DataFrame, budget_share: float | None, entropy: float
     budget = n * budget_share if budget_share is not None else n * z * ((total["most"] or 1) / n) ** (1 - t)
     weight = F.when(F.col("n") > 0, F.pow(F.col("n") / n, F.lit(t)) / z).otherwise(0.0)
     planned = sources.withColumn("weight", weight).withColumn("budget", F.floor(F.col("weight") * budget + 1e-6))
+    if budget_share is None:
+        # every source has its tokens at least, whatever the product above was rounded to
+        planned = planned.withColumn("budget", F.greatest("budget", "n"))
     epochs = F.when(F.col("n") > 0, F.floor(F.col("budget") / F.col("n"))).otherwise(1)
     planned = planned.withColumn("epochs", epochs.cast("long")).withColumn("rest", F.when(F.col("n") > 0, F.col("budget") - F.col("epochs") * F.col("n")).otherwise(0))
     return planned.withColumn("blocks", F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK_TOKENS))).cast("long"))

@@ -49,6 +49,14 @@ def test_every_document_comes_at_least_once(spark):
     assert out.count() > len(rows)
 
 
+def test_rounding_leaves_no_source_without_an_epoch(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "best_exponent", lambda *_: 0.6)
+    for most in (10**15 + 7, 10**15 + 11, 10**15 + 123_457, 10**15 + 987_653):
+        measured = spark.createDataFrame([("=a", most), ("=b", most // 3), ("=c", most // 17 + 1)], "key string, n long")
+        planned = mixing.plan_sources(measured, None, 0.97, 4.0).collect()
+        assert all(r.epochs >= 1 and r.budget >= r.n for r in planned)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, "a", 1)], [(1, "x y", None, "a", 1), (2, "", None, None, 1)]])
 def test_mix_of_little(spark, rows):
     out = mixing.mix(spark.createDataFrame(rows, SCHEMA))
