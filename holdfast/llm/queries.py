@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import decontaminate, mixing, near_dup, pii, super_kmers, token_counts, token_files, toxicity, url_filter, vector_search
+from . import decontaminate, importance, mixing, near_dup, pii, super_kmers, token_counts, token_files, toxicity, url_filter, vector_search
 from .common import table
 from .url_filter import Rule
 
@@ -228,3 +228,36 @@ SELECT doc_id, n::BIGINT AS n_words, g::BIGINT AS n_removed, sha256(array_to_str
 @query("op10_substring_dedup", SUBSTRING_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return super_kmers.digest(super_kmers.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes: byte by byte, then eight shifts each (marked by -1)."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    bits = f"list_prepend(4294967295::BIGINT, flatten(list_transform({codes}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({bits}, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+
+
+IMPORTANCE_SQL = f"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id, regexp_extract_all({SMALL_LETTERS}, {ALNUM}) AS w FROM documents
+  UNION ALL SELECT 't', NULL, regexp_extract_all({SMALL_LETTERS}, {ALNUM}) FROM benchmark),
+features AS (
+  SELECT side, doc_id, array_to_string(w[i : i + n - 1], ' ') AS f, count(*) AS k
+  FROM words, range(1, 4) AS s(n), unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(i) GROUP BY ALL),
+buckets AS (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM features)),
+counts AS (SELECT bucket, coalesce(sum(k) FILTER (side = 'd'), 0) AS s, coalesce(sum(k) FILTER (side = 't'), 0) AS t FROM features JOIN buckets USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+weights AS (SELECT doc_id, sum(k) AS n_features, sum(k * gain) AS weight FROM features JOIN buckets USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (doc_id) WHERE side = 'd'),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER () // 100 AS drawn FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@query("op12_importance_resampling", IMPORTANCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

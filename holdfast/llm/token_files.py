@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from ..session import scratch_path
 from .common import binary_column, binary_parts, crc, slices, steps
-from .words import span_hashes
+from .words import PACKED, Words, differing, packed, word_hashes
 
 END = 2
 #: Pre-tokens that a worker remembers.
@@ -86,24 +86,51 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """known[hash] = i; the ids of pre-token i are ids[offsets[i]:offsets[i + 1]]."""
+        """known[hash] = i; the ids of pre-token i are ids[offsets[i]:offsets[i + 1]], and it is spelled by low[i], high[i] and
+        size[i], or by long[i]."""
         self.known: dict[int, int] = {}
+        self.long: dict[int, bytes] = {}
         self.ids, self.offsets = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
-
-    def learn(self, hashes: list[int], pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        self.known.update(zip(hashes, range(len(self.offsets) - 1, len(self.offsets) - 1 + len(hashes)), strict=True))
+        self.low, self.high, self.size = (np.empty(0, dtype=kind) for kind in (np.uint64, np.uint64, np.int64))
+
+    def learn(self, hashes: list[int], pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        n = len(self.size)
+        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.long.update((n + i, p) for i, p in enumerate(pieces) if len(p) > PACKED)
+        self.low, self.high = np.append(self.low, low), np.append(self.high, high)
+        self.size = np.append(self.size, [len(p) for p in pieces])
         self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), dtype="<u4")])
         ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + ends])
 
+    def lookup(self, pieces: Words, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The pre-token of each piece, and the pieces whose bytes differ from it because their hashes collide."""
+        low, high = spelled = packed(pieces)
+        size = pieces.end - pieces.start
+        hashes, at, which = np.unique(word_hashes(pieces, spelled), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        if len(self.known) + len(keys) > _KNOWN:
+            self.forget()
+        fresh = [i for i, k in enumerate(keys) if k not in self.known]
+        if fresh:
+            new = at[fresh]
+            texts = [raw[s:e] for s, e in zip(pieces.start[new].tolist(), pieces.end[new].tolist(), strict=True)]
+            self.learn([keys[i] for i in fresh], texts, low[new], high[new])
+        piece = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
+        other = (low[at] != self.low[piece]) | (high[at] != self.high[piece]) | (size[at] != self.size[piece])
+        for i in np.flatnonzero(~other & (size[at] > PACKED)).tolist():
+            other[i] = raw[pieces.start[at[i]] : pieces.end[at[i]]] != self.long[int(piece[i])]
+        return piece[which], np.flatnonzero(other[which] | differing(pieces, spelled, at[which]))
+
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         apart = [b"\x00" in t or any(s in t for s in self.special) for t in texts]
         joined = b"\x00".join(b"" if odd else t for t, odd in zip(texts, apart, strict=True)) + b"\x00"
-        codes = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
+        plain = joined.decode("utf-8", "replace")
+        codes = np.frombuffer(plain.encode("utf-32-le"), dtype="<u4")
         kinds = np.full(len(codes), _ODD, dtype=np.uint8)
         near = codes < len(_CLASSES)
         kinds[near] = _CLASSES[codes[near]]
@@ -114,14 +141,11 @@ class Encoder:
         start = piece_starts(codes, kinds)
         end = np.append(start[1:], len(codes))
         first = np.append(0, np.searchsorted(start, breaks) + 1)
-        hashes, at, which = np.unique(span_hashes(codes, start, end), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self.known) + len(keys) > _KNOWN:
-            self.forget()
-        fresh = [i for i, k in enumerate(keys) if k not in self.known]
-        if fresh:
-            self.learn([keys[i] for i in fresh], [codes[start[at[i]] : end[at[i]]].tobytes().decode("utf-32-le") for i in fresh])
-        piece = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[which]
+        raw = plain.encode()
+        place = np.append(0, np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)))
+        piece, other = self.lookup(Words(np.frombuffer(raw, dtype=np.uint8), place[start], place[end], first), raw)
+        for d in np.unique(np.searchsorted(breaks, start[other])).tolist():
+            apart[d] = True
         begin, length = self.offsets[piece], self.offsets[piece + 1] - self.offsets[piece]
         length[np.searchsorted(start, breaks)] = 0
         stop = np.cumsum(length)
@@ -223,18 +247,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "d
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)
 
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # ids below the first bound, and null, go to part 0, ids from the last one on to the last part
+    shares = [k / parts for k in range(1, parts)]
+    bounds = np.array(encoded.agg(F.percentile_approx("doc_id", shares, 100 * parts)).first()[0] or [], dtype=np.int64) if shares else np.empty(0, dtype=np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "ids"):
-            data, offsets = binary_parts(part.column("ids"))
+        for batch in slices(batches, "ids"):
+            data, offsets = binary_parts(batch.column("ids"))
             ids, counts = data.view("<u4"), np.diff(offsets) // 4
             control, room, coded, edge = pack(shared.value[ids], counts)
-            columns = [part.column("doc_id"), pa.array(counts), pa.array(checksums(ids, counts), pa.int64()), binary_column(control, room), binary_column(coded, edge)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "checksum", "control", "data"])
-
-    coded = encoded.mapInArrow(run, "doc_id long, n_tokens long, checksum long, control binary, data binary")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "checksum")
-    ordered.select(F.spark_partition_id().alias("part"), "*").write.option("compression", "zstd").parquet(f"{path}/tokens")
+            doc = batch.column("doc_id")
+            part = np.searchsorted(bounds, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
+            columns = [pa.array(part), doc, pa.array(counts), pa.array(checksums(ids, counts), pa.int64()), binary_column(control, room), binary_column(coded, edge)]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "n_tokens", "checksum", "control", "data"])
+
+    coded = encoded.mapInArrow(run, "part int, doc_id long, n_tokens long, checksum long, control binary, data binary")
+    ordered = coded.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "checksum")
+    ordered.write.option("compression", "zstd").parquet(f"{path}/tokens")
 
 
 def read_ranks(spark: SparkSession, path: str) -> np.ndarray:

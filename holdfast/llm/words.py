@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
+import xxhash
 
 #: `[^\x20\x09-\x0D]+`
 SPACES = np.zeros(256, dtype=bool)
@@ -17,10 +18,6 @@ NOT_ALNUM[0x00:0x30] = NOT_ALNUM[0x3A:0x61] = NOT_ALNUM[0x7B:0x80] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SEGMENT = 1 << 20
-
 
 class Words(NamedTuple):
     """`data[start[i]:end[i]]` is word i; document d has the words first[d] to first[d + 1] - 1."""
@@ -61,35 +58,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: list[np.ndarray] = []
+#: Words of more bytes are hashed one by one.
+PACKED = 16
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, _SEGMENT + 4096)
-        _powers[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b, dtype=np.uint64))]) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+def packed(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes of each word as two numbers, zeros behind its end: with the length they spell words that short."""
+    data = np.concatenate([words.data, np.zeros(PACKED, dtype=np.uint8)])
+    every = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    size = words.end - words.start
+    low = every[words.start] & _KEEP[np.minimum(size, 8)]
+    high = every[words.start + 8 * (size > 8)] & _KEEP[np.clip(size - 8, 0, 8)]
+    return low, high
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64 bits of each span of values (spans ascending, apart): a polynomial by prefix sums modulo 2**64, mixed with the length."""
-    out = np.empty(len(start), dtype=np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + _SEGMENT, side="right")))
-        base, top = int(start[i]), int(end[j - 1])
-        power, inverse = _power_tables(top - base)
-        total = np.zeros(top - base + 1, dtype=np.uint64)
-        np.cumsum((values[base:top].astype(np.uint64) + np.uint64(1)) * power[: top - base], out=total[1:])
-        s, e = start[i:j] - base, end[i:j] - base
-        out[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        i = j
+def word_hashes(words: Words, spelled: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """64 bits of each word: a mix of the bytes and the length of short words, xxh3 of others; `spelled` is packed(words)."""
+    size = (words.end - words.start).astype(np.uint64)
+    low, high = spelled or packed(words)
+    out = mix(mix(low + size * np.uint64(0xD6E8FEB86659FD93)) + high * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+    long = np.flatnonzero(size > PACKED)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(words.data))
+        spans = zip(words.start[long].tolist(), words.end[long].tolist(), strict=True)
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in spans), dtype=np.uint64, count=len(long))
     return out
 
 
-def word_hashes(words: Words) -> np.ndarray:
-    """64 bits of each word."""
-    return span_hashes(words.data, words.start, words.end)
+def differing(words: Words, spelled: tuple[np.ndarray, np.ndarray], lead: np.ndarray) -> np.ndarray:
+    """Which words are not, byte for byte, the word `lead` of each; `spelled` is packed(words)."""
+    low, high = spelled
+    size = words.end - words.start
+    out = (low != low[lead]) | (high != high[lead]) | (size != size[lead])
+    rest = np.flatnonzero(~out & (size > PACKED) & (lead != np.arange(len(lead))))
+    short = rest[size[rest] <= 1 << 12]
+    n = size[short]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    apart = words.data[np.repeat(words.start[short], n) + step] != words.data[np.repeat(words.start[lead[short]], n) + step]
+    out[np.repeat(short, n)[apart]] = True
+    for i in rest[size[rest] > 1 << 12].tolist():
+        first = lead[i]
+        out[i] = not np.array_equal(words.data[words.start[i] : words.end[i]], words.data[words.start[first] : words.end[first]])
+    return out
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
