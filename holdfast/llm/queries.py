@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import decontaminate, importance, mixing, near_dup, pii, super_kmers, token_counts, token_files, toxicity, url_filter, vector_search
+from . import burst_trie, decontaminate, importance, mixing, near_dup, pii, super_kmers, token_counts, token_files, toxicity, url_filter, vector_search
 from .common import table
 from .url_filter import Rule
 
@@ -261,3 +261,31 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place EN
 @query("op12_importance_resampling", IMPORTANCE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TRIE_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+parts AS (
+  SELECT c.conv_id, 0 AS src, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos > h),
+seqs AS (
+  SELECT c.conv_id, coalesce(list([role, text] ORDER BY src, pos) FILTER (pos IS NOT NULL), []) AS s FROM convs c LEFT JOIN parts USING (conv_id) GROUP BY c.conv_id),
+paths AS (SELECT conv_id, s, d, s[1 : d] AS path FROM seqs, unnest(range(0, len(s) + 1)) AS t(d)),
+nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, count(DISTINCT s[d + 1]) AS n_children,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(path[d][2]) END AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends FROM paths GROUP BY path, d),
+below AS (
+  SELECT path[1 : k] AS path, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM nodes, unnest(range(0, d + 1)) AS t(k) GROUP BY path[1 : k])
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, n.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN below USING (path) LEFT JOIN nodes p ON p.path = n.path[1 : n.d - 1] AND p.d = n.d - 1
+"""
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return burst_trie.conversation_trie(table(spark, sf_dir, "conversations"))
