@@ -9,10 +9,12 @@
    either node; the rest, the long lists, are skipped.
 3. Pairs that meet are kept if enough of all coordinates collide (again but for MISS), the sizes allow the similarity, and the
    sketches differ in no more bits than sets as similar can.  Kept pairs are confirmed on the full sets, from the texts.
-4. A group of copies must not become all its pairs: in the first rounds each posting list offers, for each component in it,
-   one pair with the list's first node in the round's own order, and each component confirms the OFFERS pairs that most lists
-   offer.  What is left are lists that still hold several components; there all pairs between different components are
-   compared, in blocks.  A pair inside one component can't change the result, so none that matters is left out.
+4. A group of copies must not become all its pairs.  In the first rounds each list offers, for each component in it, one pair
+   with the list's first node in the round's own order, and each component confirms the OFFERS pairs that most lists offer.
+   Lists that still hold several components are then compared whole, in blocks, but each component offers only the pair whose
+   sketches differ least, in round after round while links are found.  When none is, what is left are pairs whose sketches
+   allow a link that the texts deny, and a last round confirms every one of them.  A pair inside one component can't change
+   the result, so none that matters is left out.
 
 Components are contracted round by round with tables in the shared folder; nothing but counts reaches the driver.
 
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,9 +49,14 @@ OFFERS = 3
 MEMBERS = 256
 #: Nodes of one block of a posting list.
 BLOCK = 512
-SKETCH_BITS = 1024
+SKETCH_BITS = 2048
+#: Rounds in which each component offers its nearest pair only, before all are confirmed.
+NEAREST_ROUNDS = 8
+
+PAIRS = "a long, la long, b long, lb long"
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_MASKS = mix(np.arange(1, 65, dtype=np.uint64)) >> np.uint64(1)
 #: A sketch has a byte per coordinate, then the bits.
 _SKETCH = COORDINATES + SKETCH_BITS // 8
 
@@ -111,11 +118,11 @@ def most_apart(both: np.ndarray, percent: int) -> np.ndarray:
 
 
 def alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, matched: int) -> tuple[np.ndarray, np.ndarray]:
-    """(may be linked, collisions) of pairs of sketches, row by row."""
+    """(may be linked, bits that differ) of pairs of sketches, row by row."""
     same = (a[..., :COORDINATES] == b[..., :COORDINATES]).sum(axis=-1)
-    apart = np.bitwise_count(a[..., COORDINATES:] ^ b[..., COORDINATES:]).sum(axis=-1, dtype=np.int64)
+    apart = np.bitwise_count(a[..., COORDINATES:].view(np.uint64) ^ b[..., COORDINATES:].view(np.uint64)).sum(axis=-1, dtype=np.int64)
     sizes = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    return sizes & (same >= matched) & (apart <= most_apart(n_a + n_b, percent)), same
+    return sizes & (same >= matched) & (apart <= most_apart(n_a + n_b, percent)), apart
 
 
 def sketches(column: pa.Array) -> np.ndarray:
@@ -140,10 +147,10 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, flat),
                 pa.array([sketch(s, x) for s, x in zip(sets, least, strict=True)], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_shingles", "node", "lead", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_shingles", "key", "lead", "sketch"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, n_shingles long, node binary, lead array<int>, sketch binary")
+    return rows.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, n_shingles long, key binary, lead array<int>, sketch binary")
 
 
 def postings(nodes: DataFrame, percent: int) -> DataFrame:
@@ -170,7 +177,7 @@ def near(pairs: DataFrame, facts: DataFrame, percent: int, matched: int) -> Data
                 yield batch.filter(pa.array(keep)).select(["a", "la", "b", "lb"])
 
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "la", "b", "lb", "n_a", "n_b", "sketch_a", "sketch_b")
-    return met.mapInArrow(run, "a binary, la binary, b binary, lb binary")
+    return met.mapInArrow(run, PAIRS)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -180,7 +187,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     """
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("groups"))
     members = pairs.join(groups, "a").select(F.col("b").alias("node"), "a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
-    heads = groups.select(F.col("a").alias("node"), "a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
+    heads = groups.select(F.col("a").alias("node"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
     # one join for both, so that texts move once
     rows = members.unionByName(heads).join(texts, "node").select("a", "salt", "b", "text")
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -197,13 +204,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                     both = len(np.intersect1d(own, s, assume_unique=True))
                     if 100 * both >= percent * (len(own) + len(s) - both):
                         found.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def pairs_within(rest: DataFrame, percent: int, matched: int) -> DataFrame:
-    """(a, la, b, lb): pairs of a list with different labels whose sketches allow a link.
+def pairs_within(rest: DataFrame, percent: int, matched: int, every: bool) -> DataFrame:
+    """(a, la, b, lb): pairs of a list with different labels whose sketches allow a link: every one, or for each label the one
+    that differs least.
 
     `rest` has list, members (of the list), node, label, n and sketch.  A list is cut into blocks of about BLOCK nodes; each
     pair of blocks meets in a group of its own and is compared there with arrays.
@@ -217,11 +225,7 @@ def pairs_within(rest: DataFrame, percent: int, matched: int) -> DataFrame:
     def compare(t: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
         """Rows of whole groups: each is compared with the one d rows on, for every d that stays inside a group."""
         n, marks, own = t.column("n").to_numpy(), sketches(t.column("sketch").combine_chunks()), t.column("own").to_numpy()
-        codes = t.column("label").combine_chunks().dictionary_encode()
-        label, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
-        order = np.empty(len(names), dtype=np.int64)
-        order[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-        label = order[label]
+        label, node = t.column("label").to_numpy(), t.column("node").to_numpy()
         single = t.column("i").to_numpy() == t.column("j").to_numpy()
         found: list[np.ndarray] = []
         here, d = np.arange(len(n) - 1), 1
@@ -230,13 +234,20 @@ def pairs_within(rest: DataFrame, percent: int, matched: int) -> DataFrame:
             here = here[keys[here + d] == keys[here]]
             x = here[(label[here] != label[here + d]) & (single[here] | (own[here] != own[here + d]))]
             if len(x):
-                keep, _ = alike(marks[x], marks[x + d], n[x], n[x + d], percent, matched)
-                x = x[keep]
-                found.append(np.stack([np.where(label[x] < label[x + d], x, x + d), np.where(label[x] < label[x + d], x + d, x)]))
+                keep, apart = alike(marks[x], marks[x + d], n[x], n[x + d], percent, matched)
+                x, apart = x[keep], apart[keep]
+                found.append(np.stack([np.where(label[x] < label[x + d], x, x + d), np.where(label[x] < label[x + d], x + d, x), apart]))
             d += 1
-        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
-        columns = [t.column(c).combine_chunks().take(pa.array(at)) for at in (a, b) for c in ("node", "label")]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "la", "b", "lb"])
+        a, b, apart = np.concatenate(found, axis=1) if found else np.empty((3, 0), dtype=np.int64)
+        if not every and len(a):
+            best = []
+            for own in (a, b):
+                ordered = np.lexsort((node[b], node[a], apart, label[own], keys[a]))
+                group, of = keys[a][ordered], label[own][ordered]
+                best.append(ordered[np.append(True, (group[1:] != group[:-1]) | (of[1:] != of[:-1]))])
+            chosen = np.unique(np.concatenate(best))
+            a, b = a[chosen], b[chosen]
+        return pa.RecordBatch.from_arrays([pa.array(x[at]) for at in (a, b) for x in (node, label)], names=["a", "la", "b", "lb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -264,7 +275,7 @@ def pairs_within(rest: DataFrame, percent: int, matched: int) -> DataFrame:
         if held:
             yield found(held)
 
-    return dealt.mapInArrow(run, "a binary, la binary, b binary, lb binary")
+    return dealt.mapInArrow(run, PAIRS)
 
 
 def components(edges: DataFrame, name: str = "component") -> DataFrame:
@@ -298,54 +309,94 @@ def relabel(labels: DataFrame, merged: DataFrame) -> DataFrame:
     return labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
 
 
-def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """A row per document: doc_id, row (hash of the text), group (key of the component, null for an empty set), n_shingles,
-    component_id, kept."""
-    matched = least_shared(COORDINATES, percent)
-    rows = written(signatures(docs, doc_id, text, size), "signatures")
+def numbered_nodes(rows: DataFrame, *facts: Column) -> DataFrame:
+    """A row per different set of `rows` (key, doc_id, row): key, node (its number), rep (the document that stands for it),
+    doc_id (the least) and `facts`.  Numbers are written once and read from there."""
     one = [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("rep"), F.min("doc_id").alias("doc_id")]
-    facts = [F.first("n_shingles").alias("n"), F.first("lead").alias("lead"), F.first("sketch").alias("sketch")]
-    nodes = written(rows.filter("node is not null").groupBy("node").agg(*one, *facts), "nodes")
-    posted = written(postings(nodes, percent), "postings")
-    needed = posted.select("node").distinct().join(nodes.select("node", "rep.doc_id", "rep.row"), "node")
-    texts = written(texts_of(needed, docs, doc_id, text), "texts")
-    labels = written(posted.select("node").distinct().select("node", F.col("node").alias("label")), "labels")
-    facts = nodes.select("node", "n", "sketch")
+    return written(rows.filter("key is not null").groupBy("key").agg(*one, *facts).withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def settle(posted: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, size: int, percent: int, matched: int) -> DataFrame:
+    """(node, label) of the nodes on any list: components of the links between nodes that share a list.
+
+    `posted` has list and node, each pair once; `nodes` has node, rep, n and sketch; `matched` is the number of coordinates
+    that a link must share at least.
+    """
+    on_lists = posted.select("node").distinct()
+    known = written(nodes.join(on_lists, "node").select("node", "n", "sketch", "rep"), "facts")
+    facts = known.select("node", "n", "sketch")
+    texts = written(texts_of(known.select("node", "rep.doc_id", "rep.row"), docs, doc_id, text), "texts")
+    labels = known.select("node", F.col("node").alias("label"))
+    opened = posted.withColumn("label", F.col("node"))
 
     def merge(pairs: DataFrame) -> bool:
-        """Confirm (a, la, b, lb) and join the components that links connect."""
-        nonlocal labels
+        """Confirm (a, la, b, lb), join the components that links connect, and keep the lists that hold several still."""
+        nonlocal labels, opened
         found = confirm(pairs.select("a", "b"), texts, size, percent).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
         found = written(found, "links")
         if found.isEmpty():
             return False
-        labels = written(relabel(labels, components(found)), "labels")
+        merged = components(found)
+        labels = written(relabel(labels, merged), "labels")
+        to = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        moved = opened.join(to, "label", "left").select("list", "node", F.coalesce("to", "label").alias("label"))
+        opened = written(open_rows(moved), "open")
         return True
 
+    def open_rows(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
+        return rows.join(several.select("list"), "list")
+
     for number in range(STAR_ROUNDS):
-        first = F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(number), "node"))
-        heads = posted.join(labels, "node").groupBy("list", "label").agg(first["node"].alias("node"))
-        pivots = heads.groupBy("list").agg(first.alias("pivot"))
-        met = heads.join(pivots, "list").filter("label != pivot.label")
-        offered = met.groupBy(F.col("pivot.node").alias("a"), F.col("pivot.label").alias("la"), F.col("node").alias("b"), F.col("label").alias("lb")).agg(F.count("*").alias("n"))
-        # a pair that meets once only is most often none; the last step looks at those
+        # the list's first node is the least number under a mask of the round
+        mask = F.lit(int(_MASKS[number]))
+        heads = opened.groupBy("list", "label").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("p"))
+        pivots = heads.groupBy("list").agg(F.min("p").alias("first"))
+        met = heads.join(pivots, "list").filter("p != first")
+        a, b = F.col("first").bitwiseXOR(mask), F.col("p").bitwiseXOR(mask)
+        # a pair that meets once only is most often none; the last steps look at those
+        offered = met.groupBy(a.alias("a"), b.alias("b"), F.col("label").alias("lb")).agg(F.count("*").alias("n")).filter("n > 1")
         turn = F.row_number().over(Window.partitionBy("lb").orderBy(F.col("n").desc(), "a", "b"))
-        best = offered.filter("n > 1").withColumn("turn", turn).filter(F.col("turn") <= OFFERS).select("a", "la", "b", "lb")
+        best = offered.withColumn("turn", turn).filter(F.col("turn") <= OFFERS).drop("turn", "n")
+        best = best.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").select("a", "la", "b", "lb")
         if not merge(written(near(best, facts, percent, matched), "stars")):
             break
-    # lists that hold several components still: every pair between them
-    labelled = posted.join(labels, "node")
-    open_lists = labelled.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo != hi")
-    rest = labelled.join(open_lists.select("list", "members"), "list").join(facts, "node")
-    merge(written(pairs_within(rest, percent, matched).distinct(), "rest"))
 
+    def whole(every: bool) -> DataFrame:
+        members = opened.groupBy("list").agg(F.count("*").alias("members"))
+        rest = opened.join(members, "list").join(facts, "node")
+        return written(pairs_within(rest, percent, matched, every).distinct(), "rest")
+
+    opened = written(open_rows(opened), "open")
+    for _ in range(NEAREST_ROUNDS):
+        pairs = whole(False)
+        if pairs.isEmpty():
+            return labels
+        if not merge(pairs):
+            break
+    merge(whole(True))
+    return labels
+
+
+def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """A row per document: doc_id, row (hash of the text), group (key of the component, null for an empty set), n_shingles,
+    component_id, kept."""
+    rows = written(signatures(docs, doc_id, text, size), "signatures")
+    nodes = numbered_nodes(rows, F.first("n_shingles").alias("n"), F.first("lead").alias("lead"), F.first("sketch").alias("sketch"))
+    posted = written(postings(nodes, percent), "postings")
+    labels = settle(posted, nodes, docs, doc_id=doc_id, text=text, size=size, percent=percent, matched=least_shared(COORDINATES, percent))
+    return grouped(rows, nodes, labels)
+
+
+def grouped(rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, row, group, n_shingles, component_id, kept of `rows` from the labels of nodes that have one."""
     known = nodes.select("node", "doc_id").join(labels, "node")
     least = known.groupBy("label").agg(F.min("doc_id").alias("least"))
     linked = known.join(least, "label").select("node", "label", "least")
-    every = nodes.select("node", "doc_id").join(linked, "node", "left")
-    every = every.select("node", F.coalesce("label", "node").alias("group"), F.coalesce("least", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "row", "n_shingles", "node").join(every, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    every = nodes.select("key", "node", "doc_id").join(linked, "node", "left")
+    every = every.select("key", F.coalesce("label", "node").alias("group"), F.coalesce("least", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "row", "n_shingles", "key").join(every, "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "row", "group", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 

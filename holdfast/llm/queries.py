@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import burst_trie, decontaminate, importance, mixing, near_dup, pii, super_kmers, token_counts, token_files, toxicity, url_filter, vector_search
+from . import burst_trie, decontaminate, importance, mixing, near_dup, part_enum, pii, super_kmers, token_counts, token_files, toxicity, url_filter, vector_search
 from .common import table
 from .url_filter import Rule
 
@@ -289,3 +289,25 @@ FROM nodes n JOIN below USING (path) LEFT JOIN nodes p ON p.path = n.path[1 : n.
 @query("op13_conversation_trie", TRIE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return burst_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+JACCARD_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({SMALL_LETTERS}, {SPACED}) AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least ON a = doc_id
+"""
+
+
+@query("op11_ngram_jaccard_join", JACCARD_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_enum.join(table(spark, sf_dir, "documents"), size=5, percent=80).select("doc_id", "n_shingles", "component_id")
