@@ -178,7 +178,8 @@ def _judge(seen: Seen, words: Words, start: np.ndarray, columns: dict[str, np.nd
     begins = np.ones(len(marked), dtype=bool)
     begins[1:] = (np.diff(place) != 1) | (of[marked][1:] != of[marked][:-1])
     first = np.flatnonzero(begins)
-    last = np.append(first[1:], len(marked)) - 1
+    # none where no window is marked
+    last = np.append(first, len(marked))[1:] - 1
     r = of[marked[first]]
     offset = start[r] - words.first[r]
     return columns["doc_id"][r], columns["row"][r], place[first] + offset, place[last] + offset + width
