@@ -49,7 +49,9 @@ OFFERS = 3
 MEMBERS = 256
 #: Nodes of one block of a posting list.
 BLOCK = 512
-SKETCH_BITS = 2048
+SKETCH_BITS = 1024
+#: Pairs that a task gathers before it keeps the nearest of each label only, or passes them on.
+GATHERED = 1 << 17
 #: Rounds in which each component offers its nearest pair only, before all are confirmed.
 NEAREST_ROUNDS = 8
 
@@ -210,8 +212,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 
 def pairs_within(rest: DataFrame, percent: int, matched: int, every: bool) -> DataFrame:
-    """(a, la, b, lb): pairs of a list with different labels whose sketches allow a link: every one, or for each label the one
-    that differs least.
+    """(list, a, la, b, lb): pairs of a list with different labels whose sketches allow a link: every one, or for each label the
+    one that differs least.
 
     `rest` has list, members (of the list), node, label, n and sketch.  A list is cut into blocks of about BLOCK nodes; each
     pair of blocks meets in a group of its own and is compared there with arrays.
@@ -222,12 +224,27 @@ def pairs_within(rest: DataFrame, percent: int, matched: int, every: bool) -> Da
     order = ("list", "i", "j")
     dealt = rows.repartition(*order).sortWithinPartitions(*order)
 
-    def compare(t: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
+    def compare(t: pa.Table, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Rows of whole groups: each is compared with the one d rows on, for every d that stays inside a group."""
         n, marks, own = t.column("n").to_numpy(), sketches(t.column("sketch").combine_chunks()), t.column("own").to_numpy()
-        label, node = t.column("label").to_numpy(), t.column("node").to_numpy()
+        lists, label, node = (t.column(c).to_numpy() for c in ("list", "label", "node"))
         single = t.column("i").to_numpy() == t.column("j").to_numpy()
-        found: list[np.ndarray] = []
+        # columns: both rows, the one of the smaller label first, and the bits that differ
+        held = np.empty((3, 0), dtype=np.int64)
+
+        def nearest(found: np.ndarray) -> np.ndarray:
+            a, b, apart = found
+            best = []
+            for own in (a, b):
+                ordered = np.lexsort((node[b], node[a], apart, label[own], keys[a]))
+                group, of = keys[a][ordered], label[own][ordered]
+                best.append(ordered[np.append(True, (group[1:] != group[:-1]) | (of[1:] != of[:-1]))])
+            return found[:, np.unique(np.concatenate(best))]
+
+        def batch(found: np.ndarray) -> pa.RecordBatch:
+            columns = [lists[found[0]], *(x[at] for at in found[:2] for x in (node, label))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["list", "a", "la", "b", "lb"])
+
         here, d = np.arange(len(n) - 1), 1
         while len(here):
             here = here[here + d < len(n)]
@@ -236,23 +253,20 @@ def pairs_within(rest: DataFrame, percent: int, matched: int, every: bool) -> Da
             if len(x):
                 keep, apart = alike(marks[x], marks[x + d], n[x], n[x + d], percent, matched)
                 x, apart = x[keep], apart[keep]
-                found.append(np.stack([np.where(label[x] < label[x + d], x, x + d), np.where(label[x] < label[x + d], x + d, x), apart]))
+                first = label[x] < label[x + d]
+                held = np.concatenate([held, np.stack([np.where(first, x, x + d), np.where(first, x + d, x), apart])], axis=1)
+                if held.shape[1] > GATHERED and every:
+                    yield batch(held)
+                    held = held[:, :0]
+                elif held.shape[1] > GATHERED:
+                    held = nearest(held)
             d += 1
-        a, b, apart = np.concatenate(found, axis=1) if found else np.empty((3, 0), dtype=np.int64)
-        if not every and len(a):
-            best = []
-            for own in (a, b):
-                ordered = np.lexsort((node[b], node[a], apart, label[own], keys[a]))
-                group, of = keys[a][ordered], label[own][ordered]
-                best.append(ordered[np.append(True, (group[1:] != group[:-1]) | (of[1:] != of[:-1]))])
-            chosen = np.unique(np.concatenate(best))
-            a, b = a[chosen], b[chosen]
-        return pa.RecordBatch.from_arrays([pa.array(x[at]) for at in (a, b) for x in (node, label)], names=["a", "la", "b", "lb"])
+        yield batch(held if every or not held.shape[1] else nearest(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)
             keys = np.stack([t.column(c).to_numpy() for c in order])
             return compare(t, np.append(0, np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))))
@@ -265,17 +279,17 @@ def pairs_within(rest: DataFrame, percent: int, matched: int, every: bool) -> Da
             before = np.flatnonzero(differs)
             if len(before):
                 held.append(batch.slice(0, before[-1] + 1))
-                yield found(held)
+                yield from found(held)
                 held = [batch.slice(before[-1] + 1)]
             else:
                 if held and any(held[-1].column(c)[0].as_py() != batch.column(c)[0].as_py() for c in order):
-                    yield found(held)
+                    yield from found(held)
                     held = []
                 held.append(batch)
         if held:
-            yield found(held)
+            yield from found(held)
 
-    return dealt.mapInArrow(run, PAIRS)
+    return dealt.mapInArrow(run, "list long, " + PAIRS)
 
 
 def components(edges: DataFrame, name: str = "component") -> DataFrame:
@@ -363,9 +377,12 @@ def settle(posted: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: str,
             break
 
     def whole(every: bool) -> DataFrame:
+        nonlocal opened
         members = opened.groupBy("list").agg(F.count("*").alias("members"))
         rest = opened.join(members, "list").join(facts, "node")
-        return written(pairs_within(rest, percent, matched, every).distinct(), "rest")
+        pairs = written(pairs_within(rest, percent, matched, every), "rest")
+        opened = opened.join(pairs.select("list").distinct(), "list", "left_semi")
+        return pairs.drop("list").distinct()
 
     opened = written(open_rows(opened), "open")
     for _ in range(NEAREST_ROUNDS):
