@@ -50,8 +50,11 @@ def smote(
 
     Every minority row gets the same number of synthetic rows, give or take one; which rows get the extra one
     is decided by an exact rank of their key hash.  A synthetic row lies on the segment from a minority row to
-    one of its k nearest minority rows.
+    one of its k near minority rows.  Features are numbers: vectors of levels have no points between them.
     """
+    vectors = [f for f in features if df.schema[f].dataType.typeName() == "vectorudt"]
+    if vectors:
+        raise ValueError(f"no interpolation of {vectors}; rebalance by weights or leave these columns out")
     base = df.select(*[ref(f).cast("double").alias(f) for f in features], ref(label).cast("double").alias(label), key_text(key).alias("__key"))
     counts = {r[label]: r["n"] for r in base.groupBy(ref(label)).agg(F.count("*").alias("n")).limit(3).collect()}
     real = base.drop("__key").withColumn("synthetic", F.lit(False))

@@ -10,13 +10,14 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nan_to_null, parse_number, ref
-from ..session import materialised
+from ..session import materialised, scratch_path
 from .clean import as_double, numeric_columns, promotable, text_columns
-from .order_stats import medians
+from .order_stats import medians, numbered
 from .profile import levels, modes_and_cardinality, moments, value_counts
 
 # Services counted by `total_services`.
@@ -36,6 +37,32 @@ def onehot_encode(df: DataFrame, fitted: Mapping[str, Sequence[str]]) -> DataFra
     return df.withColumns(new).drop(*fitted)
 
 
+def level_index(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """(column, value, index): the place of every level among the sorted levels of its column, however many there are."""
+    found = value_counts(df, columns) if counts is None else counts.filter(F.col("column").isin(list(columns)))
+    return numbered(found.select("column", "value"), ["value"], "index", by=["column"])
+
+
+def sparse_onehot(df: DataFrame, index: DataFrame, sizes: Mapping[str, int], suffix: str = "_levels") -> DataFrame:
+    """`df` with a sparse vector per column of `sizes` (its number of levels), one entry per level but the first.
+
+    The index is joined back by value, so nothing of it has to fit the plan or the driver; the first level, unseen values and
+    nulls are all zeros, as in `onehot_columns`.
+    """
+    if not sizes:
+        return df
+    out = df
+    for i, (name, size) in enumerate(sizes.items()):
+        own = index.filter(F.col("column") == name).select(F.col("value").alias(f"__v{i}"), F.col("index").alias(f"__i{i}"))
+        out = out.join(own, ref(name) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
+        # the encoder leaves out the last category: the first level and what has none
+        out = out.withColumn(f"__i{i}", F.when(F.col(f"__i{i}") > 0, F.col(f"__i{i}") - 1).otherwise(size - 1).cast("double"))
+    marks = [f"__i{i}" for i in range(len(sizes))]
+    widest = df.sparkSession.createDataFrame([tuple(float(n - 1) for n in sizes.values())], ", ".join(f"{m} double" for m in marks))
+    encoder = OneHotEncoder(inputCols=marks, outputCols=[f"{c}{suffix}" for c in sizes], dropLast=True).fit(widest)
+    return encoder.transform(out).drop(*marks)
+
+
 def standardize(value: Column, mean: float, std: float) -> Column:
     """(x - mean) / std; a constant column becomes 0."""
     if not std:
@@ -85,6 +112,9 @@ class Preparation:
     features: list[str]
     mean: dict[str, float] = field(default_factory=dict)
     std: dict[str, float] = field(default_factory=dict)
+    # text columns with too many levels for a feature each: their numbers of levels, and where the index of levels is stored
+    wide: dict[str, int] = field(default_factory=dict)
+    index: str | None = None
 
     def imputed(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Source columns with missing values filled.  A column the table lacks is taken as missing."""
@@ -105,13 +135,22 @@ class Preparation:
         return df.select(*out)
 
     def transform(self, df: DataFrame, keep: Sequence[str] = (), scale: bool = True) -> DataFrame:
-        """Two projections: filling first, so that every level of a text column reads the filled value."""
+        """Two projections: filling first, so that every level of a text column reads the filled value.
+
+        A wide column becomes one sparse vector, `<column>_levels`, by a join with the index of its levels.
+        """
         cols: dict[str, Column] = {c: ref(f"__n_{c}") for c in self.numeric}
         for c in self.text:
-            cols.update(onehot_columns(ref(f"__t_{c}"), c, self.levels[c]))
+            if c not in self.wide:
+                cols.update(onehot_columns(ref(f"__t_{c}"), c, self.levels[c]))
         if scale and self.mean:
-            cols = {f: standardize(cols[f], self.mean[f], self.std[f]) for f in self.features}
-        return self.imputed(df, keep).select(*[ref(k) for k in keep], *[cols[f].alias(f) for f in self.features])
+            cols = {f: standardize(c, self.mean[f], self.std[f]) for f, c in cols.items() if f in self.mean}
+        rows = self.imputed(df, keep)
+        if self.wide:
+            index = df.sparkSession.read.schema("column string, value string, index bigint").parquet(self.index)
+            rows = sparse_onehot(rows, index.withColumn("column", F.concat(F.lit("__t_"), "column")), {f"__t_{c}": n for c, n in self.wide.items()})
+            cols.update({f"{c}_levels": ref(f"__t_{c}_levels") for c in self.wide})
+        return rows.select(*[ref(k) for k in keep], *[cols[f].alias(f) for f in self.features])
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -130,7 +169,10 @@ def fit_preparation(
     scale: bool = True,
     exact: bool = True,
 ) -> Preparation:
-    """Learn promotion, imputation, levels and scaling from `df` (pass the training rows only)."""
+    """Learn promotion, imputation, levels and scaling from `df` (pass the training rows only).
+
+    A text column with more than `max_levels` values is a sparse vector feature, which every family takes; SMOTE does not.
+    """
     used = [c for c in df.columns if c != target and c not in set(drop)]
     promoted = set(promotable(df, used, threshold))
     numeric = [c for c in used if c in promoted or c in set(numeric_columns(df, used))]
@@ -143,14 +185,20 @@ def fit_preparation(
     counts = materialised(value_counts(parsed, text), "levels") if text else None
     top = modes_and_cardinality(parsed, text, counts=counts)
     text_fill = {c: m for c, (m, _) in top.items()}
-    found = levels(parsed, text, max_levels, {c: k for c, (_, k) in top.items()}, counts)
-    for c in text:
+    wide = {c: k for c, (_, k) in top.items() if k > max_levels}
+    narrow = [c for c in text if c not in wide]
+    found = levels(parsed, narrow, max_levels, {c: top[c][1] for c in narrow}, counts.filter(F.col("column").isin(narrow)) if wide else counts)
+    for c in narrow:
         if not found[c]:
             found[c] = [text_fill[c]]
-    features = list(numeric) + [f"{c}_{lvl}" for c in text for lvl in found[c][1:]]
-    prep = Preparation(numeric, fill, text, text_fill, found, features)
+    path = None
+    if wide:
+        path = scratch_path(df.sparkSession, "level-index")
+        level_index(parsed, list(wide), counts).select("column", "value", "index").write.parquet(path)
+    single = list(numeric) + [f"{c}_{lvl}" for c in narrow for lvl in found[c][1:]]
+    prep = Preparation(numeric, fill, text, text_fill, found, single + [f"{c}_levels" for c in wide], wide=wide, index=path)
     if scale:
-        stats = moments(prep.transform(df, scale=False), features)
+        stats = moments(prep.transform(df, scale=False), single)
         prep.mean = {f: m for f, (m, _) in stats.items()}
         prep.std = {f: s for f, (_, s) in stats.items()}
     return prep

@@ -1,10 +1,13 @@
-"""Exact k nearest neighbours among the rows of a table.
+"""k near neighbours among the rows of a table, by a forest of random projections.
 
-The space is cut into boxes by a k-d tree built from a small hash sample (the sample only places the cuts).
-Round one finds neighbours inside each box and so a radius per point; round two sends a point to just those
-boxes its radius reaches and merges what they find.  Equal points are combined beforehand, so a value held
-by much of the table is one point with a multiplicity, and boxes stay small.  Boxes asked by many points
-are split over several tasks.
+A tree cuts the points at quantiles of their projection on a random direction, level after level, until a cell has `leaf`
+points at most; inside a cell distances are computed.  Cells of different trees cut the space differently, so a neighbour that
+one tree separates another one keeps.  Trees come in batches until a batch changes the neighbours of few points only, and each
+point keeps the k nearest of all cells it was in.  Distances are exact; neighbours are those with a small chance of missing
+one, and all of them where the points fit one cell.
+
+Equal points are combined beforehand, so a value held by much of the table is one point with a multiplicity.  No group is
+larger than about a cell, and the driver sees the number of points and the share of changed ones only.
 """
 
 from __future__ import annotations
@@ -16,180 +19,117 @@ from pyspark.sql import functions as F
 
 from ..session import materialised
 
-LEAF = 2_000
-MAX_LEAVES = 16_384
-PER_LEAF = 16
-PROBES_PER_TASK = 20_000
-
+LEAF = 1024
+TREES = 8
+#: Batches of trees at most, and the share of changed points at which a further one is not worth it.
+BATCHES = 8
+SETTLED = 0.05
+#: Children of a cell in one level.
+FAN = 16
+#: Cells whose cuts are sent to all tasks instead of being joined by a shuffle.
+FEW_CELLS = 10_000
+
+_NEAR = "array<struct<d: double, id: bigint>>"
 _FOUND = "array<struct<d: double, m: bigint, v: array<double>>>"
 
 
-def _build_tree(sample, per_leaf: int) -> tuple:
-    """Flat k-d tree (dim, cut, left, right, leaf) from sampled points; -1 marks absence."""
-    import numpy as np
-
-    dim, cut, left, right, leaf = [], [], [], [], []
-    leaves = 0
-
-    def grow(points) -> int:
-        nonlocal leaves
-        node = len(dim)
-        for column in (dim, cut, left, right, leaf):
-            column.append(-1)
-        if len(points) > per_leaf:
-            spread = points.max(axis=0) - points.min(axis=0)
-            j = int(np.argmax(spread))
-            if spread[j] > 0:
-                values = np.unique(points[:, j])
-                at = min(max(np.searchsorted(values, np.median(points[:, j])), 1), len(values) - 1)
-                c = float((values[at - 1] + values[at]) / 2.0)
-                below = points[:, j] <= c
-                if below.any() and not below.all():
-                    dim[node], cut[node] = j, c
-                    left[node] = grow(points[below])
-                    right[node] = grow(points[~below])
-                    return node
-        leaf[node] = leaves
-        leaves += 1
-        return node
-
-    grow(np.asarray(sample, dtype=float))
-    return dim, cut, left, right, leaf, leaves
-
-
-def _worker(tree: tuple, k: int):
-    """Functions that run inside tasks; nested so that executors need nothing but numpy and pandas."""
-    dim, cut, left, right, leaf, _ = tree
-
-    def assign(vectors):
-        import numpy as np
-        import pandas as pd
-
-        x = np.stack([np.asarray(v, dtype=float) for v in vectors]) if len(vectors) else np.zeros((0, 1))
-        out = np.zeros(len(x), dtype=np.int32)
-        stack = [(0, np.arange(len(x)))]
-        while stack:
-            node, idx = stack.pop()
-            if dim[node] < 0:
-                out[idx] = leaf[node]
-                continue
-            below = x[idx, dim[node]] <= cut[node]
-            stack.append((left[node], idx[below]))
-            stack.append((right[node], idx[~below]))
-        return pd.Series(out)
+def _projected(points: DataFrame, trees: int, levels: int, seed: int) -> DataFrame:
+    """(id, tree, p): the projections of each point on the directions of each tree's levels."""
 
-    def search(queries, points, mult, same: bool, radius=None):
-        """Per query at most k nearest points as a list of (d, m, v); d is the squared distance."""
+    def project(parts):
         import numpy as np
+        import pyarrow as pa
 
-        order = np.lexsort(points.T[::-1])
-        points, mult = points[order], mult[order]
-        step = max(1, int(4_000_000 // max(1, len(points))))
-        found, reach = [], np.full(len(queries), np.inf)
-        for start in range(0, len(queries), step):
-            q = queries[start : start + step]
-            d2 = np.zeros((len(q), len(points)))
-            for j in range(points.shape[1]):
-                d2 += (q[:, j, None] - points[None, :, j]) ** 2
-            if same:
-                for i in range(len(q)):
-                    d2[i, np.all(points == q[i], axis=1)] = np.inf
-            take = min(k, d2.shape[1])
-            kth = np.partition(d2, take - 1, axis=1)[:, take - 1] if take else np.full(len(q), np.inf)
-            for i in range(len(q)):
-                limit = kth[i] if radius is None else min(kth[i], radius[start + i])
-                near = np.flatnonzero((d2[i] <= limit) & np.isfinite(d2[i]))
-                near = near[np.argsort(d2[i, near], kind="stable")][:k]
-                found.append([{"d": float(d2[i, p]), "m": int(mult[p]), "v": points[p].tolist()} for p in near])
-                if len(near) == k:
-                    reach[start + i] = d2[i, near[-1]]
-        return found, reach
-
-    def inside(pdf):
-        import numpy as np
-        import pandas as pd
-
-        x = np.stack([np.asarray(v, dtype=float) for v in pdf["vec"]])
-        found, reach = search(x, x, pdf["mult"].to_numpy(), same=True)
-        own = int(pdf["leaf"].iloc[0])
-        targets: list[list[int]] = [[] for _ in range(len(x))]
-        stack = [(0, np.arange(len(x)), np.zeros_like(x), np.zeros(len(x)))]
-        while stack:
-            node, idx, offset, dist = stack.pop()
-            if not len(idx):
-                continue
-            if dim[node] < 0:
-                if leaf[node] != own:
-                    for i in idx:
-                        targets[i].append(leaf[node])
+        ways = None
+        for part in parts:
+            if not part.num_rows:
                 continue
-            j, c = dim[node], cut[node]
-            gap = x[idx, j] - c
-            is_left = gap <= 0
-            for child, near in ((left[node], is_left), (right[node], ~is_left)):
-                off = offset.copy()
-                far = ~near
-                off[far, j] = np.abs(gap[far])
-                d = np.where(far, dist - offset[:, j] ** 2 + off[:, j] ** 2, dist)
-                keep = d <= reach[idx] * (1 + 1e-12)
-                stack.append((child, idx[keep], off[keep], d[keep]))
-        return pd.DataFrame({"vec": pdf["vec"], "mult": pdf["mult"], "found": found, "reach": reach, "targets": targets})
-
-    def across(probes, points):
+            x = _matrix(part.column("vec"), part.num_rows)
+            if ways is None:
+                ways = np.random.default_rng(seed).normal(size=(x.shape[1], trees * levels))
+            p = pa.FixedSizeListArray.from_arrays(pa.array((x @ ways).reshape(-1)), levels).cast(pa.list_(pa.float64()))
+            columns = [pa.array(np.repeat(part.column("id").to_numpy(), trees)), pa.array(np.tile(np.arange(trees, dtype=np.int32), len(x))), p]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "tree", "p"])
+
+    return points.select("id", "vec").mapInArrow(project, "id bigint, tree int, p array<double>")
+
+
+def _matrix(column, rows: int):
+    """A column of vectors of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def cells(points: DataFrame, n: int, trees: int, leaf: int, seed: int) -> DataFrame:
+    """(id, tree, cell) for `n` points (id, vec)."""
+    levels = max(0, math.ceil(math.log(max(1.0, n / leaf), FAN)))
+    if not levels:
+        return points.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).cast("bigint").alias("cell"))
+    placed = materialised(_projected(points, trees, levels, seed).withColumn("cell", F.lit(0).cast("bigint")), "projections")
+    shares = [i / FAN for i in range(1, FAN)]
+    for level in range(levels):
+        p = F.get("p", F.lit(level))
+        cuts = placed.groupBy("tree", "cell").agg(F.count("*").alias("n"), F.percentile_approx(p, shares, 1000).alias("cuts")).filter(F.col("n") > leaf)
+        cuts = materialised(cuts, "cuts")
+        parts = F.least(F.lit(FAN), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / leaf)))).cast("int")
+        below = F.size(F.filter("cuts", lambda c: c < p))
+        child = F.coalesce(F.floor(below / (FAN / parts)).cast("bigint"), F.lit(0))
+        joined = placed.join(F.broadcast(cuts) if cuts.count() <= FEW_CELLS else cuts, ["tree", "cell"], "left")
+        placed = joined.select("id", "tree", "p", (F.col("cell") * FAN + child).alias("cell"))
+    return placed.select("id", "tree", "cell")
+
+
+def _nearest_in_cell(k: int):
+    def search(cell):
         import numpy as np
-        import pandas as pd
-
-        if not len(probes) or not len(points):
-            return pd.DataFrame({"vec": [], "found": []})
-        q = np.stack([np.asarray(v, dtype=float) for v in probes["vec"]])
-        x = np.stack([np.asarray(v, dtype=float) for v in points["vec"]])
-        found, _ = search(q, x, points["mult"].to_numpy(), same=False, radius=probes["reach"].to_numpy())
-        keep = [i for i, f in enumerate(found) if f]
-        return pd.DataFrame({"vec": [probes["vec"].iloc[i] for i in keep], "found": [found[i] for i in keep]})
-
-    return assign, inside, across
-
-
-def nearest(points: DataFrame, k: int, leaf_size: int = LEAF) -> DataFrame:
-    """`points` has distinct `vec array<double>` and `mult bigint`, and should be materialised: it is read
-    several times.  Returns vec and `found`: up to k nearest other points as (squared distance, mult, vector),
-    ordered by distance, then vector."""
-    n = points.count()
-    wanted = min(MAX_LEAVES, max(1, math.ceil(n / leaf_size)))
-    share = min(1.0, wanted * PER_LEAF / max(1, n))
-    slots = 1_000_000
-    sampled = points.filter(F.pmod(F.xxhash64("vec"), F.lit(slots)) < F.lit(math.ceil(share * slots)))
-    rows = sampled.select("vec").collect() if wanted > 1 else points.select("vec").limit(1).collect()
-    if not rows:
-        rows = points.select("vec").limit(1).collect()
-    if not rows:
-        return points.select("vec", F.lit(None).cast(_FOUND).alias("found"))
-    tree = _build_tree([r["vec"] for r in rows], PER_LEAF)
-    assign, inside, across = _worker(tree, k)
-    placed = points.withColumn("leaf", F.pandas_udf(assign, "int")(F.col("vec")))
-    first = placed.groupBy("leaf").applyInPandas(
-        inside, f"vec array<double>, mult bigint, found {_FOUND}, reach double, targets array<int>"
-    )
-    own = first.select("vec", "found")
-    if tree[5] == 1:
-        return own
-    first = materialised(first, "leaves")
-    own = first.select("vec", "found")
-    probes = first.select("vec", "reach", F.explode("targets").alias("leaf"))
-    load = {r["leaf"]: r["n"] for r in probes.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    if not load:
-        return own
-    pieces = {at: math.ceil(c / PROBES_PER_TASK) for at, c in load.items()}
-    book = F.from_json(F.lit("{" + ",".join(f'"{a}":{c}' for a, c in pieces.items()) + "}"), "map<string,int>")
-    fan = F.coalesce(F.element_at(book, F.col("leaf").cast("string")), F.lit(0))
-    asked = probes.withColumn("piece", F.pmod(F.xxhash64("vec"), fan).cast("int"))
-    answering = (
-        placed.withColumn("fan", fan).filter(F.col("fan") > 0).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan")
-    )
-    more = asked.groupBy("leaf", "piece").cogroup(answering.groupBy("leaf", "piece")).applyInPandas(across, f"vec array<double>, found {_FOUND}")
-    merged = own.unionByName(more).groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
-    # array_sort compares structs field by field: order by distance, then vector.
-    return merged
+        import pyarrow as pa
+
+        cell = cell.combine_chunks().sort_by("id")
+        ids, x = cell.column("id").to_numpy(), _matrix(cell.column("vec").combine_chunks(), cell.num_rows)
+        square = (x**2).sum(axis=1)
+        take = min(k + 4, len(x) - 1)
+        far, of = [], []
+        step = max(1, 2_000_000 // len(x))
+        for first in range(0, len(x), step):
+            q = x[first : first + step]
+            d2 = square[first : first + step, None] + square - 2 * q @ x.T
+            d2[np.arange(len(q)), np.arange(first, first + len(q))] = np.inf
+            some = np.argpartition(d2, take - 1, axis=1)[:, :take] if take else np.empty((len(q), 0), dtype=np.int64)
+            # the sum of squares again, so that a pair has the same distance in every cell
+            exact = ((x[some] - q[:, None]) ** 2).sum(axis=2)
+            order = np.lexsort((ids[some], exact), axis=1)[:, :k]
+            far.append(np.take_along_axis(exact, order, axis=1))
+            of.append(ids[np.take_along_axis(some, order, axis=1)])
+        far, of = np.concatenate(far), np.concatenate(of)
+        pairs = pa.StructArray.from_arrays([pa.array(far.reshape(-1)), pa.array(of.reshape(-1))], names=["d", "id"])
+        near = pa.ListArray.from_arrays(pa.array(np.arange(0, far.size + 1, far.shape[1], dtype=np.int32)) if far.shape[1] else pa.array(np.zeros(len(x) + 1, dtype=np.int32)), pairs)
+        return pa.table({"id": pa.array(ids), "near": near})
+
+    return search
+
+
+def nearest(points: DataFrame, k: int, leaf_size: int = LEAF, seed: int = 42) -> DataFrame:
+    """`points` has distinct `vec array<double>` and `mult bigint`.  Returns vec and `found`: up to k near other points as
+    (squared distance, mult, vector), ordered by distance, then by a hash of the vector."""
+    known = materialised(points.select(F.xxhash64("vec").alias("id"), "vec", "mult"), "points")
+    n = known.count()
+    best: DataFrame | None = None
+    for batch in range(BATCHES):
+        placed = cells(known, n, TREES if n > leaf_size else 1, leaf_size, seed + batch)
+        found = placed.join(known.select("id", "vec"), "id").groupBy("tree", "cell").applyInArrow(_nearest_in_cell(k), f"id bigint, near {_NEAR}")
+        every = found if best is None else found.unionByName(best.select("id", "near"))
+        merged = every.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+        before, best = best, materialised(merged, "near")
+        if n <= leaf_size:
+            break
+        if before is not None:
+            changed = best.join(before.withColumnRenamed("near", "old"), "id").agg(F.count_if(F.col("near") != F.col("old"))).first()[0]
+            if changed <= SETTLED * n:
+                break
+    pairs = best.select("id", F.explode("near").alias("x")).select(F.col("id").alias("of"), "x.d", "x.id")
+    named = pairs.join(known.select("id", F.col("mult").alias("m"), F.col("vec").alias("v")), "id")
+    lists = named.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("d", "id", "m", "v"))).alias("found"))
+    short = F.transform("found", lambda f: F.struct(f["d"].alias("d"), f["m"].alias("m"), f["v"].alias("v")))
+    return known.join(lists, F.col("id") == F.col("of"), "left").select("vec", short.alias("found"))
 
 
 def neighbour_vectors(points: DataFrame, k: int, leaf_size: int = LEAF) -> DataFrame:

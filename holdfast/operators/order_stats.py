@@ -112,3 +112,18 @@ def cut_table(df: DataFrame, column: str, by: str, wanted: Sequence[Column]) ->
     rows = ranked(df.select(_key([by]).alias(_KEY), _values(df, column).alias(_V)))
     found = rows.groupBy(_KEY).agg(*[at_rank(w).alias(f"c{i}") for i, w in enumerate(wanted)])
     return found.select(F.col(f"{_KEY}.g0").alias(by), F.array(*[F.col(f"c{i}") for i in range(len(wanted))]).alias("cuts"))
+
+
+def numbered(df: DataFrame, order: Sequence[str], column: str = "number", by: Sequence[str] = ()) -> DataFrame:
+    """`df` with 0, 1, 2 ... in `order` (after `by`, and from 0 anew for each), without passing all rows through one task.
+
+    Rows are sorted by ranges and written once; a part's numbers start after the rows of the parts before it.
+    """
+    keys = [ref(c) for c in (*by, *order)]
+    parts = materialised(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "ranges")
+    # a row per part, and per value of `by` that it holds
+    sizes = parts.groupBy("__part", *[ref(c) for c in by]).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*[ref(c) for c in by]).orderBy("__part")) - F.col("__n")
+    own = F.row_number().over(Window.partitionBy("__part", *[ref(c) for c in by]).orderBy(*[ref(c) for c in order])) - 1
+    placed = parts.withColumn("__own", own).join(sizes.withColumn("__before", before).drop("__n"), ["__part", *by])
+    return placed.withColumn(column, (F.col("__own") + F.col("__before")).cast("bigint")).drop("__part", "__own", "__before")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history, revenue
-from ..sources import views
+from ..session import scratch_path
+from ..sources import accounts, versions, views
 from . import oracle_views as V
 from .dashboards import ALL_VIEWS, stacked
 from .registry import query
@@ -26,7 +27,6 @@ def _stamp(name: str = "created_at"):
 )
 def snk_append_prediction(spark: SparkSession, base: str) -> DataFrame:
     from ..functions.rules import rule_score
-    from ..session import scratch_path
     from ..sources.writers import append_log
 
     df = views.accounts(spark, base)
@@ -121,6 +121,27 @@ def cascade_delete(spark: SparkSession, base: str) -> DataFrame:
     return left.unionByName(log.select(F.lit("predictions").alias("table"), "id", "user_id"))
 
 
+@query(
+    "delete_users_stored",
+    f"""WITH {V.PREDICTIONS}, {V.USERS}, d AS (SELECT user_id FROM predictions GROUP BY 1 HAVING count(*) FILTER (risk_level = 'High Risk') < 4)
+    SELECT 2 AS version, 'users' AS "table", id, id AS user_id FROM users WHERE id NOT IN (SELECT user_id FROM d)
+    UNION ALL SELECT 2, 'predictions', id, user_id FROM predictions WHERE user_id NOT IN (SELECT user_id FROM d)
+    UNION ALL SELECT 1, 'users', id, id FROM users UNION ALL SELECT 1, 'predictions', id, user_id FROM predictions""",
+)
+def delete_users_stored(spark: SparkSession, base: str) -> DataFrame:
+    """Users and log as stored before and after a delete that commits both tables."""
+    root = scratch_path(spark, "accounts")
+    accounts.create(spark, root, views.users(spark, base), views.predictions(spark, base))
+    accounts.delete_users(spark, root, _deleted(spark, base))
+    out = None
+    for version in versions.versions(spark, root):
+        for name, user in ((accounts.USERS, "id"), (accounts.LOG, "user_id")):
+            rows = versions.read(spark, root, name, version)
+            rows = rows.select(F.lit(version).alias("version"), F.lit(name).alias("table"), "id", F.col(user).alias("user_id"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "touch_last_login",
     f"""WITH {V.USERS}, l AS (SELECT user_id, max(ts) AS at FROM events WHERE event_type = 'signup' GROUP BY 1)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.operators import clean, encode, profile, serve
+from holdfast.operators.order_stats import numbered
 
 
 def test_promotion_needs_strictly_more_than_the_threshold(spark):
@@ -106,3 +107,30 @@ def test_bulk_upload_quarantines_bad_lines(spark, tmp_path):
     assert sorted(r["id"] for r in good.collect()) == [1, 3]
     lines = bad.collect()
     assert [r["line"] for r in lines] == ["2,oops"] and lines[0]["source_file"].endswith("a.csv")
+
+
+def test_wide_text_column_becomes_a_sparse_vector(spark):
+    df = spark.range(60_000).select(
+        "id", (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 7).cast("double").alias("x"),
+        F.when(F.col("id") % 11 == 0, None).otherwise(F.concat(F.lit("c"), F.lpad((F.col("id") * 7919 % 50_000).cast("string"), 5, "0"))).alias("city"),
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("kind"),
+    )
+    prep = encode.fit_preparation(df, target="label", drop=["id"], max_levels=1000)
+    levels = sorted({r["city"] for r in df.select("city").distinct().collect()} - {None})
+    assert prep.wide == {"city": len(levels)} and prep.features == ["x", "kind_b", "city_levels"]
+    sample = df.filter("id % 997 = 0").unionByName(spark.createDataFrame([(-1, 0.0, 1.0, "never seen", "a")], df.schema))
+    for r in prep.transform(sample.withColumn("was", F.col("city")), keep=["id", "was"]).collect():
+        place = levels.index(r["was"] or prep.text_fill["city"]) if r["was"] != "never seen" else 0
+        v = r["city_levels"]
+        assert v.size == len(levels) - 1 and v.indices.tolist() == ([place - 1] if place else []) and v.numNonzeros() == (place > 0)
+    again = encode.Preparation.from_json(prep.to_json())
+    assert again.transform(sample, keep=["id"]).count() == sample.count()
+
+
+def test_numbered_counts_on_over_parts(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("v"), F.when(F.col("id") % 10 < 7, "hot").otherwise(F.col("id").cast("string")).alias("g")).repartition(7)
+    by_group: dict = {}
+    for r in numbered(df, ["v"], by=["g"]).collect():
+        by_group.setdefault(r["g"], []).append((r["v"], r["number"]))
+    assert all([n for _, n in sorted(rows)] == list(range(len(rows))) for rows in by_group.values())
+    assert [r["number"] for r in numbered(df, ["v"]).orderBy("v").collect()] == list(range(1000))

@@ -202,3 +202,19 @@ def test_training_saving_scoring(spark, rows, tmp_path):
     assert status == {"ok": "ready", "none": "not trained"}
     with pytest.raises(FileNotFoundError):
         store.load_model(spark, str(tmp_path), "none")
+
+
+def test_interrupted_save_leaves_the_model_before_ready(spark, rows, tmp_path, monkeypatch):
+    raw = rows.withColumn("left", F.when(F.col("label") == 1, "Yes").otherwise("No")).drop("label")
+    t = models.train_industry(raw, "ok", "left", {"Yes": 1, "No": 0}, [], "id", models.clf_logreg(5), balance="none")
+    root = str(tmp_path)
+    assert store.save_model(spark, root, "ok", "First", t.model, t.prep, {"n": 1}) == 1
+    with monkeypatch.context() as m:
+        m.setattr(store.versions, "publish", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError, match="stopped"):
+            store.save_model(spark, root, "ok", "Second", t.model, t.prep, {"n": 2})
+    assert store.load_model(spark, root, "ok")[2] == {"n": 1}
+    assert store.save_model(spark, root, "ok", "Third", t.model, t.prep, {"n": 3}) == 2
+    line = store.model_registry(spark, root, ["ok"]).first()
+    assert (line["name"], line["status"], line["version"]) == ("Third", "ready", 2)
+    assert store.load_model(spark, root, "ok", version=1)[2] == {"n": 1}

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from holdfast.operators import dashboard, history, revenue, segments
@@ -13,6 +15,9 @@ def tried_one_by_one(existing, batch):
             names.add(u)
             mails.add(e)
             ok.append(seq)
+        # a null key is never taken
+        names.discard(None)
+        mails.discard(None)
     return ok
 
 
@@ -26,6 +31,40 @@ def test_insert_if_unique_equals_sequential_attempts(spark):
     assert got == tried_one_by_one(existing, batch)
 
 
+@pytest.mark.parametrize("in_order", [3, 40, 1000])
+def test_insert_if_unique_in_components_of_any_size(spark, in_order):
+    rng = random.Random(in_order)
+    existing = [("u0", "e0")]
+    pairs = [(f"u{rng.randrange(60)}" if i % 4 else None, f"e{rng.randrange(70)}" if i % 5 else None) for i in range(90)]
+    pairs += [(f"c{i // 2}", f"d{(i + 1) // 2}") for i in range(30)] + [("hot", f"h{i}") for i in range(30)] + [(f"s{i}", f"t{i}") for i in range(10)]
+    rng.shuffle(pairs)
+    batch = [(i, *p) for i, p in enumerate(pairs)]
+    old = spark.createDataFrame(existing, "username string, email string")
+    new = spark.createDataFrame(batch, "seq int, username string, email string").repartition(4)
+    got = sorted(r["seq"] for r in history.insert_if_unique(old, new, "seq", in_order=in_order).collect())
+    assert got == tried_one_by_one(existing, batch)
+
+
+def test_chain_of_conflicts_takes_few_jobs(spark):
+    batch = [(i, f"u{i // 2}", f"e{(i + 1) // 2}") for i in range(1000)]
+    old = spark.createDataFrame([], "username string, email string")
+    new = spark.createDataFrame(batch, "seq int, username string, email string")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        got = sorted(r["seq"] for r in history.insert_if_unique(old, new, "seq").collect())
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == tried_one_by_one([], batch) and jobs < 20
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(k * 37 % 101, (k + 1) * 37 % 101) for k in range(60)] + [(500, 501), (7, 7)], "a bigint, b bigint")
+    labels = {r["node"]: r["label"] for r in history.connected(edges).collect()}
+    path = {k * 37 % 101 for k in range(61)}
+    assert len({labels[k] for k in path}) == 1 and labels[500] == labels[501] != labels[37]
+
+
 def test_join_keeps_idle_users(spark):
     users = spark.createDataFrame([(1, "a"), (2, "b")], "id int, username string")
     log = spark.createDataFrame([(10, 1), (11, 1)], "id int, user_id int")
