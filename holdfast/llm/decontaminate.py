@@ -33,13 +33,14 @@ WIDTH = 10
 BLOCK_ITEMS = 20_000
 BLOCK_WORDS = 1_000_000
 
-FOUND = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField("items", T.ArrayType(T.LongType())),
-    ]
-)
+_FOUND = ("n_words", "hits", "items")
+
+
+def found_fields(ids: T.DataType) -> list[T.StructField]:
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    return [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(span)), T.StructField("items", T.ArrayType(ids))]
+
+
 _HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -49,14 +50,14 @@ class Table(NamedTuple):
     length: int
     block: int
     shift: np.ndarray
-    buckets: dict[tuple[int, int], list[tuple[tuple[bytes, ...], list[int]]]]
+    buckets: dict[tuple[int, int], list[tuple[tuple[bytes, ...], list]]]
 
 
 def block_hashes(hashes: np.ndarray, block: int) -> np.ndarray:
     return hashes if block == 1 else mix(hashes[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[1:])
 
 
-def build_tables(items: list[tuple[int | None, bytes]], width: int) -> list[Table]:
+def build_tables(items: list[tuple[int | str | None, bytes]], width: int) -> list[Table]:
     words = split_words([t for _, t in items], NOT_ALNUM, lower=True)
     hashes, raw = word_hashes(words), words.data.tobytes()
     windows: dict[int, dict[tuple[bytes, ...], tuple[int, set]]] = {}
@@ -84,13 +85,13 @@ def build_tables(items: list[tuple[int | None, bytes]], width: int) -> list[Tabl
     return tables
 
 
-def search(tables: list[Table], texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], list[int]]]:
+def search(tables: list[Table], texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], list]]:
     """For each text: number of words, hit runs of words, items with an occurrence."""
     words = split_words(texts, NOT_ALNUM, lower=True)
     hashes, raw = word_hashes(words), words.data.tobytes()
     first = words.first.tolist()
     hits: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[int]] = [set() for _ in texts]
+    items: list[set] = [set() for _ in texts]
     for length, block, shift, buckets in tables:
         last = length - block
         if len(hashes) < length:
@@ -125,10 +126,15 @@ def merged(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_items: int, block_words: int) -> Iterator[list[tuple[int | None, bytes]]]:
+def id_type(benchmark: DataFrame, item_id: str) -> T.DataType:
+    """Whole numbers stay numbers, other ids are text."""
+    return T.LongType() if isinstance(benchmark.schema[item_id].dataType, T.IntegralType) else T.StringType()
+
+
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_items: int, block_words: int) -> Iterator[list[tuple[int | str | None, bytes]]]:
     """The items in blocks of bounded size, streamed to the driver partition by partition."""
-    rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null").distinct()
-    block: list[tuple[int | None, bytes]] = []
+    rows = benchmark.select(F.col(item_id).cast(id_type(benchmark, item_id)).alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null").distinct()
+    block: list[tuple[int | str | None, bytes]] = []
     held = 0
     for row in rows.toLocalIterator():
         data = row["t"].encode()
@@ -146,18 +152,20 @@ def find_benchmark(
     block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """`docs` with n_words, hits (runs of words inside an occurrence, end exclusive) and items (ids, ascending)."""
-    df = docs.drop(*[f.name for f in FOUND])
+    df = docs.drop(*_FOUND)
+    ids = id_type(benchmark, item_id)
     for k, block in enumerate(item_blocks(benchmark, item_id, item_text, block_items, block_words)):
         if k:
             df = written(df, "decontaminate")
-        df = _pass(df, block, text, width)
+        df = _pass(df, block, text, width, ids)
     return df
 
 
-def _pass(df: DataFrame, block: list[tuple[int | None, bytes]], text: str, width: int) -> DataFrame:
+def _pass(df: DataFrame, block: list[tuple[int | str | None, bytes]], text: str, width: int, ids: T.DataType) -> DataFrame:
     earlier = "items" in df.columns and "hits" in df.columns and "n_words" in df.columns
-    kept = [c for c in df.columns if not (earlier and c in FOUND.names)]
-    schema = T.StructType([df.schema[c] for c in kept] + list(FOUND))
+    kept = [c for c in df.columns if not (earlier and c in _FOUND)]
+    schema = T.StructType([df.schema[c] for c in kept] + found_fields(ids))
+    listed = pa.list_(pa.int64() if ids == T.LongType() else pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = build_tables(block, width)
@@ -166,14 +174,14 @@ def _pass(df: DataFrame, block: list[tuple[int | None, bytes]], text: str, width
             if earlier:
                 before = zip(part.column("hits").to_pylist(), part.column("items").to_pylist(), strict=True)
                 found = [
-                    (n, merged(hits + [(h["start"], h["end"]) for h in old]), sorted({*items, *ids}))
-                    for (n, hits, items), (old, ids) in zip(found, before, strict=True)
+                    (n, merged(hits + [(h["start"], h["end"]) for h in old]), sorted({*items, *more}))
+                    for (n, hits, items), (old, more) in zip(found, before, strict=True)
                 ]
             columns = [part.column(c) for c in kept]
             columns.append(pa.array([n for n, _, _ in found], pa.int64()))
             columns.append(pa.array([[{"start": a, "end": b} for a, b in hits] for _, hits, _ in found], _HITS))
-            columns.append(pa.array([items for _, _, items in found], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *FOUND.names])
+            columns.append(pa.array([items for _, _, items in found], listed))
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *_FOUND])
 
     return df.mapInArrow(run, schema)
 

@@ -145,7 +145,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_vector_search")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20).drop("row")
 
 
 @query("op7_pii")

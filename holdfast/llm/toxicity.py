@@ -89,9 +89,10 @@ def maximal_segments(positions: list[int], scores: list[float], drift: float) ->
     """All maximal scoring segments (first word, last word, score): words not listed score -drift.
 
     Candidates are kept with the running total before and after them; each new one merges with earlier candidates whose total
-    before is smaller, as long as its own total after is larger.
+    before is smaller, as long as its own total after is larger.  Each knows the nearest earlier one whose total before is
+    smaller, and all between are passed over at once, so the scan is linear.
     """
-    out: list[tuple[float, float, int, int]] = []
+    out: list[tuple[float, float, int, int, int]] = []
     total, at = 0.0, 0
     for p, s in zip(positions, scores, strict=True):
         total -= drift * (p - at)
@@ -99,16 +100,17 @@ def maximal_segments(positions: list[int], scores: list[float], drift: float) ->
         if s <= 0:
             continue
         low, high, first = before, total, p
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][0] >= low:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][1] >= high:
-                out.append((low, high, first, p))
+                out.append((low, high, first, p, j))
                 break
-            low, _, first, _ = out[j]
+            low, _, first, _, earlier = out[j]
             del out[j:]
-    return [(first, last, high - low) for low, high, first, last in out]
+            j = earlier
+    return [(first, last, high - low) for low, high, first, last, _ in out]
 
 
 class Scanner:

@@ -103,23 +103,24 @@ def usable(embedding: Column) -> Column:
 
 
 def packed(rows: DataFrame, group: str) -> DataFrame:
-    """A row per group: ids and vectors as bytes."""
+    """A row per group: ids, rows (a hash of the vector) and vectors as bytes."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        ids = t.column("vec_id").to_numpy().astype("<i8")
-        order = np.argsort(ids, kind="stable")
+        ids, row = (t.column(c).to_numpy().astype("<i8") for c in ("vec_id", "row"))
+        order = np.lexsort((row, ids))
         flat = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(len(ids), -1)
-        return pa.table({group: pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "vectors": pa.array([flat[order].tobytes()], pa.binary())})
+        columns = {"ids": ids[order], "rows": row[order], "vectors": flat[order]}
+        return pa.table({group: pa.array([key[0].as_py()], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in columns.items()}})
 
-    return rows.groupBy(group).applyInArrow(run, f"{group} int, ids binary, vectors binary")
+    return rows.groupBy(group).applyInArrow(run, f"{group} int, ids binary, rows binary, vectors binary")
 
 
 def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_block(hasher: Hasher, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, longest: float, k: int, visits: int, exhaustive: bool):
-    """(query, id, score, visit) of the best k of each query among its candidates (all vectors, if exhaustive; without visits
+def search_block(hasher: Hasher, q_ids: np.ndarray, q_rows: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, longest: float, k: int, visits: int, exhaustive: bool):
+    """(query, its row, id, score, visit) of the best k of each query among its candidates (all vectors, if exhaustive; without visits
     nothing is hashed then)."""
     lifted_v, unit_q = lifted(vectors, longest), unit(queries)
     never = np.int32(1 << 30)
@@ -148,42 +149,43 @@ def search_block(hasher: Hasher, q_ids: np.ndarray, queries: np.ndarray, ids: np
             found, own = found[close], own[close]
         exact = (own * queries[i]).sum(axis=1)
         best = top(exact, ids[found], k)
-        yield from zip(itertools.repeat(int(q_ids[i])), ids[found[best]].tolist(), exact[best].tolist(), reached[i, found[best]].tolist())
+        yield from zip(itertools.repeat(int(q_ids[i])), itertools.repeat(int(q_rows[i])), ids[found[best]].tolist(), exact[best].tolist(), reached[i, found[best]].tolist())
 
 
 def met(shards: DataFrame, blocks: DataFrame, n_shards: int, dim: int, longest: float, k: int, visits: int, exhaustive: bool) -> DataFrame:
-    """(query_id, vec_id, score, visit): the best k of each query in each shard."""
-    everywhere = blocks.select(F.col("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
-    pairs = shards.join(everywhere.repartition("shard"), "shard").drop("shard")
+    """(query_id, row, vec_id, score, visit): the best k of each query in each shard."""
+    everywhere = blocks.select(F.col("block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
+    pairs = shards.drop("rows").join(everywhere.repartition("shard"), "shard").drop("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(dim)
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {c: batch.column(c)[row].as_buffer() for c in ("ids", "vectors", "q_ids", "q_vectors")}
+                one = {c: batch.column(c)[row].as_buffer() for c in ("ids", "vectors", "q_ids", "q_rows", "q_vectors")}
                 read = lambda c, kind: np.frombuffer(one[c], dtype=kind)  # noqa: B023, E731
-                found = list(search_block(hasher, read("q_ids", "<i8"), read("q_vectors", "<f8").reshape(-1, dim), read("ids", "<i8"), read("vectors", "<f8").reshape(-1, dim), longest, k, visits, exhaustive))
-                columns = list(zip(*found, strict=True)) if found else [(), (), (), ()]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([int(x) if kind != pa.float64() else x for x in c], kind) for c, kind in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score", "visit"])
+                found = list(search_block(hasher, read("q_ids", "<i8"), read("q_rows", "<i8"), read("q_vectors", "<f8").reshape(-1, dim), read("ids", "<i8"), read("vectors", "<f8").reshape(-1, dim), longest, k, visits, exhaustive))
+                columns = list(zip(*found, strict=True)) if found else [()] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([int(x) if kind != pa.float64() else x for x in c], kind) for c, kind in zip(columns, kinds, strict=True)], names=["query_id", "row", "vec_id", "score", "visit"])
 
-    return pairs.mapInArrow(run, "query_id long, vec_id long, score double, visit int")
+    return pairs.mapInArrow(run, "query_id long, row long, vec_id long, score double, visit int")
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id", "row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest k found for each row with `is_query` (a condition on vec_id)."""
+    """query_id, row (a hash of its vector), rank, vec_id, score: the nearest k found for each different row (id and vector) with
+    `is_query` (a condition on vec_id)."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).filter("vec_id is not null").filter(usable(F.col("embedding")))
-    rows = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    rows = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).withColumn("row", F.xxhash64("embedding"))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     lengths = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("longest"), F.count(F.when(is_query, 1)).alias("queries"))
     kind = lengths.orderBy(F.col("n").desc(), "dim").first()
     if kind is None or not kind["queries"]:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return vectors.sparkSession.createDataFrame([], "query_id long, row long, rank int, vec_id long, score double")
     dim, longest = kind["dim"], float(kind["longest"])
     rows = rows.filter(F.size("embedding") == dim)
     per = lambda most: max(64, min(most, BLOCK_BYTES // (8 * dim)))
@@ -191,7 +193,8 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embe
     spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "vec_id", "embedding"), F.lit(n_shards)).cast("int"))
     shards = written(packed(dealt, "shard"), "vector_shards")
-    asked = rows.filter(is_query).withColumn("block", spread(2, n_blocks))
+    # a query given twice is one
+    asked = rows.filter(is_query).dropDuplicates(["vec_id", "row"]).withColumn("block", spread(2, n_blocks))
     blocks = written(packed(asked, "block"), "vector_queries")
     visits = 0
     if kind["n"] > k + 1:
@@ -204,20 +207,23 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embe
         visits = needed if needed <= most else 0
     found = best_of(met(shards, blocks, n_shards, dim, longest, k, visits, not visits), k)
     if visits:
-        found = completed(written(found, "vector_found"), asked, shards, n_shards, dim, longest, k, kind["n"], per(QUERY_ROWS))
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        found = completed(written(found, "vector_found"), asked, rows, shards, n_shards, dim, longest, k, kind["n"], per(QUERY_ROWS))
+    return found.select("query_id", "row", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def completed(found: DataFrame, asked: DataFrame, shards: DataFrame, n_shards: int, dim: int, longest: float, k: int, n: int, block_rows: int) -> DataFrame:
+def completed(
+    found: DataFrame, asked: DataFrame, every: DataFrame, shards: DataFrame, n_shards: int, dim: int, longest: float, k: int, n: int, block_rows: int
+) -> DataFrame:
     """`found` with the queries that have fewer rows than k and than candidates answered by brute force."""
-    own = asked.groupBy("vec_id").agg(F.count("*").alias("m"))
-    rows = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("rows"))
-    few = F.coalesce("rows", F.lit(0)) < F.least(F.lit(k), F.col("m") * (F.lit(n) - F.col("m")))
-    short = written(own.join(rows, "vec_id", "left").filter(few).select("vec_id", "m"), "vector_short")
-    count = short.agg(F.sum("m")).first()[0]
+    own = every.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("m"))
+    rows = found.groupBy(F.col("query_id").alias("vec_id"), "row").agg(F.count("*").alias("rows"))
+    few = F.coalesce("rows", F.lit(0)) < F.least(F.lit(k), F.lit(n) - F.col("m"))
+    keyed = asked.select("vec_id", "row").join(own, "vec_id").join(rows, ["vec_id", "row"], "left")
+    short = written(keyed.filter(few).select("vec_id", "row"), "vector_short")
+    count = short.count()
     if not count:
         return found
     n_blocks = -(-count // block_rows)
-    again = asked.join(short.select("vec_id"), "vec_id", "left_semi").withColumn("block", F.pmod(F.xxhash64(F.lit(4), "vec_id"), F.lit(n_blocks)).cast("int"))
+    again = asked.join(short, ["vec_id", "row"], "left_semi").withColumn("block", F.pmod(F.xxhash64(F.lit(4), "vec_id"), F.lit(n_blocks)).cast("int"))
     exact = best_of(met(shards, written(packed(again, "block"), "vector_queries"), n_shards, dim, longest, k, 0, True), k)
-    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(exact)
+    return found.join(short.select(F.col("vec_id").alias("query_id"), "row"), ["query_id", "row"], "left_anti").unionByName(exact)

@@ -77,10 +77,11 @@ def brute(rows, k):
 
 
 def found(df, k=20):
-    out = defaultdict(list)
-    for r in sorted(vector_search.search(df, F.col("vec_id") % 20 == 0, k=k).collect(), key=lambda r: (r.query_id, r.rank)):
+    out, ranks = defaultdict(list), defaultdict(list)
+    for r in sorted(vector_search.search(df, F.col("vec_id") % 20 == 0, k=k).collect(), key=lambda r: (r.query_id, r.row, r.rank)):
         out[r.query_id].append((r.vec_id, r.score))
-        assert r.rank == len(out[r.query_id])
+        ranks[r.query_id, r.row].append(r.rank)
+    assert all(x == list(range(1, len(x) + 1)) for x in ranks.values())
     return dict(out)
 
 
@@ -136,3 +137,21 @@ def test_one_very_long_vector(spark):
 
 def test_no_vectors(spark):
     assert found(spark.createDataFrame([], "vec_id long, embedding array<float>")) == {}
+
+
+def test_repeated_query_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(1, 60)]
+    other = rng.normal(size=8).tolist()
+    same = rows[19]
+    df = spark.createDataFrame([*rows, same, same, (40, other)], "vec_id long, embedding array<double>")
+    got = found(df, 5)
+    # given thrice, the row is one query; rows of its own id are no neighbours
+    scored = sorted((-float(np.dot(v, same[1])), i) for i, v in [*rows, (40, other)] if i != 20)
+    assert [i for i, _ in got[20]] == [i for _, i in scored[:5]]
+    # two vectors of one id are two queries
+    want = []
+    for x in (rows[39][1], other):
+        near = sorted((-float(np.dot(v, x)), i) for i, v in [*rows, same, same] if i != 40)
+        want += [i for _, i in near[:5]]
+    assert sorted(i for i, _ in got[40]) == sorted(want)
