@@ -31,10 +31,18 @@ NETWORK_LAYERS = (64, 32, 16, 2)
 
 
 def clf_logreg(max_iter: int = 1000, c: float = 1.0, rows: int | None = None, weight: str | None = None) -> LogisticRegression:
-    """L2 penalty.  With the number of training rows given, `c` is turned into MLlib's per-row penalty."""
-    reg = 1.0 / (c * rows) if rows else 0.0
-    model = LogisticRegression(maxIter=max_iter, regParam=reg, elasticNetParam=0.0, standardization=False)
-    return model.setWeightCol(weight) if weight else model
+    """L2 penalty.  `c` becomes MLlib's per-row penalty by the number of training rows, given here or counted by `fitted`."""
+    model = LogisticRegression(maxIter=max_iter, elasticNetParam=0.0, standardization=False)
+    return per_row(model.setWeightCol(weight) if weight else model, "regParam", 1.0 / c, rows)
+
+
+def per_row(estimator: Estimator, name: str, value: float, rows: int | None) -> Estimator:
+    """The parameter set to value / rows; without a number of rows, `fitted` does that for the rows it gets."""
+    if rows:
+        estimator.set(estimator.getParam(name), value / rows)
+    else:
+        estimator.per_row = (name, value)
+    return estimator
 
 
 def clf_forest(trees: int = 200, depth: int = 10, min_rows: int = 2, seed: int = 42, weight: str | None = None) -> RandomForestClassifier:
@@ -46,13 +54,13 @@ def clf_boost(
     rounds: int = 300, depth: int = 5, rate: float = 0.05, subsample: float = 0.8, columns: str = "0.8", min_rows: int = 3,
     gamma: float = 0.1, rows: int | None = None, seed: int = 42, weight: str | None = None,
 ) -> GBTClassifier:
-    """`gamma` is the least gain of a split summed over all training rows; MLlib wants it per row, so it needs their number."""
-    min_gain = gamma / rows if rows else 0.0
+    """`gamma` is the least gain of a split summed over all training rows; MLlib wants it per row, so it is divided by their
+    number, given here or counted by `fitted`."""
     model = GBTClassifier(
         maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=columns,
-        minInstancesPerNode=min_rows, minInfoGain=min_gain, seed=seed,
+        minInstancesPerNode=min_rows, seed=seed,
     )
-    return model.setWeightCol(weight) if weight else model
+    return per_row(model.setWeightCol(weight) if weight else model, "minInfoGain", gamma, rows)
 
 
 def clf_mlp(n_features: int, max_iter: int = 50, layers: Sequence[int] = NETWORK_LAYERS, seed: int = 42) -> MultilayerPerceptronClassifier:
@@ -75,6 +83,9 @@ def fitted(estimator: Estimator, rows: DataFrame, features: Sequence[str], key:
         estimator = estimator.copy({estimator.getParam("weightCol"): weight})
     elif weight:
         rows = oversample(rows, key, label)
+    name, value = getattr(estimator, "per_row", (None, None))
+    if name:
+        estimator = estimator.copy({estimator.getParam(name): value / max(1, rows.count())})
     return assembled(features, estimator).fit(rows)
 
 
@@ -139,6 +150,41 @@ def cross_val(
     return df.sparkSession.createDataFrame([(i, a) for i, a in enumerate(found)], "fold int, auc double")
 
 
+def prefix_scores(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str], rounds: Sequence[int]) -> DataFrame:
+    """`keep` and, for each number of rounds m, the probability `score_m` of the model's first m trees."""
+    from .explain import tree_arrays
+
+    trees = tree_arrays(model)
+    wanted = sorted(set(rounds))
+    if wanted[0] < 1 or wanted[-1] > len(trees):
+        raise ValueError(f"{len(trees)} rounds were fitted, asked for {wanted}")
+    n = len(features)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        arrays = [{c: np.array(t[c]) for c in ("left", "right", "feature", "cut", "value")} | {"weight": t["weight"]} for t in trees[: wanted[-1]]]
+        for batch in batches:
+            x = np.stack([batch.column(f"__f{i}").to_numpy(zero_copy_only=False) for i in range(n)], axis=1) if batch.num_rows else np.empty((0, n))
+            margin, scores = np.zeros(len(x)), []
+            for number, t in enumerate(arrays, 1):
+                node = np.zeros(len(x), dtype=np.int64)
+                inner = np.flatnonzero(t["left"][node] >= 0)
+                while len(inner):
+                    at = node[inner]
+                    node[inner] = np.where(x[inner, t["feature"][at]] <= t["cut"][at], t["left"][at], t["right"][at])
+                    inner = inner[t["left"][node[inner]] >= 0]
+                margin += t["weight"] * t["value"][node]
+                if number in wanted:
+                    scores.append(pa.array(1 / (1 + np.exp(-margin))))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *scores], names=[*keep, *[f"score_{m}" for m in wanted]])
+
+    inputs = df.select(*[ref(c) for c in keep], *[ref(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[ref(c) for c in keep]).schema]
+    return inputs.mapInArrow(run, ", ".join([*fields, *[f"score_{m} double" for m in wanted]]))
+
+
 def grid_points(grid: Mapping[str, Iterable]) -> list[dict]:
     names = list(grid)
     return [dict(zip(names, values)) for values in itertools.product(*grid.values())]
@@ -150,25 +196,42 @@ def grid_search(
 ) -> tuple[DataFrame, dict]:
     """All combinations by mean fold AUC: (table of results, best parameters).  First combination wins ties.
 
-    The fits of all combinations and folds are independent Spark jobs, a few of which run at a time.
+    The fits of all combinations and folds are independent Spark jobs, a few of which run at a time.  Boosting adds tree after
+    tree, so of combinations that differ in the number of rounds only the longest is fitted: its first rounds are the others.
     """
     points = grid_points(grid)
+    # fits by what they share: {other parameters: [(point, rounds)]}
+    fits: dict[tuple, list[tuple[int, int | None]]] = {}
+    for p, point in enumerate(points):
+        rounds = point.get("maxIter") if isinstance(base, GBTClassifier) else None
+        rest = tuple(sorted((n, v) for n, v in point.items() if rounds is None or n != "maxIter"))
+        fits.setdefault(rest, []).append((p, rounds))
     folded = kfold_assign(df, key, k, label=label, exact=True).persist()
     parts: dict[int, DataFrame] = {}
+    aucs: dict[tuple[int, int], float | None] = {}
     try:
         for i in range(k):
             rows, weight = rebalance(folded.filter(F.col("fold") != i), features, key, balance, label)
             parts[i] = rows.persist()
 
-        def one(job: tuple[int, int]) -> float | None:
-            p, i = job
-            est = base.copy({base.getParam(n): v for n, v in points[p].items()})
+        def one(job: tuple[tuple, int]) -> None:
+            rest, i = job
+            wanted = fits[rest]
+            chosen = dict(rest) | ({"maxIter": max(m for _, m in wanted)} if wanted[0][1] is not None else {})
+            est = base.copy({base.getParam(n): v for n, v in chosen.items()})
             model = fitted(est, parts[i], features, key, "weight" if "weight" in parts[i].columns else None, label)
-            return roc_auc(with_scores(model, folded.filter(F.col("fold") == i), [label]), label).first()["auc"]
-
-        jobs = [(p, i) for p in range(len(points)) for i in range(k)]
+            test = folded.filter(F.col("fold") == i)
+            if len(wanted) == 1:
+                aucs[(wanted[0][0], i)] = roc_auc(with_scores(model, test, [label]), label).first()["auc"]
+                return
+            scored = prefix_scores(model, test, features, [label], [m for _, m in wanted]).persist()
+            for p, m in wanted:
+                aucs[(p, i)] = roc_auc(scored.select(ref(label), F.col(f"score_{m}").alias("score")), label).first()["auc"]
+            scored.unpersist()
+
+        jobs = [(rest, i) for rest in fits for i in range(k)]
         with ThreadPoolExecutor(parallelism) as pool:
-            aucs = dict(zip(jobs, pool.map(one, jobs)))
+            list(pool.map(one, jobs))
     finally:
         folded.unpersist()
         for rows in parts.values():

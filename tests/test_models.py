@@ -218,3 +218,55 @@ def test_interrupted_save_leaves_the_model_before_ready(spark, rows, tmp_path, m
     line = store.model_registry(spark, root, ["ok"]).first()
     assert (line["name"], line["status"], line["version"]) == ("Third", "ready", 2)
     assert store.load_model(spark, root, "ok", version=1)[2] == {"n": 1}
+
+
+def test_first_rounds_of_a_longer_fit_are_the_shorter_fit(spark, rows):
+    long = models.fitted(models.clf_boost(9, 3, 0.2), rows, FEATURES, "id", None)
+    scored = models.prefix_scores(long, rows, FEATURES, ["id"], [4, 9]).toPandas().set_index("id").sort_index()
+    for m in (4, 9):
+        short = models.fitted(models.clf_boost(m, 3, 0.2), rows, FEATURES, "id", None)
+        want = models.with_scores(short, rows, ["id"]).toPandas().set_index("id").sort_index()
+        assert scored[f"score_{m}"].to_numpy() == pytest.approx(want["score"].to_numpy(), abs=1e-9)
+    with pytest.raises(ValueError, match="9 rounds"):
+        models.prefix_scores(long, rows, FEATURES, ["id"], [10])
+
+
+def test_grid_fits_the_longest_of_each_combination_only(spark, rows, monkeypatch):
+    made = []
+    real = models.fitted
+    monkeypatch.setattr(models, "fitted", lambda est, *a: made.append(est.getMaxIter()) or real(est, *a))
+    grid = {"maxIter": [2, 5], "maxDepth": [2, 3]}
+    table, _ = models.grid_search(models.clf_boost(seed=7), grid, rows, FEATURES, "id", 2)
+    assert sorted(made) == [5] * 4 and table.count() == 4
+    alone, _ = models.grid_search(models.clf_boost(seed=7), {"maxIter": [2], "maxDepth": [2, 3]}, rows, FEATURES, "id", 2)
+    got = {r["parameters"]: r["mean_auc"] for r in table.collect()}
+    assert all(got[r["parameters"]] == pytest.approx(r["mean_auc"], abs=1e-9) for r in alone.collect())
+
+
+def test_penalties_count_the_rows_of_the_fit(spark, rows):
+    n = rows.count()
+    boost = models.fitted(models.clf_boost(1, 2), rows, FEATURES, "id", None).stages[-1]
+    assert boost.getMinInfoGain() == pytest.approx(0.1 / n)
+    assert models.fitted(models.clf_logreg(5, c=0.5), rows, FEATURES, "id", None).stages[-1].getRegParam() == pytest.approx(2.0 / n)
+    assert models.clf_boost(rows=50).getMinInfoGain() == pytest.approx(0.1 / 50)
+
+
+def test_near_neighbours_in_many_dimensions(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(2500, 20)), (rng.random((500, 20)) < 0.4).astype(float)])
+    x = np.unique(x, axis=0)
+    df = spark.createDataFrame([(r.tolist(), 1) for r in x], "vec array<double>, mult bigint")
+    got = {tuple(r["vec"]): [f["d"] for f in r["found"]] for r in neighbours.nearest(df, 5, leaf_size=400).collect()}
+    hits = 0
+    for i in range(0, len(x), 20):
+        want = np.sort(((x - x[i]) ** 2).sum(axis=1))[1:6]
+        found = got[tuple(x[i].tolist())]
+        assert len(found) == 5 and found == sorted(found)
+        hits += int((np.array(found) <= want[-1] + 1e-9).sum())
+    assert hits >= 0.9 * 5 * len(range(0, len(x), 20))
+
+
+def test_neighbours_of_few_points(spark):
+    assert neighbours.nearest(spark.createDataFrame([], "vec array<double>, mult bigint"), 3).collect() == []
+    one = spark.createDataFrame([([1.0, 2.0], 3)], "vec array<double>, mult bigint")
+    assert [r["near"] for r in neighbours.neighbour_vectors(one, 3).collect()] == [[[1.0, 2.0]] * 2]
