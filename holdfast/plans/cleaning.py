@@ -232,6 +232,29 @@ def levels_fit(spark: SparkSession, base: str) -> DataFrame:
     return spark.createDataFrame([(c, ";".join(v)) for c, v in found.items()], "column string, levels string")
 
 
+@query(
+    "levels_wide",
+    f"""WITH {V.ACCOUNTS}, l AS (SELECT DISTINCT "customerID" AS value FROM accounts) SELECT 'customerID' AS "column", value, row_number() OVER (ORDER BY value) - 1 AS index FROM l""",
+)
+def levels_wide(spark: SparkSession, base: str) -> DataFrame:
+    """The index of a column with a level per account, which stays a table."""
+    return encode.level_index(views.accounts(spark, base), [ID]).select("column", "value", "index")
+
+
+@query(
+    "onehot_wide",
+    f"""WITH {V.ACCOUNTS}, l AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT "customerID" AS value FROM accounts))
+    SELECT "customerID", k - 1 AS size, CASE WHEN i > 0 THEN i - 1 ELSE -1 END AS place FROM accounts JOIN l ON value = "customerID\"""",
+)
+def onehot_wide(spark: SparkSession, base: str) -> DataFrame:
+    """Sparse vectors of that column: their size, and the place of the one in them."""
+    df = views.accounts(spark, base).select(ID)
+    index = encode.level_index(df, [ID])
+    vectors = encode.sparse_onehot(df, index, {ID: index.count()})
+    shown = F.udf(lambda v: (v.size, int(v.indices[0]) if len(v.indices) else -1), "size bigint, place bigint")
+    return vectors.select(ID, shown(f"{ID}_levels").alias("v")).select(ID, "v.size", "v.place")
+
+
 @query(
     "onehot_encode",
     f"""WITH {V.ACCOUNTS} SELECT "customerID", ("InternetService" = 'Fiber optic')::INTEGER::DOUBLE AS "InternetService_Fiber optic",

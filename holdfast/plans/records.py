@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import history, revenue
+from ..functions.text import parse_money
+from ..operators import daily, history, revenue
 from ..session import scratch_path
 from ..sources import accounts, versions, views
 from . import oracle_views as V
@@ -72,6 +73,41 @@ def history_summary(spark: SparkSession, base: str) -> DataFrame:
     return history.history_summary(views.predictions(spark, base))
 
 
+@query(
+    "history_summary_daily",
+    f"""WITH {V.PREDICTIONS} SELECT user_id, count(*) AS total, count(*) FILTER (prediction = 'CHURN') AS churn, count(*) FILTER (prediction = 'STAY') AS stay,
+      count(*) FILTER (risk_level = 'High Risk') AS high_risk FROM predictions GROUP BY 1""",
+)
+def history_summary_daily(spark: SparkSession, base: str) -> DataFrame:
+    """The same from stored parts of each day."""
+    path = scratch_path(spark, "day-counts")
+    parts = daily.day_counts(views.predictions(spark, base).withColumn("date", F.date_format("created_at", "yyyy-MM-dd")))
+    daily.store_days(parts, path)
+    return daily.total_counts(daily.stored_days(spark, path, parts.schema))
+
+
+@query(
+    "describe_daily",
+    f"""WITH {V.PREDICTIONS}, c AS (SELECT churn_probability AS p, replace(replace(monthly_charges, '$', ''), ',', '')::DOUBLE AS m FROM predictions)
+    SELECT 'churn_probability' AS "column", count(p) AS n, round(avg(p), 9) AS mean, min(p) AS low, max(p) AS high, true AS near FROM c
+    UNION ALL SELECT 'monthly_charges', count(m), round(avg(m), 9), min(m), max(m), true FROM c""",
+)
+def describe_daily(spark: SparkSession, base: str) -> DataFrame:
+    """Statistics merged from the sketches of each day; `near` says whether the median's rank is within 1 %."""
+    columns = ["churn_probability", "monthly_charges"]
+    log = views.predictions(spark, base).withColumn("date", F.date_format("created_at", "yyyy-MM-dd")).withColumn("monthly_charges", parse_money(F.col("monthly_charges")))
+    path = scratch_path(spark, "day-sketches")
+    parts = daily.day_sketches(log, columns)
+    daily.store_days(parts, path)
+    found = daily.total_stats(daily.stored_days(spark, path, parts.schema))
+    values = log.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("p")).select("p.*")
+    ranks = values.join(F.broadcast(found.select("column", "q50")), "column").groupBy("column").agg(
+        F.avg((F.col("value") < F.col("q50")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("q50")).cast("double")).alias("upto")
+    )
+    near = (F.col("below") <= 0.51) & (F.col("upto") >= 0.49)
+    return found.join(ranks, "column").select("column", "n", F.round("mean", 9).alias("mean"), "low", "high", near.alias("near"))
+
+
 @query(
     "admin_summary",
     f"""WITH {V.PREDICTIONS}, {V.USERS} SELECT (SELECT count(*) FROM users) AS users, count(*) AS predictions, count(*) FILTER (prediction = 'CHURN') AS churn,

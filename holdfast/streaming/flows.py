@@ -24,10 +24,16 @@ def score_stream(rows: DataFrame) -> DataFrame:
     return score_by_rules(rows)
 
 
-def alert_counts(log: DataFrame, threshold: float = 0.75, late: str = "1 hour", window: str = "1 day") -> DataFrame:
+def alert_counts(log: DataFrame, threshold: float = 0.75, late: str = "1 hour", window: str = "1 day", key: str | None = "id") -> DataFrame:
     """Entries at or above the threshold per user and day.  State is one counter per open (day, user); the
-    watermark closes days, and rows later than it are dropped.  Time advances with every entry, alert or not."""
+    watermark closes days, and rows later than it are dropped.  Time advances with every entry, alert or not.
+
+    An entry that comes again is counted once: its id is kept until the watermark has passed it, and later it is too late.
+    A log without the column `key` is counted as it is.
+    """
     stamped = log.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
+    if key is not None and key in log.columns:
+        stamped = stamped.dropDuplicatesWithinWatermark([key])
     hits = stamped.filter(F.col("churn_probability") >= F.lit(threshold))
     counted = hits.groupBy(F.window("created_at", window), "user_id").agg(F.count("*").alias("alerts"))
     return counted.select(F.col("window.start").alias("day"), "user_id", "alerts")

@@ -45,3 +45,22 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     arrive("2024-01-01 11:00:00", "2024-01-05 11:00:00")
     counts = {str(r["day"])[:10]: r["alerts"] for r in flows.latest_counts(spark, out).collect()}
     assert counts == {"2024-01-01": 1, "2024-01-05": 2}
+
+
+def test_a_replayed_file_changes_no_count(spark, tmp_path):
+    landing, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "id int, created_at timestamp, user_id int, churn_probability double"
+
+    def arrive(*entries):
+        rows = spark.createDataFrame([(i, s, 1, 0.9) for i, s in entries], "id int, s string, user_id int, churn_probability double")
+        rows.select("id", F.col("s").cast("timestamp").alias("created_at"), "user_id", "churn_probability").coalesce(1).write.mode("append").parquet(landing)
+        flows.upsert_counts(flows.alert_counts(flows.stream_files(spark, landing, schema)), out, cp).awaitTermination()
+        return {str(r["day"])[:10]: r["alerts"] for r in flows.latest_counts(spark, out).collect()}
+
+    first = [(1, "2024-01-01 10:00:00"), (2, "2024-01-01 10:10:00"), (2, "2024-01-01 10:10:00")]
+    assert arrive(*first) == {"2024-01-01": 2}
+    assert arrive(*first) == {"2024-01-01": 2}
+    assert arrive((3, "2024-01-01 15:00:00")) == {"2024-01-01": 3}
+    # behind the watermark by now, but of a day that is open still
+    assert arrive(*first) == {"2024-01-01": 3}
+    assert arrive((4, "2024-01-03 08:00:00"), *first) == {"2024-01-01": 3, "2024-01-03": 1}
