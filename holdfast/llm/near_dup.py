@@ -42,7 +42,7 @@ COORDINATES = 64
 POSTED = 24
 #: Chance that a pair exactly at the threshold is missed by one of the two counts of collisions; far less above it.
 MISS = 2e-7
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Pairs that a component offers in a star round.
 OFFERS = 3
 #: Members of a pivot that one group of the confirming step holds.
@@ -52,6 +52,8 @@ BLOCK = 512
 SKETCH_BITS = 1024
 #: Pairs that a task gathers before it keeps the nearest of each label only, or passes them on.
 GATHERED = 1 << 17
+#: Rows of pairs or of node numbers, some 50 bytes each, that are sent to all tasks; more are joined by a shuffle.
+SENT = 200_000
 #: Rounds in which each component offers its nearest pair only, before all are confirmed.
 NEAREST_ROUNDS = 8
 
@@ -167,8 +169,13 @@ def postings(nodes: DataFrame, percent: int) -> DataFrame:
     return ranked.filter(room > 0).select("node", F.explode(F.slice("shared", F.lit(1), room)).alias("p")).select("p.list", "node")
 
 
+def sent(rows: DataFrame, n: int) -> DataFrame:
+    """`rows`, about `n` of them, for a join with a large table: large tables stay where they are if the rows are few."""
+    return F.broadcast(rows) if n <= SENT else rows
+
+
 def near(pairs: DataFrame, facts: DataFrame, percent: int, matched: int) -> DataFrame:
-    """Of (a, la, b, lb): those whose sketches allow a link."""
+    """Of the written table (a, la, b, lb): those whose sketches allow a link."""
     side = lambda x: facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,12 +185,17 @@ def near(pairs: DataFrame, facts: DataFrame, percent: int, matched: int) -> Data
                 keep, _ = alike(sketches(batch.column("sketch_a")), sketches(batch.column("sketch_b")), n_a, n_b, percent, matched)
                 yield batch.filter(pa.array(keep)).select(["a", "la", "b", "lb"])
 
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "la", "b", "lb", "n_a", "n_b", "sketch_a", "sketch_b")
+    n = pairs.count()
+    if n <= SENT:
+        met = side("a").join(sent(pairs, n), "a").join(side("b").join(sent(pairs.select("a", "b"), n), "b"), ["a", "b"])
+    else:
+        met = pairs.join(side("a"), "a").join(side("b"), "b")
+    met = met.select("a", "la", "b", "lb", "n_a", "n_b", "sketch_a", "sketch_b")
     return met.mapInArrow(run, PAIRS)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of (a, b): those whose full sets have 100 * intersection >= percent * union.
+    """Of the written table (a, b): those whose full sets have 100 * intersection >= percent * union.
 
     The texts of all partners of a meet a's own; beyond MEMBERS partners in several groups, each with a copy of a's text.
     """
@@ -191,7 +203,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     members = pairs.join(groups, "a").select(F.col("b").alias("node"), "a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
     heads = groups.select(F.col("a").alias("node"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
     # one join for both, so that texts move once
-    rows = members.unionByName(heads).join(texts, "node").select("a", "salt", "b", "text")
+    rows = texts.join(sent(members.unionByName(heads), 2 * pairs.count()), "node").select("a", "salt", "b", "text")
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +351,7 @@ def settle(posted: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: str,
     on_lists = posted.select("node").distinct()
     known = written(nodes.join(on_lists, "node").select("node", "n", "sketch", "rep"), "facts")
     facts = known.select("node", "n", "sketch")
-    texts = written(texts_of(known.select("node", "rep.doc_id", "rep.row"), docs, doc_id, text), "texts")
+    texts = written(texts_of(sent(known.select("node", "rep.doc_id", "rep.row"), known.count()), docs, doc_id, text), "texts")
     labels = known.select("node", F.col("node").alias("label"))
     opened = posted.withColumn("label", F.col("node"))
 
@@ -373,7 +385,7 @@ def settle(posted: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: str,
         turn = F.row_number().over(Window.partitionBy("lb").orderBy(F.col("n").desc(), "a", "b"))
         best = offered.withColumn("turn", turn).filter(F.col("turn") <= OFFERS).drop("turn", "n")
         best = best.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").select("a", "la", "b", "lb")
-        if not merge(written(near(best, facts, percent, matched), "stars")):
+        if not merge(written(near(written(best, "offers"), facts, percent, matched), "stars")):
             break
 
     def whole(every: bool) -> DataFrame:
@@ -382,7 +394,7 @@ def settle(posted: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: str,
         rest = opened.join(members, "list").join(facts, "node")
         pairs = written(pairs_within(rest, percent, matched, every), "rest")
         opened = opened.join(pairs.select("list").distinct(), "list", "left_semi")
-        return pairs.drop("list").distinct()
+        return written(pairs.drop("list").distinct(), "pairs")
 
     opened = written(open_rows(opened), "open")
     for _ in range(NEAREST_ROUNDS):
