@@ -5,10 +5,13 @@ right, and the state after each prefix does not depend on what follows.  So dist
 hold that state (best log-probability, pieces used), computed once for all words that share the prefix; where a pre-token ends
 its node holds the count that every further occurrence takes.  Of equal scores the segmentation with fewer pieces counts.
 
-The trie lives in a task and is started anew beyond NODES nodes, which changes no count.  A node is kept under its prefix, so
-nodes end DEPTH characters below the root; what a word has beyond goes through the same recurrence in a window of the longest
-piece and is not kept, so that memory stays linear in a word's length, however long a text without spaces is.  Nothing is shuffled: a document's
-count needs its own words only.
+A node leads to its children by one character each and holds its state.  Backward, the pieces that end somewhere are found by
+walking a trie of reversed pieces from there until no piece goes on.
+
+The trie lives in a task and is started anew beyond NODES nodes, which changes no count.  What a word has beyond DEPTH
+characters goes through the same recurrence without new nodes, with the states of the longest piece's length at hand, so that
+memory stays small however long a text without spaces is.  Counts of whole words are remembered by their bytes from one step
+to the next.  Nothing is shuffled: a document's count needs its own words only.
 
 The vocabulary is a public file of pieces in order of rank; the probability of rank r is taken in proportion to 1 / (r + 1).
 Characters outside all pieces count as their UTF-8 bytes, each less likely than any piece by the factor BYTE.
@@ -23,6 +26,7 @@ import math
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,8 +34,10 @@ from pyspark.sql import types as T
 from .common import steps
 from .words import SPACES, split_words
 
-NODES = 400_000
+NODES = 600_000
 DEPTH = 64
+#: Words whose counts a task remembers.
+REMEMBERED = 500_000
 BYTE = math.exp(-10.0)
 MARK = "▁"
 
@@ -50,53 +56,96 @@ class Trie:
     """Prefixes of pre-tokens with the forward state after each."""
 
     def __init__(self, pieces: dict[str, float], limit: int = NODES) -> None:
-        self.pieces, self.limit = pieces, limit
+        self.limit = limit
         self.longest = max(map(len, pieces), default=1)
-        # the longest piece by its last two characters: only so far back can a piece end there have begun
-        self.reach: dict[str, int] = {}
-        for piece in pieces:
-            self.reach[piece[-2:]] = max(len(piece), self.reach.get(piece[-2:], 1))
         self.byte = min(pieces.values(), default=0.0) + math.log(BYTE)
-        self.states: dict[str, tuple[float, int]] = {"": (0.0, 0)}
+        # pieces by their characters from the last to the first: (children by character, log-probability if a piece ends)
+        ends: list = [{}, None]
+        for piece, odds in pieces.items():
+            node = ends
+            for c in reversed(piece):
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = odds
+        self.ends: dict = ends[0]
+        self.words: dict[bytes, tuple[float, int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """A node is [children by character or None, score, pieces used]."""
+        self.root: list = [None, 0.0, 0]
+        self.nodes = 1
 
     def count(self, token: str) -> tuple[float, int]:
-        found = self.states.get(token)
-        if found is None:
-            if len(self.states) > self.limit:
-                self.states = {"": (0.0, 0)}
-            found = self.insert(token)
-        return found
-
-    def insert(self, token: str) -> tuple[float, int]:
-        states, odds_of, reach, depth = self.states, self.pieces.get, self.reach.get, DEPTH
-        known = min(len(token) - 1, depth)
-        while token[:known] not in states:
-            known -= 1
-        state = states[token[:known]]
-        recent: dict[int, tuple[float, int]] = {}
-        for end in range(known + 1, len(token) + 1):
+        if self.nodes > self.limit:
+            self.forget()
+        node, path = self.root, [self.root]
+        for c in token:
+            children = node[0]
+            node = children.get(c) if children is not None else None
+            if node is None:
+                return self.insert(token, path)
+            path.append(node)
+        return path[-1][1], path[-1][2]
+
+    def insert(self, token: str, path: list[list]) -> tuple[float, int]:
+        """`path` has the nodes of the prefixes that are there already; the others are added."""
+        ends, keep = self.ends, 2 * self.longest
+        # path[i] is the state after skipped + i characters
+        skipped = 0
+        above = path[-1]
+        _, score, used = above
+        for end in range(len(path), len(token) + 1):
             last = token[end - 1]
-            score, used = state
-            odds = odds_of(last)
-            if odds is None:
+            node = ends.get(last)
+            if node is None:
                 n = len(last.encode("utf-8", "replace"))
                 score, used = score + n * self.byte, used + n
             else:
-                score, used = score + odds, used + 1
-            for begin in range(max(0, end - reach(token[max(0, end - 2) : end], 1)), end - 1):
-                odds = odds_of(token[begin:end])
-                if odds is not None:
-                    before = states[token[:begin]] if begin <= depth else recent[begin]
-                    total = before[0] + odds
-                    if total > score or total == score and before[1] < used - 1:
-                        score, used = total, before[1] + 1
-            state = (score, used)
-            if end <= depth:
-                states[token[:end]] = state
-            else:
-                recent[end] = state
-                recent.pop(end - self.longest, None)
-        return state
+                children, odds = node
+                if odds is None:
+                    n = len(last.encode("utf-8", "replace"))
+                    score, used = score + n * self.byte, used + n
+                else:
+                    score, used = score + odds, used + 1
+                at = end - 2
+                while at >= 0:
+                    node = children.get(token[at])
+                    if node is None:
+                        break
+                    children, odds = node
+                    if odds is not None:
+                        before = path[at - skipped]
+                        total = before[1] + odds
+                        if total > score or total == score and before[2] < used - 1:
+                            score, used = total, before[2] + 1
+                    at -= 1
+            state = [None, score, used]
+            if end <= DEPTH:
+                if above[0] is None:
+                    above[0] = {last: state}
+                else:
+                    above[0][last] = state
+                self.nodes += 1
+            above = state
+            path.append(state)
+            if len(path) > DEPTH + 2 * keep:
+                del path[:keep]
+                skipped += keep
+        return score, used
+
+    def counts(self, words: list[bytes]) -> list[tuple[float, int]]:
+        """The counts of distinct words."""
+        known = self.words
+        found = list(map(known.get, words))
+        # sorted, so that words which share a prefix follow each other
+        fresh = sorted((words[i].decode("utf-8", "replace"), i) for i, state in enumerate(found) if state is None)
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+        for word, i in fresh:
+            found[i] = state = self.count(MARK + word)
+            if len(words[i]) <= DEPTH:
+                self.words[words[i]] = state
+        return found
 
 
 @lru_cache(maxsize=1)
@@ -117,16 +166,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, text: str = "text", nodes:
             words = split_words(texts, SPACES)
             raw = words.data.tobytes()
             spelled = pa.array([raw[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)], pa.binary()).dictionary_encode()
-            # sorted, so that words which share a prefix follow each other
-            distinct = sorted((w.decode("utf-8", "replace"), i) for i, w in enumerate(spelled.dictionary.to_pylist()))
-            state: list[tuple[float, int]] = [(0.0, 0)] * len(distinct)
-            for word, i in distinct:
-                state[i] = own.count(MARK + word)
-            at, first = spelled.indices.to_pylist(), words.first.tolist()
-            per = [at[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            state = own.counts(spelled.dictionary.to_pylist())
+            at, first = spelled.indices.to_numpy(), words.first
+            score = np.array([s for s, _ in state], dtype=np.float64)[at].tolist()
+            used = np.append(0, np.cumsum(np.array([u for _, u in state], dtype=np.int64)[at]))
+            edges = first.tolist()
             columns = [
-                *(part.column(c) for c in kept), pa.array([len(p) for p in per], pa.int64()),
-                pa.array([sum(state[i][1] for i in p) for p in per], pa.int64()), pa.array([math.fsum(state[i][0] for i in p) for p in per], pa.float64()),
+                *(part.column(c) for c in kept), pa.array(np.diff(first), pa.int64()), pa.array(np.diff(used[first]), pa.int64()),
+                pa.array([math.fsum(score[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.float64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
