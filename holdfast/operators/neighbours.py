@@ -85,13 +85,15 @@ def _nearest_in_cell(k: int):
 
         cell = cell.combine_chunks().sort_by("id")
         ids, x = cell.column("id").to_numpy(), _matrix(cell.column("vec").combine_chunks(), cell.num_rows)
-        square = (x**2).sum(axis=1)
+        # half the width is enough to choose some more than k
+        short = x.astype(np.float32)
+        square = (short**2).sum(axis=1)
         take = min(k + 4, len(x) - 1)
         far, of = [], []
         step = max(1, 2_000_000 // len(x))
         for first in range(0, len(x), step):
             q = x[first : first + step]
-            d2 = square[first : first + step, None] + square - 2 * q @ x.T
+            d2 = square[first : first + step, None] + square - 2 * short[first : first + step] @ short.T
             d2[np.arange(len(q)), np.arange(first, first + len(q))] = np.inf
             some = np.argpartition(d2, take - 1, axis=1)[:, :take] if take else np.empty((len(q), 0), dtype=np.int64)
             # the sum of squares again, so that a pair has the same distance in every cell
