@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.hashing import uniform
 from holdfast.operators import balance, explain, metrics, models, neighbours
-from holdfast.sources import store
+from holdfast.sources import retrain, store
 
 
 @pytest.fixture(scope="module")
@@ -270,3 +270,19 @@ def test_neighbours_of_few_points(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec array<double>, mult bigint"), 3).collect() == []
     one = spark.createDataFrame([([1.0, 2.0], 3)], "vec array<double>, mult bigint")
     assert [r["near"] for r in neighbours.neighbour_vectors(one, 3).collect()] == [[[1.0, 2.0]] * 2]
+
+
+def test_retraining_stores_a_new_version(spark, rows, tmp_path):
+    raw = rows.withColumn("left", F.when(F.col("label") == 1, "Yes").otherwise("No")).drop("label")
+    root = str(tmp_path)
+    first = retrain.retrain(spark, root, raw, "ok", "Ok", "left", {"Yes": 1, "No": 0}, [], "id", models.clf_logreg(20), grid=None, balance="weights", folds=0)
+    assert first.version == 1 and first.folds is None
+    grid = {"maxIter": [2, 4], "maxDepth": [2]}
+    again = retrain.retrain(spark, root, raw, "ok", "Ok", "left", {"Yes": 1, "No": 0}, [], "id", models.clf_boost(), grid=grid, balance="smote", folds=2)
+    assert again.version == 2 and again.folds.count() == 2 and again.trained.params["maxDepth"] == 2
+    assert again.report.count() > 1
+    _, _, params = store.load_model(spark, root, "ok")
+    assert params == again.trained.params and store.load_model(spark, root, "ok", version=1)[2] == {}
+    with pytest.raises(Exception, match="absent"):
+        retrain.retrain(spark, root, raw, "ok", "Ok", "left", {"Yes": 1, "No": 0}, [], "absent", models.clf_logreg(5), grid=None)
+    assert store.model_registry(spark, root, ["ok"]).first()["version"] == 2
