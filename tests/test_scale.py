@@ -31,3 +31,10 @@ def labelled(spark):
 def test_rows_are_not_dealt_by_label(labelled, joined):
     text = plan(joined(labelled))
     assert "BroadcastHashJoin" in text and not re.search(r"hashpartitioning\(__l", text)
+
+
+def test_levels_count_values_once(spark, monkeypatch):
+    calls, real = [], profile.value_counts
+    monkeypatch.setattr(profile, "value_counts", lambda *a: calls.append(1) or real(*a))
+    df = spark.createDataFrame([("b", "x"), ("a", None), ("b", "y")], "s string, t string")
+    assert profile.levels(df, ["s", "t"]) == {"s": ["a", "b"], "t": ["x", "y"]} and len(calls) == 1
