@@ -38,3 +38,25 @@ def test_levels_count_values_once(spark, monkeypatch):
     monkeypatch.setattr(profile, "value_counts", lambda *a: calls.append(1) or real(*a))
     df = spark.createDataFrame([("b", "x"), ("a", None), ("b", "y")], "s string, t string")
     assert profile.levels(df, ["s", "t"]) == {"s": ["a", "b"], "t": ["x", "y"]} and len(calls) == 1
+
+
+def test_preparation_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def slow(x):
+        seen.add(1)
+        return f"l{x % 3}"
+
+    df = spark.range(0, 50, 1, 2).select(slow("id").alias("t"), F.col("id").cast("double").alias("x"))
+    prep = encode.fit_preparation(df)
+    assert seen.value == 50 and prep.features == ["x", "t_l1", "t_l2"]
+
+
+def test_wide_vectors_name_no_levels(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,), ("unseen",)], "s string")
+    index = encode.level_index(df.filter("s <> 'unseen'"), ["s"])
+    short, wide = (encode.sparse_onehot(df, index, {"s": 3}, named=n) for n in (3, 2))
+    vectors = lambda out: {r["s"]: r["s_levels"] for r in out.collect()}
+    assert vectors(short) == vectors(wide) and vectors(wide)["c"].size == 2
+    assert wide.columns == short.columns and wide.schema["s_levels"].metadata == {"ml_attr": {"num_attrs": 2}}
