@@ -60,3 +60,15 @@ def test_wide_vectors_name_no_levels(spark):
     vectors = lambda out: {r["s"]: r["s_levels"] for r in out.collect()}
     assert vectors(short) == vectors(wide) and vectors(wide)["c"].size == 2
     assert wide.columns == short.columns and wide.schema["s_levels"].metadata == {"ml_attr": {"num_attrs": 2}}
+
+
+def test_impacts_are_rounded_for_shown_rows_only(spark):
+    up, down = [("Contract_A", 2.04), ("other", 1.0)], [("tenure", -3.06), ("Contract_B", -1.0)]
+    rows = [(c, up, down) for c in (True, False, None)]
+    df = spark.createDataFrame(rows, f"leaves boolean, risk_increasers {explain.PAIRS}, risk_decreasers {explain.PAIRS}")
+    done = explain.recommend_from_attribution(df, ["Contract_A", "other", "tenure", "Contract_B"], F.col("leaves"))
+    found = {r["leaves"]: [(a["action"], a["impact"]) for a in r["recommendations"]] for r in done.collect()}
+    assert found[True] == [("CONTRACT_UPGRADE", 204.0), ("CONTACT_48H", None)]
+    assert found[False] == found[None] == [("KEEP_SERVICE", None), ("LOYALTY_BENEFIT", 306.0)]
+    ranked = explain.topk_attribution(df.select(F.col("risk_increasers").alias("attribution")))
+    assert "sort_array(" in plan(ranked) and "array_sort(" not in plan(ranked)
