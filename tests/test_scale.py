@@ -88,3 +88,17 @@ def test_restarts_share_one_computed_input(spark):
     assert len(model.clusterCenters()) == 2 and stats["x"][0] == pytest.approx(4.5) and cost == pytest.approx(again[2])
     # dropping nulls computes a column for the filter and once more for the result
     assert seen.value <= 800
+
+
+def test_smote_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def slow(x):
+        seen.add(1)
+        return float(x % 17)
+
+    df = spark.range(0, 120, 1, 2).select("id", slow("id").alias("x"), F.sqrt("id").alias("y"), (F.col("id") % 3 == 0).cast("double").alias("label"))
+    made = balance.smote(df, ["x", "y"], "id", leaf_size=16)
+    counts = {(r["label"], r["synthetic"]): r["count"] for r in made.groupBy("label", "synthetic").count().collect()}
+    assert counts == {(0.0, False): 80, (1.0, False): 40, (1.0, True): 40} and seen.value == 120
