@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from holdfast.operators import balance, encode, explain, profile, segments, split
+from holdfast import session
+from holdfast.operators import balance, encode, explain, metrics, models, order_stats, profile, segments, split
 
 
 def plan(df):
@@ -102,3 +103,33 @@ def test_smote_computes_its_input_once(spark):
     made = balance.smote(df, ["x", "y"], "id", leaf_size=16)
     counts = {(r["label"], r["synthetic"]): r["count"] for r in made.groupBy("label", "synthetic").count().collect()}
     assert counts == {(0.0, False): 80, (1.0, False): 40, (1.0, True): 40} and seen.value == 120
+
+
+def exchanged(df):
+    """(what a shuffle deals by, its number of partitions) for the shuffles of the plan as it ran."""
+    df.collect()
+    return re.findall(r"(hashpartitioning|rangepartitioning)\([^\n]*?(\d+)\), REPARTITION_BY_NUM", plan(df))
+
+
+def test_parts_of_a_sort_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 50)
+    df = spark.range(1000).select(F.struct(F.lit(0).alias("g0")).alias("__key"), F.col("id").alias("__v"))
+    found = order_stats.ranked(df)
+    assert ("hashpartitioning", "20") in exchanged(found)
+    assert [r["before"] for r in found.orderBy("__v").collect()] == list(range(1000))
+    scored = spark.range(1000).select((F.col("id") >= 500).cast("int").alias("label"), F.col("id").cast("double").alias("score"))
+    parts, n = order_stats.placed_by_ranges(scored, ["score"], "scores")
+    assert n == 20 and parts.groupBy("__part").count().agg(F.max("count")).first()[0] < 200
+    assert metrics.roc_auc(scored).first()["auc"] == 1.0
+
+
+def test_fits_get_tasks_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 50)
+    raw = spark.range(1000).select("id", (F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, "Yes").otherwise("No").alias("Left"))
+    prep, rows = models.prepared(raw, "Left", {"Yes": 1, "No": 0}, [], "id")
+    assert rows.rdd.getNumPartitions() == 20 and rows.count() == 1000 and prep.features == ["x"]
+    seen = []
+    monkeypatch.setattr(models, "fitted", lambda est, train, *a: seen.append(train.rdd.getNumPartitions()) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        models.compare_families(rows.coalesce(1), prep.features, "id", {"any": None}, "weights")
+    assert seen == [16]
