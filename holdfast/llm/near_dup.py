@@ -354,6 +354,12 @@ def settle(posted: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: str,
     texts = written(texts_of(sent(known.select("node", "rep.doc_id", "rep.row"), known.count()), docs, doc_id, text), "texts")
     labels = known.select("node", F.col("node").alias("label"))
     opened = posted.withColumn("label", F.col("node"))
+    # lists that offered a pair when all were compared last; the others are done
+    offering: DataFrame | None = None
+
+    def going_on(lists: DataFrame) -> DataFrame:
+        """Of a table with a row per list, those that are not done: rows of `opened` meet what is left of it only."""
+        return lists if offering is None else lists.join(offering, "list", "left_semi")
 
     def merge(pairs: DataFrame) -> bool:
         """Confirm (a, la, b, lb), join the components that links connect, and keep the lists that hold several still."""
@@ -371,7 +377,7 @@ def settle(posted: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: str,
 
     def open_rows(rows: DataFrame) -> DataFrame:
         several = rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
-        return rows.join(several.select("list"), "list")
+        return rows.join(going_on(several).select("list"), "list")
 
     for number in range(STAR_ROUNDS):
         # the list's first node is the least number under a mask of the round
@@ -389,11 +395,11 @@ def settle(posted: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: str,
             break
 
     def whole(every: bool) -> DataFrame:
-        nonlocal opened
-        members = opened.groupBy("list").agg(F.count("*").alias("members"))
+        nonlocal offering
+        members = going_on(opened.groupBy("list").agg(F.count("*").alias("members")))
         rest = opened.join(members, "list").join(facts, "node")
         pairs = written(pairs_within(rest, percent, matched, every), "rest")
-        opened = opened.join(pairs.select("list").distinct(), "list", "left_semi")
+        offering = pairs.select("list").distinct()
         return written(pairs.drop("list").distinct(), "pairs")
 
     opened = written(open_rows(opened), "open")
