@@ -3,10 +3,12 @@
 1. Every text gives its set of word shingles (64-bit hashes), a 128-bit key of the set, a signature of COORDINATES minima and
    an odd sketch (one bit per residue: whether an odd number of shingles falls there).  Equal sets are one node; copies only
    add members to it.
-2. Nodes are posted under (coordinate, value, class of set size) for the first POSTED coordinates.  Sets whose sizes allow the
-   similarity are in the same class or in neighbours, so a node is posted in its own class and in the next.  A linked pair
-   shares so many coordinates, but for a chance of MISS, that by the prefix rule it meets under one of the rarest coordinates of
-   either node; the rest, the long lists, are skipped.
+2. Nodes are posted under (place, value, class of set size) for POSTED places.  A place holds two coordinates where the
+   threshold lets a linked pair agree in enough of such places, so that sets which share a frequent shingle do not meet by it
+   alone; for lower thresholds it holds one.  Sets whose sizes allow the similarity are in the same class or in neighbours, so a node is posted in its own class and, as a guest, in the next; a list
+   of guests only is left out, as they meet in their own class.  A linked pair
+   shares so many places, but for a chance of MISS, that by the prefix rule it meets under one of the rarest places of either
+   node; the rest, the long lists, are skipped.
 3. Pairs that meet are kept if enough of all coordinates collide (again but for MISS), the sizes allow the similarity, and the
    sketches differ in no more bits than sets as similar can.  Kept pairs are confirmed on the full sets, from the texts.
 4. A group of copies must not become all its pairs.  In the first rounds each list offers, for each component in it, one pair
@@ -39,6 +41,7 @@ from .common import binary_parts, fresh, steps, written
 from .words import SPACES, mix, split_words, word_hashes
 
 COORDINATES = 64
+#: Places that a node is posted under; a place holds two coordinates at most.
 POSTED = 24
 #: Chance that a pair exactly at the threshold is missed by one of the two counts of collisions; far less above it.
 MISS = 2e-7
@@ -65,7 +68,21 @@ _MASKS = mix(np.arange(1, 65, dtype=np.uint64)) >> np.uint64(1)
 _SKETCH = COORDINATES + SKETCH_BITS // 8
 
 
-def least_shared(coordinates: int, percent: int, miss: float = MISS) -> int:
+def width_of(percent: int) -> int:
+    """Coordinates of a place: two, if a pair at the threshold still agrees in one place but for a chance of MISS."""
+    return 2 if least_shared(POSTED, percent**2 / 100) else 1
+
+
+def places(least: np.ndarray, width: int) -> np.ndarray:
+    """The value of each of POSTED places, from `width` coordinates each."""
+    held = least[: POSTED * width].reshape(POSTED, width).astype(np.uint64)
+    out = held[:, 0]
+    for k in range(1, width):
+        out = mix((out << np.uint64(32)) | held[:, k]) >> np.uint64(32)
+    return out.astype(np.uint32)
+
+
+def least_shared(coordinates: int, percent: float, miss: float = MISS) -> int:
     """The largest count that a pair at the threshold stays below with a chance of at most `miss`."""
     p, below = percent / 100, 0.0
     for t in range(coordinates + 1):
@@ -139,12 +156,12 @@ def set_key(shingles: np.ndarray) -> bytes:
     return np.array([shingles.sum(dtype=np.uint64), mixed.sum(dtype=np.uint64)], dtype=np.uint64).tobytes()[::-1]
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str, text: str, size: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches, "text"):
             sets = shingle_sets(texts, size)
             least = [signature(s) for s in sets]
-            flat = pa.array(np.concatenate([x[:POSTED] for x in least]).view(np.int32))
+            flat = pa.array(np.concatenate([places(x, width) for x in least]).view(np.int32))
             offsets = pa.array(np.arange(0, len(flat) + 1, POSTED, dtype=np.int32))
             columns = [
                 part.column("doc_id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()),
@@ -158,14 +175,16 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
 
 
 def postings(nodes: DataFrame, percent: int) -> DataFrame:
-    """(list, node) under the rarest coordinates of each node and size class, of those that two nodes at least share."""
+    """(list, node) under the rarest places of each node and size class, of those that two nodes at least share, one of them in
+    its own class.  Any order of the places will do for the prefix rule, so lists of guests only may come first."""
     ratio = math.log(max(1.01, 100 / percent)) * 1.000001
-    views = nodes.select("node", "lead", F.explode(F.array(*[F.floor(F.log("n") / ratio) + i for i in (0, 1)])).alias("view"))
-    posted = views.select("node", "view", F.posexplode("lead").alias("c", "v")).select("node", "view", F.xxhash64("view", "c", "v").alias("list"))
-    counts = posted.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1")
-    ranked = posted.join(counts, "list").groupBy("node", "view").agg(F.sort_array(F.collect_list(F.struct("n", "list"))).alias("shared"))
-    # coordinates that no other node has come first in the order and fill their part of the prefix
-    room = F.lit(POSTED - least_shared(POSTED, percent) + 1) - (F.lit(POSTED) - F.size("shared"))
+    classes = F.array(*[F.struct((F.floor(F.log("n") / ratio) + i).alias("view"), F.lit(i == 0).alias("own")) for i in (0, 1)])
+    views = nodes.select("node", "lead", F.explode(classes).alias("of")).select("node", "lead", "of.view", "of.own")
+    posted = views.select("node", "view", "own", F.posexplode("lead").alias("c", "v")).select("node", "view", "own", F.xxhash64("view", "c", "v").alias("list"))
+    counts = posted.groupBy("list").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("n > 1 and own").drop("own")
+    ranked = posted.drop("own").join(counts, "list").groupBy("node", "view").agg(F.sort_array(F.collect_list(F.struct("n", "list"))).alias("shared"))
+    # places that no other node has, or guests only, come first in the order and fill their part of the prefix
+    room = F.lit(POSTED - least_shared(POSTED, 100 * (percent / 100) ** width_of(percent)) + 1) - (F.lit(POSTED) - F.size("shared"))
     return ranked.filter(room > 0).select("node", F.explode(F.slice("shared", F.lit(1), room)).alias("p")).select("p.list", "node")
 
 
@@ -416,7 +435,7 @@ def settle(posted: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: str,
 def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: doc_id, row (hash of the text), group (key of the component, null for an empty set), n_shingles,
     component_id, kept."""
-    rows = written(signatures(docs, doc_id, text, size), "signatures")
+    rows = written(signatures(docs, doc_id, text, size, width_of(percent)), "signatures")
     nodes = numbered_nodes(rows, F.first("n_shingles").alias("n"), F.first("lead").alias("lead"), F.first("sketch").alias("sketch"))
     posted = written(postings(nodes, percent), "postings")
     labels = settle(posted, nodes, docs, doc_id=doc_id, text=text, size=size, percent=percent, matched=least_shared(COORDINATES, percent))

@@ -86,3 +86,32 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(keys[:-1], keys[1:], strict=True)], "a binary, b binary")
     labels = near_dup.components(edges).collect()
     assert len(labels) == 40 and len({bytes(r.label) for r in labels}) == 1
+
+
+def test_a_place_shares_no_list_by_one_frequent_shingle(spark):
+    """Short texts with one word pair in common, every one of another topic: few share a list, though all share coordinates."""
+    rows = [(k, "very often " + prose(900 + k, 10)) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = near_dup.signatures(df, "doc_id", "text", 2, near_dup.width_of(80))
+    nodes = near_dup.numbered_nodes(signed, *[near_dup.F.first(c).alias(x) for c, x in (("n_shingles", "n"), ("lead", "lead"), ("sketch", "sketch"))])
+    assert near_dup.postings(nodes, 80).count() < 5 * len(rows)
+    assert linked(spark, rows, 2) == brute(rows, 2, 80)
+
+
+def test_nodes_of_one_class_meet_in_that_class_only(spark):
+    df = spark.createDataFrame([(k, 100, list(range(near_dup.POSTED))) for k in range(2)], "node long, n long, lead array<int>")
+    lists = near_dup.postings(df, 80).groupBy("list").count().collect()
+    assert len(lists) <= near_dup.POSTED and {r["count"] for r in lists} == {2}
+
+
+def test_nodes_of_neighbouring_classes_meet(spark):
+    df = spark.createDataFrame([(1, 90, list(range(near_dup.POSTED))), (2, 110, list(range(near_dup.POSTED)))], "node long, n long, lead array<int>")
+    met = near_dup.postings(df, 80).groupBy("list").count().filter("count = 2")
+    assert 0 < met.count() <= near_dup.POSTED
+
+
+def test_low_thresholds_post_single_coordinates(spark):
+    assert [near_dup.width_of(p) for p in (100, 80, 70, 60, 30)] == [2, 2, 2, 1, 1]
+    words = prose(55, 60).split(" ")
+    rows = [(k, " ".join(f"y{k}x{i}" if i % 12 == k else w for i, w in enumerate(words))) for k in range(8)]
+    assert linked(spark, rows, 1, 60) == brute(rows, 1, 60)
