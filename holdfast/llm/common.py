@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,18 +43,19 @@ def sha_list(parts: Column) -> Column:
 
 
 def steps(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of Arrow batches with their texts as bytes (null as empty), each slice of about `size` bytes."""
+    """Slices of Arrow batches with their texts as bytes (null as empty), each slice of about `size` bytes; only the texts of
+    one slice are held."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        texts = [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+        taken = lambda a, b: [t or b"" for t in column.slice(a, b - a).to_pylist()]  # noqa: B023, E731
         first, held = 0, 0
-        for i, t in enumerate(texts):
-            if held and held + len(t) > size:
-                yield batch.slice(first, i - first), texts[first:i]
+        for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+            if held and held + n > size:
+                yield batch.slice(first, i - first), taken(first, i)
                 first, held = i, 0
-            held += len(t) + 1
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
+            held += n + 1
+        if first < batch.num_rows:
+            yield batch.slice(first), taken(first, batch.num_rows)
 
 
 def crc(data: bytes | memoryview) -> int:

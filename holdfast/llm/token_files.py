@@ -35,8 +35,9 @@ from .common import binary_column, binary_parts, crc, slices, steps
 from .words import PACKED, Words, differing, packed, word_hashes
 
 END = 2
-#: Pre-tokens that a worker remembers.
+#: Pre-tokens that a worker remembers, some 60 bytes each, and so many that the library encodes at once.
 _KNOWN = 1_000_000
+_AT_ONCE = 4096
 
 # Classes of characters, for those whose class is the same in every Unicode version and library.  Others, and NUL, are odd.
 _LETTER, _DIGIT, _MARK, _SPACE, _BREAK, _ODD = range(6)
@@ -86,38 +87,49 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """known[hash] = i; the ids of pre-token i are ids[offsets[i]:offsets[i + 1]], and it is spelled by low[i], high[i] and
-        size[i], or by long[i]."""
-        self.known: dict[int, int] = {}
+        """hashes[k], ascending, is that of pre-token i = numbers[k]; its ids are ids[offsets[i]:offsets[i + 1]], and it is spelled
+        by low[i], high[i] and size[i], or by long[i].  Arrays, as a dictionary of as many takes several times the room."""
+        self.hashes, self.numbers = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)
         self.long: dict[int, bytes] = {}
         self.ids, self.offsets = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
-        self.low, self.high, self.size = (np.empty(0, dtype=kind) for kind in (np.uint64, np.uint64, np.int64))
-
-    def learn(self, hashes: list[int], pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        n = len(self.size)
-        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.low, self.high, self.size = (np.empty(0, dtype=kind) for kind in (np.uint64, np.uint64, np.int32))
+
+    def met(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of the ascending `hashes` stands or would stand, and whether it does."""
+        place = np.searchsorted(self.hashes, hashes)
+        there = place < len(self.hashes)
+        there[there] = self.hashes[place[there]] == hashes[there]
+        return place, there
+
+    def learn(self, place: np.ndarray, hashes: np.ndarray, pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> None:
+        n, ids, counts = len(self.size), [self.ids], []
+        for i in range(0, len(pieces), _AT_ONCE):
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces[i : i + _AT_ONCE]], add_special_tokens=False)
+            found = [e.ids for e in found]
+            ids.append(np.fromiter((x for own in found for x in own), dtype="<u4"))
+            counts += map(len, found)
+        self.ids = np.concatenate(ids)
+        self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum(counts, dtype=np.int64))
+        self.numbers = np.insert(self.numbers, place, np.arange(n, n + len(hashes), dtype=np.int32))
+        self.hashes = np.insert(self.hashes, place, hashes)
         self.long.update((n + i, p) for i, p in enumerate(pieces) if len(p) > PACKED)
         self.low, self.high = np.append(self.low, low), np.append(self.high, high)
-        self.size = np.append(self.size, [len(p) for p in pieces])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), dtype="<u4")])
-        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + ends])
+        self.size = np.append(self.size, np.array([len(p) for p in pieces], dtype=np.int32))
 
     def lookup(self, pieces: Words, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The pre-token of each piece, and the pieces whose bytes differ from it because their hashes collide."""
         low, high = spelled = packed(pieces)
         size = pieces.end - pieces.start
         hashes, at, which = np.unique(word_hashes(pieces, spelled), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self.known) + len(keys) > _KNOWN:
+        if len(self.hashes) + len(hashes) > _KNOWN:
             self.forget()
-        fresh = [i for i, k in enumerate(keys) if k not in self.known]
-        if fresh:
-            new = at[fresh]
+        place, there = self.met(hashes)
+        if not there.all():
+            new = at[~there]
             texts = [raw[s:e] for s, e in zip(pieces.start[new].tolist(), pieces.end[new].tolist(), strict=True)]
-            self.learn([keys[i] for i in fresh], texts, low[new], high[new])
-        piece = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
+            self.learn(place[~there], hashes[~there], texts, low[new], high[new])
+            place, _ = self.met(hashes)
+        piece = self.numbers[place].astype(np.int64)
         other = (low[at] != self.low[piece]) | (high[at] != self.high[piece]) | (size[at] != self.size[piece])
         for i in np.flatnonzero(~other & (size[at] > PACKED)).tolist():
             other[i] = raw[pieces.start[at[i]] : pieces.end[at[i]]] != self.long[int(piece[i])]
