@@ -50,8 +50,8 @@ STAR_ROUNDS = 2
 OFFERS = 3
 #: Members of a pivot that one group of the confirming step holds.
 MEMBERS = 256
-#: Nodes of one block of a posting list.
-BLOCK = 512
+#: Nodes of one block of a posting list; two blocks meet in a group, and a list of no more is one group.
+BLOCK = 1024
 SKETCH_BITS = 1024
 #: Pairs that a task gathers before it keeps the nearest of each label only, or passes them on.
 GATHERED = 1 << 17
@@ -242,16 +242,32 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def in_blocks(rest: DataFrame) -> DataFrame:
+    """(list, i, j, own, node, label, n, sketch): every pair of different labels of a list is in the group of one (i, j), with
+    `own` its blocks; two of the same block are a pair where i = j only.
+
+    A list of more than two blocks is cut into blocks of about BLOCK nodes, those of its most frequent label apart from the
+    others.  Blocks meet in pairs, but for two of that label: what most members have joined already is sent as often as the
+    others have blocks, not as often as itself.
+    """
+    small = F.col("members") <= 2 * BLOCK
+    apart = ~small & (F.col("label") == F.col("most"))
+    few = F.when(small, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("others") / BLOCK))).cast("int")
+    many = F.when(small, 0).otherwise(F.ceil((F.col("members") - F.col("others")) / BLOCK)).cast("int")
+    block = F.when(apart, few + F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), many))).otherwise(F.pmod(F.xxhash64("node"), few)).cast("int")
+    meets = F.when(apart, few).otherwise(few + many)
+    own = rest.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
+    return own.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
+
+
 def pairs_within(rest: DataFrame, percent: int, matched: int, every: bool) -> DataFrame:
     """(list, a, la, b, lb): pairs of a list with different labels whose sketches allow a link: every one, or for each label the
     one that differs least.
 
-    `rest` has list, members (of the list), node, label, n and sketch.  A list is cut into blocks of about BLOCK nodes; each
-    pair of blocks meets in a group of its own and is compared there with arrays.
+    `rest` has list, members (of the list), most (its most frequent label), others (members of other labels), node, label, n
+    and sketch.  Each pair of blocks meets in a group of its own and is compared there with arrays.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = rest.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = own.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
+    rows = in_blocks(rest)
     order = ("list", "i", "j")
     dealt = rows.repartition(*order).sortWithinPartitions(*order)
 
@@ -415,8 +431,9 @@ def settle(posted: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: str,
 
     def whole(every: bool) -> DataFrame:
         nonlocal offering
-        members = going_on(opened.groupBy("list").agg(F.count("*").alias("members")))
-        rest = opened.join(members, "list").join(facts, "node")
+        sizes = opened.groupBy("list", "label").agg(F.count("*").alias("n")).groupBy("list").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("top"))
+        sizes = going_on(sizes.select("list", "members", F.col("top.label").alias("most"), (F.col("members") - F.col("top.n")).alias("others")))
+        rest = opened.join(sizes, "list").join(facts, "node")
         pairs = written(pairs_within(rest, percent, matched, every), "rest")
         offering = pairs.select("list").distinct()
         return written(pairs.drop("list").distinct(), "pairs")

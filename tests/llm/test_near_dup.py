@@ -115,3 +115,20 @@ def test_low_thresholds_post_single_coordinates(spark):
     words = prose(55, 60).split(" ")
     rows = [(k, " ".join(f"y{k}x{i}" if i % 12 == k else w for i, w in enumerate(words))) for k in range(8)]
     assert linked(spark, rows, 1, 60) == brute(rows, 1, 60)
+
+
+def test_what_most_of_a_list_has_joined_is_sent_once(spark, monkeypatch):
+    """Rows grow with a list in proportion while few are outside its largest component, and all pairs of labels still meet."""
+    monkeypatch.setattr(near_dup, "BLOCK", 50)
+    labels = [0] * 1500 + [k // 2 for k in range(2, 42)]
+    rows = [(7, len(labels), 0, 40, k, x, 1, b"") for k, x in enumerate(labels)] + [(8, 90, 0, 60, 5000 + k, max(0, k - 30), 1, b"") for k in range(90)]
+    rest = spark.createDataFrame(rows, "list long, members long, most long, others long, node long, label long, n long, sketch binary")
+    dealt = [r for r in near_dup.in_blocks(rest).collect() if r["list"] == 7]
+    assert len(dealt) <= 1500 + 40 * 31
+    groups = defaultdict(list)
+    for r in dealt:
+        groups[r.i, r.j].append(r)
+    met = [(min(a.node, b.node), max(a.node, b.node)) for (i, j), g in groups.items() for x, a in enumerate(g) for b in g[x + 1 :] if a.label != b.label and (i == j or a.own != b.own)]
+    assert len(met) == len(set(met)) == sum(labels[a] != labels[b] for a in range(1540) for b in range(a))
+    # a list of two blocks is one group
+    assert near_dup.in_blocks(rest.filter("list = 8")).count() == 90
