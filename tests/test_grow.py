@@ -80,7 +80,7 @@ def test_thresholds_stand_for_equal_shares():
 
 @pytest.mark.parametrize(
     ("name", "sizes"),
-    [("Boosted Trees", {"maxIter": 300, "maxDepth": 5}), ("Logistic Regression", {"maxIter": 1000})],
+    [("Boosted Trees", {"maxIter": 300, "maxDepth": 5}), ("Random Forest", {"numTrees": 200, "maxDepth": 10}), ("Logistic Regression", {"maxIter": 1000})],
 )
 def test_hold_out_is_scored_by_whole_families(spark, monkeypatch, name, sizes):
     class Seen(Exception):
